@@ -60,3 +60,136 @@ from splitted group by split""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED
 def q_split_summary(spark, d):
     s = M.split_summary(combine_filter_split(_combine_inputs(spark, d)))
     return s.select("split", "n_samples", r6("hours").alias("hours"), r6("avg_sec").alias("avg_sec"))
+
+
+# ---- E4 stratified split ------------------------------------------------------
+
+@register("stratified_split", V.with_views("select id, split from splitted", "manifest_a_v", "manifest_b_v",
+                                           ctes=[_COMBINED, _EDGES, _SPLIT]))
+def q_stratified_split(spark, d):
+    return combine_filter_split(_combine_inputs(spark, d)).select("id", "split")
+
+
+# ---- B3 duration filter -------------------------------------------------------
+
+@register("duration_filter", V.with_views(
+    "select id, round(duration_sec, 6) as duration_sec from manifest_v "
+    "where duration_sec >= 0.5 and duration_sec <= 20.0 and not isnan(duration_sec)", "manifest_v"))
+def q_duration_filter(spark, d):
+    return M.duration_filter(V.manifest_v(spark, d)).select("id", r6("duration_sec").alias("duration_sec"))
+
+
+# ---- D3 quantile edges, E3 bins -----------------------------------------------
+
+@register("duration_edges", V.with_views(
+    "select i as edge_no, round(e[i], 9) as edge from edges, range(1, len(e) + 1) t(i)",
+    "manifest_a_v", "manifest_b_v", ctes=[_COMBINED, _EDGES.split("),\nbinned")[0] + ")"]))
+def q_duration_edges(spark, d):
+    e = S.duration_edges(_kept(spark, d))
+    return e.select(F.posexplode("edges").alias("p", "v")).select(
+        (F.col("p") + 1).alias("edge_no"), F.round("v", 9).alias("edge"))
+
+
+@register("duration_bins", V.with_views("select id, dur_bin from binned", "manifest_a_v", "manifest_b_v",
+                                        ctes=[_COMBINED, _EDGES]))
+def q_duration_bins(spark, d):
+    return S.duration_bins(_kept(spark, d)).select("id", "dur_bin")
+
+
+# ---- G1 union, E1 keep-first dedupe, D2 summary, B7 language fill ------------
+
+@register("combine_union", V.with_views(
+    "select src_ord, row_ord, id, wav_path, lang, round(duration_sec, 6) as duration_sec from u",
+    "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_combine_union(spark, d):
+    u = M.union_inputs(_combine_inputs(spark, d))
+    return u.select("src_ord", "row_ord", "id", "wav_path", "lang", r6("duration_sec").alias("duration_sec"))
+
+
+@register("combine_dedupe", V.with_views(
+    "select src_ord, id, wav_path, lang from combined", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_combine_dedupe(spark, d):
+    return M.combine(_combine_inputs(spark, d)).select("src_ord", "id", "wav_path", "lang")
+
+
+@register("combine_summary", V.with_views(
+    """select src_ord, min(lang) as src_lang, count(*) as n_rows,
+  (select count(*) from combined) as total_rows,
+  (select array_to_string(list_sort(list_distinct(list(lang))), ',') from combined) as languages
+from combined group by src_ord""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_combine_summary(spark, d):
+    return M.combine_summary(M.combine(_combine_inputs(spark, d)))
+
+
+@register("lang_fill", V.with_views(
+    """select id, 0 as src_ord, 'en' as lang from manifest_a_v
+union all select id, 1 as src_ord, lang from manifest_b_v
+union all select id, 2 as src_ord, 'hi' as lang from manifest_a_v""", "manifest_a_v", "manifest_b_v"))
+def q_lang_fill(spark, d):
+    a, b = V.manifest_a_v(spark, d), V.manifest_b_v(spark, d)
+    parts = [M.fill_lang(a, V.COMBINE_PATHS[0]).select("id", F.lit(0).alias("src_ord"), "lang"),
+             M.fill_lang(b, V.COMBINE_PATHS[1]).select("id", F.lit(1).alias("src_ord"), "lang"),
+             # 'archive' contains 'hi': the path rule reads it as Hindi
+             M.fill_lang(a, "/data/archive/manifest.csv").select("id", F.lit(2).alias("src_ord"), "lang")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---- D4 stage counters ------------------------------------------------------------
+
+@register("stage_counts", V.with_views(
+    """select count(*) as n_loaded,
+  count(*) filter (where duration_sec >= 0.5 and duration_sec <= 20.0 and not isnan(duration_sec)) as n_in_range,
+  count(*) filter (where coalesce(regexp_replace(transcript, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> '', false)) as n_with_text,
+  count(*) filter (where duration_sec >= 0.5 and duration_sec <= 20.0 and not isnan(duration_sec)
+                   and coalesce(regexp_replace(transcript, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> '', false)) as n_usable
+from combined""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_stage_counts(spark, d):
+    return M.stage_counts(M.combine(_combine_inputs(spark, d)))
+
+
+# ---- D11 duration statistics and histogram -------------------------------------
+
+@register("duration_stats", V.with_views(
+    """select lang, count(duration_sec) as n, round(avg(duration_sec), 6) as mean_sec,
+  round(stddev_samp(duration_sec), 6) as std_sec, round(min(duration_sec), 6) as min_sec,
+  round(quantile_cont(duration_sec, 0.25), 6) as p25_sec, round(quantile_cont(duration_sec, 0.5), 6) as p50_sec,
+  round(quantile_cont(duration_sec, 0.75), 6) as p75_sec, round(max(duration_sec), 6) as max_sec
+from kept group by lang""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_duration_stats(spark, d):
+    s = M.duration_stats(_kept(spark, d))
+    return s.select("lang", "n", *[r6(c).alias(c) for c in
+                                   ("mean_sec", "std_sec", "min_sec", "p25_sec", "p50_sec", "p75_sec", "max_sec")])
+
+
+@register("duration_histogram", V.with_views(
+    """select lang, cast(floor(duration_sec / 1.0) * 1.0 as double) as bin_lo, count(*) as n
+from kept group by all""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_duration_histogram(spark, d):
+    return M.duration_histogram(_kept(spark, d), 1.0)
+
+
+# ---- E5 plain split (no duration column) ------------------------------------------
+
+@register("random_split", V.with_views(
+    f"""select id, case when rk <= tt then 'test' when rk <= rest then 'val' else 'train' end as split from (
+  select id, row_number() over (order by md5(concat(coalesce(cast(wav_path as varchar), ''), '|', '42'))) as rk,
+    cast(ceil(cast({VT!r} as double) * count(*) over ()) as bigint) as rest,
+    cast(ceil(cast({T_SHARE!r} as double) * cast(ceil(cast({VT!r} as double) * count(*) over ()) as bigint)) as bigint) as tt
+  from combined)""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_random_split(spark, d):
+    c = M.combine(_combine_inputs(spark, d)).drop("src_ord", "row_ord", "duration_sec")
+    return S.stratified_split(c, key_cols=("wav_path",), unique_key=True).select("id", "split")
+
+
+# ---- B1 projection, B2 rename ---------------------------------------------------
+
+@register("project_asr", V.with_views("select wav_path, transcript from manifest_v", "manifest_v"))
+def q_project_asr(spark, d):
+    return V.manifest_v(spark, d).select("wav_path", "transcript")
+
+
+@register("rename_eval", V.with_views(
+    "select id, wav_path as audio, transcript as text, lang from manifest_v", "manifest_v"))
+def q_rename_eval(spark, d):
+    return (V.manifest_v(spark, d).withColumnsRenamed({"wav_path": "audio", "transcript": "text"})
+            .select("id", "audio", "text", "lang"))

@@ -32,4 +32,6 @@ def r6(c) -> Column:
 
 
 # Import the query modules for their registrations.
-from . import q_manifest, q_text  # noqa: E402,F401
+from . import q_manifest, q_text, q_ingest  # noqa: E402,F401
+
+ORACLE.setdefault("split_roundtrip", ORACLE["stratified_split"])

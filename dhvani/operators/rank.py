@@ -118,3 +118,14 @@ def window_rank_sql(key_sql: str, by: Sequence[str] = (), tiebreak: Sequence[str
     part = f"partition by {', '.join(by)} " if by else ""
     order = ", ".join([key_sql, *tiebreak])
     return f"row_number() over ({part}order by {order})"
+
+
+def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
+    """Hash-partition ``df`` by ``key`` over all cores when it has fewer
+    partitions than cores (small inputs read as one split), so per-row
+    kernels run in parallel.  Large inputs keep their scan partitioning and
+    are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key in df.columns else df.repartition(cores)

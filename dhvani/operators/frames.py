@@ -1,72 +1,80 @@
 """Clip-level signal operators built on frame energies.
 
 Silence split, its intervals and the percentile fallback work on per-row
-arrays (a clip is one row), so they need no shuffle.  The spectral noise
-floor needs statistics over frames stored as rows: it aggregates the first
-frames of each clip and joins the (small) per-clip noise profile back.
+arrays (a clip is one row), so they need no shuffle; intermediate arrays are
+materialised as columns and reach lambdas only as zipped arrays (see
+:mod:`dhvani.functions.signal`).  The spectral noise floor needs statistics
+over frames stored as rows: it aggregates the first frames of each clip and
+joins the (small) per-clip noise profile back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.signal import AMIN, HOP, WIN, as_double, centered_energies, frame_energies
+from ..functions.signal import AMIN, HOP, WIN, as_double, centered_energies, frame_energies, with_each
 
 
-def nonsilent_frames(s: Column, top_db: float = 30.0, win: int = WIN, hop: int = HOP) -> Column:
-    """Boolean per centred frame: level above ``-top_db`` dB relative to the
-    clip's loudest frame."""
-    e = centered_energies(s, win, hop)
-    ref = F.array_max(e)
-    ref_db = F.lit(10.0) * F.log10(F.greatest(F.lit(AMIN), ref))
-    return F.transform(e, lambda v: (F.lit(10.0) * F.log10(F.greatest(F.lit(AMIN), v)) - ref_db) > -top_db)
+def _db(c):
+    return F.lit(10.0) * F.log10(F.greatest(F.lit(AMIN), c))
 
 
-def silence_intervals(s: Column, top_db: float = 30.0, win: int = WIN, hop: int = HOP) -> Column:
-    """Non-silent intervals ``ARRAY<STRUCT<start, end>>`` in samples: runs of
-    non-silent frames [first*hop, min((last+1)*hop, n))."""
-    keep = nonsilent_frames(s, top_db, win, hop)
-    m = F.size(keep)
-    idx = F.sequence(F.lit(0), m - 1)
-    starts = F.filter(idx, lambda k: F.element_at(keep, k + 1)
-                      & ((k == 0) | ~F.element_at(keep, F.greatest(k, F.lit(1)))))
-    ends = F.filter(idx, lambda k: F.element_at(keep, k + 1)
-                    & ((k == m - 1) | ~F.element_at(keep, F.least(k + 2, m))))
-    n = F.size(s)
-    return F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.struct(
-        (z["a"] * hop).alias("start"), F.least((z["b"] + 1) * hop, n).alias("end")))
+def _runs(mask: str):
+    """(starts, ends) frame indices of the runs of true values in ``mask``."""
+    m = F.size(mask)
+    prev = F.concat(F.array(F.lit(False)), F.slice(mask, 1, F.greatest(m - 1, F.lit(0))))
+    nxt = F.concat(F.slice(mask, 2, F.greatest(m - 1, F.lit(0))), F.array(F.lit(False)))
+    z = F.arrays_zip(F.sequence(F.lit(0), m - 1).alias("k"), F.col(mask).alias("c"), prev.alias("p"), nxt.alias("q"))
+    starts = F.transform(F.filter(z, lambda t: t["c"] & ~t["p"]), lambda t: t["k"])
+    ends = F.transform(F.filter(z, lambda t: t["c"] & ~t["q"]), lambda t: t["k"])
+    return starts, ends
 
 
-def trim_silence(s: Column, top_db: float = 30.0, win: int = WIN, hop: int = HOP) -> Column:
-    """Concatenate the non-silent intervals; the clip is returned unchanged
-    when there is none."""
-    iv = silence_intervals(s, top_db, win, hop)
-    parts = F.flatten(F.transform(iv, lambda z: F.slice(s, z["start"] + 1, z["end"] - z["start"])))
-    return F.when(F.size(iv) > 0, parts).otherwise(s)
+def with_silence_intervals(df: DataFrame, samples: str = "samples", out: str = "intervals",
+                           top_db: float = 30.0, win: int = WIN, hop: int = HOP) -> DataFrame:
+    """Add ``out ARRAY<STRUCT<start, end>>``: the non-silent intervals in
+    samples.  A centred frame is non-silent when its level is above
+    ``-top_db`` dB relative to the clip's loudest frame; a run of non-silent
+    frames first..last covers [first*hop, min((last+1)*hop, n))."""
+    x = df.withColumn("_e", centered_energies(F.col(samples), win, hop))
+    x = x.withColumn("_keep", with_each(F.col("_e"), _db(F.array_max("_e")),
+                                        lambda v, r: (_db(v) - r) > -top_db))
+    starts, ends = _runs("_keep")
+    x = x.withColumn("_se", F.arrays_zip(starts.alias("a"), ends.alias("b")))
+    iv = with_each(F.col("_se"), F.size(samples), lambda t, n: F.struct(
+        (t["a"] * hop).alias("start"), F.least((t["b"] + 1) * hop, n).alias("end")))
+    return x.withColumn(out, iv).drop("_e", "_keep", "_se")
 
 
-def _percentile_sorted(sorted_arr: Column, q: float) -> Column:
-    """Linear-interpolation percentile of an ascending array."""
-    m = F.size(sorted_arr)
-    pos = F.lit(q) * (m - 1)
-    lo = F.floor(pos).cast("int")
-    frac = pos - lo
-    a = F.element_at(sorted_arr, lo + 1)
-    b = F.element_at(sorted_arr, F.least(lo + 2, m))
-    return a + (b - a) * frac
+def trim_silence(df: DataFrame, samples: str = "samples", out: str = "trimmed",
+                 top_db: float = 30.0, win: int = WIN, hop: int = HOP) -> DataFrame:
+    """Add ``out``: the non-silent intervals concatenated; the clip unchanged
+    when there is none."""
+    x = with_silence_intervals(df, samples, "_iv", top_db, win, hop)
+    parts = F.flatten(F.transform("_iv", lambda z: F.slice(samples, z["start"] + 1, z["end"] - z["start"])))
+    return x.withColumn(out, F.when(F.size("_iv") > 0, parts).otherwise(F.col(samples))).drop("_iv")
 
 
-def trim_percentile(s: Column, q: float = 0.10, win: int = WIN, hop: int = HOP) -> Column:
+def trim_percentile(df: DataFrame, samples: str = "samples", out: str = "trimmed", q: float = 0.10,
+                    win: int = WIN, hop: int = HOP) -> DataFrame:
     """Fallback trim: keep frames (starting at 0, hop, ...) whose energy
-    exceeds the clip's ``q`` percentile; kept frames are concatenated whole
-    (so overlapping samples repeat); no kept frame -> clip unchanged."""
-    e = frame_energies(s, win, hop)
-    th = _percentile_sorted(F.array_sort(e), q)
-    n = F.size(s)
-    kept = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda k: F.element_at(e, k + 1) > th)
-    parts = F.flatten(F.transform(kept, lambda k: F.slice(s, k * hop + 1, F.least(n - k * hop, F.lit(win)))))
-    return F.when(F.size(kept) > 0, parts).otherwise(s)
+    exceeds the clip's ``q`` percentile (linear interpolation); kept frames are
+    concatenated whole, so overlapping samples repeat; none kept -> unchanged."""
+    x = df.withColumn("_e", frame_energies(F.col(samples), win, hop))
+    srt = F.array_sort("_e")
+    m = F.size("_e")
+    pos = F.lit(q) * (m - 1)
+    lo = F.floor(pos).cast("int")
+    a, b = F.element_at(srt, lo + 1), F.element_at(srt, F.least(lo + 2, m))
+    x = x.withColumn("_th", a + (b - a) * (pos - lo))
+    x = x.withColumn("_mask", with_each(F.col("_e"), F.col("_th"), lambda v, t: v > t))
+    z = F.arrays_zip(F.sequence(F.lit(0), m - 1).alias("k"), F.col("_mask").alias("c"))
+    x = x.withColumn("_kept", F.transform(F.filter(z, lambda t: t["c"]), lambda t: t["k"]))
+    parts = F.flatten(F.transform("_kept", lambda k: F.slice(samples, k * hop + 1,
+                                                              F.least(F.size(samples) - k * hop, F.lit(win)))))
+    return (x.withColumn(out, F.when(F.size("_kept") > 0, parts).otherwise(F.col(samples)))
+            .drop("_e", "_th", "_mask", "_kept"))
 
 
 def noise_frames(sr: int = 16000, win: int = WIN, hop: int = HOP) -> int:

@@ -22,7 +22,10 @@ def _clips(spark, d):
 
 
 def _explode(df, arr, vname="v", rnd=True):
-    x = df.select("clip_id", F.posexplode(arr).alias("i", vname))
+    """One row per array element.  ``posexplode_outer`` plus an explicit filter:
+    a plain ``posexplode`` makes the optimiser infer ``size(arr) > 0`` and push
+    it below the projections, where the whole array pipeline is inlined again."""
+    x = df.select("clip_id", F.posexplode_outer(arr).alias("i", vname)).filter(F.col("i").isNotNull())
     return x.select("clip_id", (F.col("i") + 1).alias("i"), r6(vname).alias(vname) if rnd else F.col(vname))
 
 
@@ -49,15 +52,15 @@ def q_mono_mix(spark, d):
 @register("peak_normalize", "with " + _CLIPS + ", pk as (select clip_id, list_transform(s, lambda x: x / (list_max(list_transform(s, lambda y: abs(y))) + 1e-8)) as n from clips)\n"
           + _unnest_sql("n", "pk"))
 def q_peak_normalize(spark, d):
-    c = _clips(spark, d).withColumn("pk", SG.peak(F.col("samples")))
-    return _explode(c.select("clip_id", SG.scale(F.col("samples"), F.col("pk") + SG.EPS).alias("n")), "n")
+    c = _clips(spark, d)
+    return _explode(c.select("clip_id", SG.peak_normalize(F.col("samples")).alias("n")), "n")
 
 
 @register("pcm16", "with " + _CLIPS + ", q as (select clip_id, list_transform(s, lambda x: cast(round_even(greatest(-1.0, least(1.0, x)) * 32767, 0) as integer)) as q from clips)\n"
           + _unnest_sql("q", "q", rnd=False))
 def q_pcm16(spark, d):
     c = _clips(spark, d)
-    x = c.select("clip_id", F.posexplode(SG.pcm16(F.col("samples"))).alias("i", "v"))
+    x = c.select("clip_id", F.posexplode_outer(SG.pcm16(F.col("samples"))).alias("i", "v")).filter(F.col("i").isNotNull())
     return x.select("clip_id", (F.col("i") + 1).alias("i"), F.col("v").cast("int").alias("v"))
 
 
@@ -78,7 +81,8 @@ _FRAMES = f"""fe as (select clip_id, st // {HOP} as frame_no,
 
 @register("frame_energy", f"with {_CLIPS}, {_FRAMES}\nselect clip_id, frame_no, round(energy, 6) as energy from fe")
 def q_frame_energy(spark, d):
-    c = _clips(spark, d).select("clip_id", F.posexplode(SG.frame_energies(F.col("samples"), WIN, HOP)).alias("frame_no", "e"))
+    c = _clips(spark, d).select("clip_id", F.posexplode_outer(SG.frame_energies(F.col("samples"), WIN, HOP)).alias(
+        "frame_no", "e")).filter(F.col("frame_no").isNotNull())
     return c.select("clip_id", "frame_no", r6("e").alias("energy"))
 
 
@@ -109,12 +113,13 @@ def _gated(spark, d):
 
 
 def _trimmed(spark, d):
-    return _gated(spark, d).select("clip_id", FR.trim_silence(F.col("samples"), TOP_DB, WIN, HOP).alias("t"))
+    return FR.trim_silence(_gated(spark, d), "samples", "t", TOP_DB, WIN, HOP).select("clip_id", "t")
 
 
 @register("silence_intervals", f"with {_GATED}, {_SILENCE}\nselect clip_id, k, \"start\", \"end\" from ivk")
 def q_silence_intervals(spark, d):
-    c = _gated(spark, d).select("clip_id", F.posexplode(FR.silence_intervals(F.col("samples"), TOP_DB, WIN, HOP)).alias("k", "iv"))
+    c = FR.with_silence_intervals(_gated(spark, d), "samples", "iv", TOP_DB, WIN, HOP).select(
+        "clip_id", F.posexplode_outer("iv").alias("k", "iv")).filter(F.col("k").isNotNull())
     return c.select("clip_id", "k", F.col("iv.start").alias("start"), F.col("iv.end").alias("end"))
 
 
@@ -146,8 +151,8 @@ tp as (select clip_id, row_number() over (partition by clip_id order by frame_no
 none as (select c.clip_id, unnest(range(1, len(c.s) + 1)) as i, unnest(c.s) as v from clips c where c.clip_id not in (select clip_id from kept))
 select clip_id, i, round(v, 6) as v from tp union all select clip_id, i, round(v, 6) from none""")
 def q_trim_percentile(spark, d):
-    c = _clips(spark, d).select("clip_id", SG.as_double(FR.trim_percentile(F.col("samples"), 0.10, WIN, HOP)).alias("t"))
-    return _explode(c, "t")
+    c = FR.trim_percentile(_clips(spark, d), "samples", "t", 0.10, WIN, HOP)
+    return _explode(c.select("clip_id", SG.as_double(F.col("t")).alias("t")), "t")
 
 
 # ---- I8 spectral noise floor ----------------------------------------------------------------

@@ -120,12 +120,13 @@ def window_rank_sql(key_sql: str, by: Sequence[str] = (), tiebreak: Sequence[str
     return f"row_number() over ({part}order by {order})"
 
 
-def spread(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """Hash-partition ``df`` by ``key`` over all cores when it has fewer
-    partitions than cores (small inputs read as one split), so per-row
-    kernels run in parallel.  Large inputs keep their scan partitioning and
-    are not shuffled."""
+def spread(df: DataFrame, key: str = "row_id", factor: int = 4) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` into ``factor`` x cores partitions when
+    it has fewer (small inputs read as few splits), so per-row kernels run in
+    parallel and uneven rows balance out.  Large inputs keep their scan
+    partitioning and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores * factor:
         return df
-    return df.repartition(cores, key) if key in df.columns else df.repartition(cores)
+    n = cores * factor
+    return df.repartition(n, key) if key in df.columns else df.repartition(n)

@@ -126,10 +126,11 @@ def char_confusion(pairs: DataFrame, lowercase: bool = True) -> DataFrame:
     p = prepare(pairs, lowercase=lowercase)
     ro = char_offsets(p, "row_id", "ref")
     ho = char_offsets(p, "row_id", "hyp")
-    n = F.least(ro.select(F.sum("len")).scalar(), ho.select(F.sum("len")).scalar())
     rb = _blocks(ro).withColumnRenamed("chunk", "rc")
     hb = _blocks(ho).withColumnRenamed("chunk", "hc")
-    lim = F.least(F.lit(BLOCK).cast("long"), n - F.col("blk") * BLOCK).cast("int")
+    # Both corpora start at position 0, so a position survives the cut to the
+    # shorter corpus exactly when both blocks hold a character there.
+    lim = F.least(F.length("rc"), F.length("hc"))
     j = rb.join(hb, "blk").withColumn("lim", lim).filter(F.col("lim") > 0)
     z = j.select(F.explode(F.arrays_zip(F.split(F.substring("rc", 1, F.col("lim")), ""),
                                         F.split(F.substring("hc", 1, F.col("lim")), ""))).alias("z"))
@@ -203,7 +204,7 @@ def _ngram_stats(pairs: DataFrame, stats: Column, orders: int) -> DataFrame:
 def bleu(pairs: DataFrame) -> DataFrame:
     """Corpus BLEU (13a tokens, 4-grams, exponential smoothing, one
     reference), 0-100 scale, with its parts."""
-    p = pairs.select("row_id", tokenize_13a(F.coalesce("ref", F.lit(""))).alias("rt"),
+    p = spread(pairs).select("row_id", tokenize_13a(F.coalesce("ref", F.lit(""))).alias("rt"),
                      tokenize_13a(F.coalesce("hyp", F.lit(""))).alias("ht"))
     st = _ngram_stats(p, word_ngram_stats(F.col("rt"), F.col("ht"), MAX_ORDER), MAX_ORDER)
     lens = st.filter(F.col("n") == 1).select(F.col("hyp_total").alias("sys_len"), F.col("ref_total").alias("ref_len"))
@@ -234,7 +235,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
 def chrf(pairs: DataFrame) -> DataFrame:
     """Corpus chrF (character 1..6-grams, whitespace removed, beta 2), 0-100 scale."""
     nows = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    p = pairs.select("row_id", nows(F.col("ref")).alias("rs"), nows(F.col("hyp")).alias("hs"))
+    p = spread(pairs).select("row_id", nows(F.col("ref")).alias("rs"), nows(F.col("hyp")).alias("hs"))
     st = _ngram_stats(p, char_ngram_stats(F.col("rs"), F.col("hs"), CHAR_ORDER), CHAR_ORDER)
     ok = (F.col("hyp_total") > 0) & (F.col("ref_total") > 0)
     agg = st.agg(F.sum(F.when(ok, F.col("matches") / F.col("hyp_total"))).alias("_p"),

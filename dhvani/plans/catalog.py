@@ -32,6 +32,6 @@ def r6(c) -> Column:
 
 
 # Import the query modules for their registrations.
-from . import q_manifest, q_text, q_ingest, q_align, q_score, q_signal  # noqa: E402,F401
+from . import q_manifest, q_text, q_ingest, q_align, q_score, q_signal, q_plans  # noqa: E402,F401
 
 ORACLE.setdefault("split_roundtrip", ORACLE["stratified_split"])

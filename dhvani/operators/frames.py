@@ -67,7 +67,7 @@ def trim_percentile(df: DataFrame, samples: str = "samples", out: str = "trimmed
     pos = F.lit(q) * (m - 1)
     lo = F.floor(pos).cast("int")
     a, b = F.element_at(srt, lo + 1), F.element_at(srt, F.least(lo + 2, m))
-    x = x.withColumn("_th", a + (b - a) * (pos - lo))
+    x = x.withColumn("_th", F.when(m > 0, a + (b - a) * (pos - lo)))
     x = x.withColumn("_mask", with_each(F.col("_e"), F.col("_th"), lambda v, t: v > t))
     z = F.arrays_zip(F.sequence(F.lit(0), m - 1).alias("k"), F.col("_mask").alias("c"))
     x = x.withColumn("_kept", F.transform(F.filter(z, lambda t: t["c"]), lambda t: t["k"]))

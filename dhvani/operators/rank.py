@@ -126,7 +126,15 @@ def spread(df: DataFrame, key: str = "row_id", factor: int = 4) -> DataFrame:
     parallel and uneven rows balance out.  Large inputs keep their scan
     partitioning and are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores * factor:
-        return df
     n = cores * factor
+    if num_partitions(df, n) >= n:
+        return df
     return df.repartition(n, key) if key in df.columns else df.repartition(n)
+
+
+def num_partitions(df: DataFrame, default: int) -> int:
+    """Partitions the plan produces (``default`` when it cannot be asked)."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # e.g. sessions without RDD access
+        return default

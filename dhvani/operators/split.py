@@ -140,7 +140,9 @@ def parallel_split(df: DataFrame, seed: int = SEED, key_cols: Sequence[str] | No
     return ranked.select(*cols, label.alias(split_col)).filter(F.col(split_col).isNotNull())
 
 
-TOPK_LIMIT = 10_000
+# Top-k merges (n x input partitions) rows in one task, so it is used only
+# for small n (the few displayed examples); larger samples use the rank.
+TOPK_LIMIT = 100
 
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[str] | None = None) -> DataFrame:

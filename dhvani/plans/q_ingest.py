@@ -282,3 +282,24 @@ def q_audio_inventory(spark, d):
 
     files.unionByName(side).foreachPartition(touch)
     return audio_inventory(spark, root).select("stem", "ext")
+
+
+# ---- A8 sidecar transcript files ----------------------------------------------------------
+
+@register("sidecar_scan", f"""select cast(doc_id as varchar) as stem, {ustrip_sql('text')} as text from documents where lang = 'de'""")
+def q_sidecar_scan(spark, d):
+    root = local_path(scratch_path(spark, "sidecars"))
+    doc = _docs(spark, d).filter(F.col("lang") == "de").select(
+        F.concat(F.lit(root + "/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("p"),
+        "text")
+
+    def write(rows):  # local, so it is shipped by value to the Python workers
+        import os
+        for r in rows:
+            os.makedirs(os.path.dirname(r.p), exist_ok=True)
+            with open(r.p, "w", encoding="utf-8") as f:
+                f.write(r.text)
+
+    doc.foreachPartition(write)
+    side = S.read_sidecars(spark, root + "/*/*.txt")
+    return side.select(F.regexp_extract("clip_base", r"([^/]+)$", 1).alias("stem"), "text")

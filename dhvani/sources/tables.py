@@ -25,7 +25,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = SPREAD_KEYS.get(name)
     if spread and key:
+        from ..operators.rank import num_partitions
         cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
+        if num_partitions(df, cores) < cores:
             df = df.repartition(cores, key)
     return df

@@ -123,9 +123,20 @@ def normalize_by_lang(text: Column, lang: Column | str = "en") -> Column:
     return F.when(F.coalesce(lg.startswith("hi"), F.lit(False)), normalize_hi(text)).otherwise(normalize_en(text))
 
 
+# The Unicode White_Space characters (what Java's (?U)\s matches).
+WHITESPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def ustrip(text: Column) -> Column:
-    """Strip Unicode whitespace at both ends (``trim`` strips only U+0020)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Strip Unicode whitespace at both ends (plain ``trim`` strips only
+    U+0020); touches only the ends, no scan of the text."""
+    return F.trim(text, F.lit(WHITESPACE))
+
+
+def urstrip(text: Column) -> Column:
+    """Strip Unicode whitespace at the end."""
+    return F.rtrim(text, F.lit(WHITESPACE))
 
 
 # ---- DuckDB forms (oracles) ---------------------------------------------------

@@ -8,27 +8,42 @@ windowed in one partition.  Offsets flow back through joins on the bucket ids.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHIFT = 16
 
 
-def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over all rows with a smaller ``key``
-    (exclusive running total; 0 for the first row)."""
+def prefix_sums(df: DataFrame, key: str, values: Sequence[str], outs: Sequence[str]) -> DataFrame:
+    """Add, for each ``values[i]``, ``outs[i]`` = its sum over all rows with a
+    smaller ``key`` (exclusive running total; 0 for the first row)."""
+    vs = list(values)
     x = df.withColumn("_b1", F.shiftright(F.col(key), SHIFT))
     before = Window.partitionBy("_b1").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("_in1", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    for i, v in enumerate(vs):
+        x = x.withColumn(f"_in1_{i}", F.coalesce(F.sum(v).over(before), F.lit(0)))
 
-    t1 = x.groupBy("_b1").agg(F.sum(value).alias("_s1")).withColumn("_b2", F.shiftright("_b1", SHIFT))
+    t1 = x.groupBy("_b1").agg(*[F.sum(v).alias(f"_s1_{i}") for i, v in enumerate(vs)])
+    t1 = t1.withColumn("_b2", F.shiftright("_b1", SHIFT))
     w1 = Window.partitionBy("_b2").orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
-    t1 = t1.withColumn("_in2", F.coalesce(F.sum("_s1").over(w1), F.lit(0)))
+    for i in range(len(vs)):
+        t1 = t1.withColumn(f"_in2_{i}", F.coalesce(F.sum(f"_s1_{i}").over(w1), F.lit(0)))
 
-    t2 = t1.groupBy("_b2").agg(F.sum("_s1").alias("_s2"))
+    t2 = t1.groupBy("_b2").agg(*[F.sum(f"_s1_{i}").alias(f"_s2_{i}") for i in range(len(vs))])
     w2 = Window.orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    t2 = t2.withColumn("_in3", F.coalesce(F.sum("_s2").over(w2), F.lit(0)))
+    for i in range(len(vs)):
+        t2 = t2.withColumn(f"_in3_{i}", F.coalesce(F.sum(f"_s2_{i}").over(w2), F.lit(0)))
+
+    offs = t1.join(t2, "_b2").select("_b1", *[(F.col(f"_in2_{i}") + F.col(f"_in3_{i}")).alias(f"_bo_{i}")
+                                              for i in range(len(vs))])
+    y = x.join(offs, "_b1")
+    for i, o in enumerate(outs):
+        y = y.withColumn(o, (F.col(f"_in1_{i}") + F.col(f"_bo_{i}")).cast("long"))
+    return y.drop("_b1", *[f"_in1_{i}" for i in range(len(vs))], *[f"_bo_{i}" for i in range(len(vs))])
 
-    offs = t1.join(t2, "_b2").select("_b1", (F.col("_in2") + F.col("_in3")).alias("_boff"))
-    return (x.join(offs, "_b1").withColumn(out, (F.col("_in1") + F.col("_boff")).cast("long"))
-            .drop("_b1", "_in1", "_boff"))
+
+def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Single-column form of :func:`prefix_sums`."""
+    return prefix_sums(df, key, [value], [out])

@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import char_edit_distance, char_ngram_stats, word_ngram_stats
 from ..functions.kernels import word_edit_distance as _word_distance
-from .prefix import prefix_sum
+from ..functions.text import urstrip, ustrip
+from .prefix import prefix_sum, prefix_sums
 from .rank import spread
 
 BLOCK = 4096
 
 
 def _u_strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return ustrip(c)
 
 
 def prepare(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", lowercase: bool = False) -> DataFrame:
@@ -69,7 +70,9 @@ def error_counts(pairs: DataFrame) -> DataFrame:
 
 def wer(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """Corpus WER = sum of word edits / sum of reference words (one row)."""
-    e = error_counts(spread(prepare(pairs, lowercase=lowercase)))
+    p = spread(prepare(pairs, lowercase=lowercase))
+    r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
+    e = p.select(_word_distance(r, h).alias("w_edits"), F.size(_words(r)).alias("w_ref"))
     n = F.count(F.lit(1))
     return e.agg(_guard(n, F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
                  F.sum("w_edits").alias("edits"), F.sum("w_ref").alias("ref_words"), n.alias("n_pairs"))
@@ -123,9 +126,13 @@ def char_confusion(pairs: DataFrame, lowercase: bool = True) -> DataFrame:
     """``(t, p, n)``: how often reference character t faces hypothesis
     character p at the same position of the concatenated corpora (cut to the
     shorter one), in ``row_id`` order."""
-    p = prepare(pairs, lowercase=lowercase)
-    ro = char_offsets(p, "row_id", "ref")
-    ho = char_offsets(p, "row_id", "hyp")
+    p = prepare(pairs, lowercase=lowercase).select(
+        "row_id", "ref", "hyp", F.length("ref").cast("long").alias("lr"), F.length("hyp").cast("long").alias("lh"))
+    # one prefix-sum pass for both sides; the text projections run once, below
+    # the shared exchange
+    o = prefix_sums(p, "row_id", ["lr", "lh"], ["or", "oh"])
+    ro = o.select("row_id", F.col("lr").alias("len"), F.col("ref").alias("text"), F.col("or").alias("offset"))
+    ho = o.select("row_id", F.col("lh").alias("len"), F.col("hyp").alias("text"), F.col("oh").alias("offset"))
     rb = _blocks(ro).withColumnRenamed("chunk", "rc")
     hb = _blocks(ho).withColumnRenamed("chunk", "hc")
     # Both corpora start at position 0, so a position survives the cut to the
@@ -146,10 +153,15 @@ def char_accuracy(conf: DataFrame) -> DataFrame:
 def char_macro_prf(conf: DataFrame) -> DataFrame:
     """Unweighted mean over labels (characters on either side) of precision,
     recall and F1; a zero denominator gives 0."""
-    tp = conf.filter(F.col("t") == F.col("p")).select(F.col("t").alias("c"), F.col("n").alias("tp"))
-    true_n = conf.groupBy(F.col("t").alias("c")).agg(F.sum("n").alias("n_true"))
-    pred_n = conf.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("n_pred"))
-    labels = true_n.join(pred_n, "c", "full").join(tp, "c", "left").fillna(0, ["n_true", "n_pred", "tp"])
+    # each (t, p, n) counts n toward label t's true total (and its hits when
+    # t = p) and toward label p's predicted total: one aggregate, no joins
+    contrib = F.explode(F.array(
+        F.struct(F.col("t").alias("c"), F.col("n").alias("nt"), F.lit(0).cast("long").alias("np"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0).cast("long").alias("hit")),
+        F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("nt"), F.col("n").alias("np"),
+                 F.lit(0).cast("long").alias("hit"))))
+    labels = (conf.select(contrib.alias("x")).groupBy(F.col("x.c").alias("c"))
+              .agg(F.sum("x.nt").alias("n_true"), F.sum("x.np").alias("n_pred"), F.sum("x.hit").alias("tp")))
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
     f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n_true") + F.col("n_pred"))).otherwise(0.0)
@@ -173,7 +185,7 @@ BETA = 2.0
 
 
 def _rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+$", "")
+    return urstrip(c)
 
 
 def tokenize_13a(c: Column) -> Column:

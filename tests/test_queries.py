@@ -35,3 +35,21 @@ def test_no_row_python_udf_in_plans(spark):
     for name in ["split_summary", "normalize_en", "parallel_split", "trim_silence", "char_accuracy"]:
         plan = Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
+
+
+@pytest.mark.parametrize("name", ["random_split", "parallel_split", "stratified_split", "char_offsets",
+                                  "char_accuracy", "random_pairing"])
+def test_single_partition_only_over_aggregates(spark, name):
+    """Global order is never imposed by moving data into one partition: every
+    SinglePartition exchange sits on an aggregate (a global count or a
+    bucket table of bounded size)."""
+    lines = Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "HashAggregate" in lines[i + 1], (name, lines[i + 1])
+
+
+def test_no_cartesian_or_nested_loop(spark):
+    for name in sorted(Q):
+        plan = Q[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

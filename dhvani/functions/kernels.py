@@ -26,8 +26,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 
+def _common_prefix(a, b) -> int:
+    """Length of the common prefix (binary search over C-level slice compares)."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[:mid] == b[:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _common_suffix(a, b) -> int:
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[len(a) - mid:] == b[len(b) - mid:]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
 def edit_distance_seq(a, b) -> int:
     """Levenshtein distance between two sequences of hashable tokens."""
+    # a common prefix or suffix never changes the distance
+    k = _common_prefix(a, b)
+    a, b = a[k:], b[k:]
+    k = _common_suffix(a, b)
+    if k:
+        a, b = a[:len(a) - k], b[:len(b) - k]
     if len(a) < len(b):
         a, b = b, a
     m = len(b)
@@ -36,14 +65,15 @@ def edit_distance_seq(a, b) -> int:
     peq: dict = {}
     for i, tok in enumerate(b):
         peq[tok] = peq.get(tok, 0) | (1 << i)
+    get = peq.get
     mask = (1 << m) - 1
     top = 1 << (m - 1)
     pv, mv, score = mask, 0, m
     for tok in a:
-        eq = peq.get(tok, 0)
+        eq = get(tok, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (~(xh | pv) & mask)
+        ph = mv | (mask ^ (xh | pv))
         mh = pv & xh
         if ph & top:
             score += 1
@@ -51,7 +81,7 @@ def edit_distance_seq(a, b) -> int:
             score -= 1
         ph = ((ph << 1) | 1) & mask
         mh = (mh << 1) & mask
-        pv = mh | (~(xv | ph) & mask)
+        pv = mh | (mask ^ (xv | ph))
         mv = ph & xv
     return score
 

@@ -15,7 +15,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from dhvani.plans.catalog import QUERIES  # noqa: E402
+from dhvani.plans.registry import QUERIES  # noqa: E402
 from dhvani.session import get_spark  # noqa: E402
 
 HEADLINE = [

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.paths import path_stem
 from ..functions.text import ustrip
-from .rank import SEED, seeded_rank
+from .rank import SEED, rank_within, seeded_rank
 
 # Column names tried, in order.
 FILE_COL_NAMES = ("wav_path", "file", "audio_path", "filename", "path", "wav")
@@ -56,13 +56,19 @@ def keyed_side(df: DataFrame, text_name: str) -> DataFrame:
     return df.select(path_stem(F.col(f).cast("string")).alias("basename"), F.col(t).cast("string").alias(text_name))
 
 
-def basename_join(hi: DataFrame, en: DataFrame) -> DataFrame:
-    """Inner equi-join on basename, rows with any null dropped.
+def basename_join(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:
+    """Inner equi-join on basename, rows with any null dropped; null stems
+    never join.
 
-    Duplicate stems pair every hi row with every en row of that stem, as the
-    reference's merge does; AQE's skew-join handling splits a hot stem's
-    partition.  Null stems never join."""
-    return hi.join(en, "basename", "inner").dropna()
+    A stem that occurs more than once is paired by occurrence: the i-th row
+    of the stem on one side (in the seeded order of its text) with the i-th
+    on the other, so the output is linear in the input and no group emits all
+    its pairs.  Unique stems join exactly as a plain inner join.  The join
+    key (basename, occurrence) is unique on both sides, so a hot stem is no
+    hot key."""
+    h = rank_within(hi.dropna(), ["basename"], ["hi_text"], seed, "_occ")
+    e = rank_within(en.dropna(), ["basename"], ["en_text"], seed, "_occ")
+    return h.join(e, ["basename", "_occ"], "inner").drop("_occ")
 
 
 def random_pairing(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:
@@ -97,7 +103,7 @@ def align(hi_df: DataFrame, en_df: DataFrame, fallback: str = "random", seed: in
     random (one cheap ``isEmpty`` job decides)."""
     hi = keyed_side(hi_df, "hi_text")
     en = keyed_side(en_df, "en_text")
-    merged = basename_join(hi, en)
+    merged = basename_join(hi, en, seed)
     if fallback == "random" and merged.isEmpty():
         merged = random_pairing(hi, en, seed).dropna()
     return drop_blank(merged)

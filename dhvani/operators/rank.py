@@ -138,3 +138,31 @@ def num_partitions(df: DataFrame, default: int) -> int:
         return df.rdd.getNumPartitions()
     except Exception:  # e.g. sessions without RDD access
         return default
+
+
+def rank_within(df: DataFrame, by: Sequence[str], key_cols: Sequence, seed: int = SEED,
+                rank_col: str = "rank", sub_len: int = 2) -> DataFrame:
+    """1-based rank of each row within its ``by`` group (any number of
+    groups) in the seeded order of ``key_cols``.
+
+    Within one group the order is by ``md5(keys|seed)``, so sub-buckets on the
+    first ``sub_len`` hex digits are ranges of that order: a group holding a
+    third of all rows is split over ``16**sub_len`` window partitions, and the
+    per-(group, sub-bucket) counts that place them (at most ``16**sub_len``
+    rows per group) are prefix-summed per group.  Exact copies are collapsed
+    map-side first and re-expanded in chunks, as in :func:`seeded_rank`."""
+    by = list(by)
+    data_cols = list(df.columns)
+    x = df.withColumn("_h", seed_hash(key_cols, seed))
+    x = x.groupBy(*data_cols, "_h").agg(F.count(F.lit(1)).alias("_n"))
+    x = x.withColumn("_sb", F.substring("_h", 1, sub_len))
+    sizes = x.groupBy(*by, "_sb").agg(F.sum("_n").alias("_bn"))
+    wo = Window.partitionBy(*by).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select(*by, "_sb", F.coalesce(F.sum("_bn").over(wo), F.lit(0)).alias("_off"))
+    tiebreak = [c for c in data_cols if c not in by]
+    wb = (Window.partitionBy(*by, "_sb").orderBy("_h", *tiebreak)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    x = x.withColumn("_cum", F.sum("_n").over(wb)).join(offs, [*by, "_sb"], "inner")
+    x = x.withColumn("_hi", F.col("_off") + F.col("_cum"))
+    out = expand_range(x, lo=F.col("_hi") - F.col("_n") + 1, hi=F.col("_hi"), out_col=rank_col)
+    return out.select(*data_cols, rank_col)

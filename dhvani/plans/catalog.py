@@ -29,9 +29,3 @@ def register(name: str, sql: str | None = None):
 
 def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
-# Import the query modules for their registrations.
-from . import q_manifest, q_text, q_ingest, q_align, q_score, q_signal, q_plans  # noqa: E402,F401
-
-ORACLE.setdefault("split_roundtrip", ORACLE["stratified_split"])

@@ -60,3 +60,28 @@ def test_sample_n_paths_agree(spark, monkeypatch):
     monkeypatch.setattr(SP, "TOPK_LIMIT", 0)
     large = {r.k for r in SP.sample_n(df, 37, key_cols=["k"]).collect()}
     assert small == large and len(small) == 37
+
+
+def test_rank_within_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 64)
+    hot = spark.range(3000).select(F.lit("h").alias("g"), F.col("id").cast("string").alias("k"))
+    copies = spark.range(500).select(F.lit("h").alias("g"), F.lit("same").alias("k"))
+    other = spark.range(1000).select((F.col("id") % 10).cast("string").alias("g"), F.col("id").cast("string").alias("k"))
+    ranked = R.rank_within(hot.unionByName(copies).unionByName(other), ["g"], ["k"], sub_len=1)
+    got = sorted(r.rank for r in ranked.filter(F.col("g") == "h").collect())
+    assert got == list(range(1, 3501))
+    for g in ("0", "7"):
+        assert sorted(r.rank for r in ranked.filter(F.col("g") == g).collect()) == list(range(1, 101))
+
+
+def test_basename_join_pairs_duplicates_by_occurrence(spark):
+    from dhvani.operators.align import basename_join
+    hi = spark.createDataFrame([("a", "h1"), ("a", "h2"), ("a", "h3"), ("b", "hb"), (None, "hn")],
+                               "basename string, hi_text string")
+    en = spark.createDataFrame([("a", "e1"), ("a", "e2"), ("b", "eb"), ("c", "ec"), (None, "en")],
+                               "basename string, en_text string")
+    out = basename_join(hi, en).collect()
+    assert sorted(r.basename for r in out) == ["a", "a", "b"]
+    a_hi = [r.hi_text for r in out if r.basename == "a"]
+    a_en = [r.en_text for r in out if r.basename == "a"]
+    assert len(set(a_hi)) == 2 and sorted(a_en) == ["e1", "e2"]

@@ -113,17 +113,18 @@ def stage_counts(df: DataFrame, min_dur: float = MIN_DUR, max_dur: float = MAX_D
 def duration_stats(df: DataFrame, by: str = "lang") -> DataFrame:
     """count / mean / sample std / min / quartiles / max of ``duration_sec`` per group.
 
-    Quartiles are exact with linear interpolation (``percentile``); its buffer
-    holds one entry per distinct duration, which durations rounded to ms bound.
-    """
+    Quartiles are exact with linear interpolation, computed without gathering
+    a group's values in one task (:mod:`dhvani.operators.quantile`)."""
+    from .quantile import exact_quantiles
     d = F.col("duration_sec")
-    q = F.percentile(d, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return (df.groupBy(by).agg(
+    base = df.groupBy(by).agg(
         F.count(d).alias("n"), F.avg(d).alias("mean_sec"), F.stddev_samp(d).alias("std_sec"),
-        F.min(d).alias("min_sec"), q.alias("_q"), F.max(d).alias("max_sec"))
-        .select(by, "n", "mean_sec", "std_sec", "min_sec",
-                F.col("_q")[0].alias("p25_sec"), F.col("_q")[1].alias("p50_sec"),
-                F.col("_q")[2].alias("p75_sec"), "max_sec"))
+        F.min(d).alias("min_sec"), F.max(d).alias("max_sec"))
+    q = exact_quantiles(df, "duration_sec", (0.25, 0.5, 0.75), by=[by])
+    return (base.join(q, by, "left")
+            .select(by, "n", "mean_sec", "std_sec", "min_sec",
+                    F.col("quantiles")[0].alias("p25_sec"), F.col("quantiles")[1].alias("p50_sec"),
+                    F.col("quantiles")[2].alias("p75_sec"), "max_sec"))
 
 
 def duration_histogram(df: DataFrame, width: float = 1.0, by: str = "lang") -> DataFrame:

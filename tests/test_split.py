@@ -85,3 +85,25 @@ def test_basename_join_pairs_duplicates_by_occurrence(spark):
     a_hi = [r.hi_text for r in out if r.basename == "a"]
     a_en = [r.en_text for r in out if r.basename == "a"]
     assert len(set(a_hi)) == 2 and sorted(a_en) == ["e1", "e2"]
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from dhvani.operators.quantile import exact_quantiles
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(5, 2, 3000), np.full(1500, 3.25), rng.uniform(0, 1e6, 10)])
+    df = spark.createDataFrame([(float(x), int(i % 3)) for i, x in enumerate(vals)], "v double, g int")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = exact_quantiles(df, "v", qs).first().quantiles
+    assert got == pytest.approx(list(np.quantile(vals, qs)), rel=1e-12, abs=1e-9)
+    by = {r.g: r.quantiles for r in exact_quantiles(df, "v", [0.5], by=["g"]).collect()}
+    for g in range(3):
+        assert by[g][0] == pytest.approx(float(np.quantile(vals[g::3], 0.5)), rel=1e-12)
+
+
+def test_duration_edges_methods_agree(spark):
+    from dhvani.operators.split import duration_edges
+    df = spark.range(5000).select(((F.col("id") * 7919 % 10007) / 500.0 + 0.5).alias("duration_sec"))
+    a = duration_edges(df).first().edges
+    b = duration_edges(df, method="distributed").first().edges
+    assert a == pytest.approx(b, rel=1e-12)

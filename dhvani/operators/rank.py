@@ -50,12 +50,16 @@ def seed_hash_sql(cols: Sequence[str], seed: int = SEED) -> str:
 
 def seeded_rank(df: DataFrame, key_cols: Sequence, seed: int = SEED,
                 by: Sequence[str] = (), rank_col: str = "rank",
-                copies: str = "collapse", prefix_len: int = 4) -> DataFrame:
+                copies: str = "collapse", prefix_len: int = 4,
+                few_groups: bool = False) -> DataFrame:
     """Add ``rank_col`` = 1-based position of each row in the seeded order.
 
     The order is ``md5(keys|seed)``, ties broken by the remaining columns.
-    Ranks are dense and exact within each ``by`` group (``by`` must have few
-    distinct values, e.g. five duration bins).
+    Ranks are dense and exact within each ``by`` group.  The bucket offsets
+    (``16**prefix_len`` rows per group) are broadcast only when there is no
+    group or the caller states ``few_groups`` (e.g. five duration bins);
+    otherwise the join is left to the planner.  For many groups, prefer
+    :func:`rank_within`.
 
     ``copies='collapse'`` (default) merges rows that share the key hash and all
     other column values map-side before any shuffle and expands them again in
@@ -81,7 +85,8 @@ def seeded_rank(df: DataFrame, key_cols: Sequence, seed: int = SEED,
     wb = (Window.partitionBy(*by, "_b").orderBy("_h", *tiebreak)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     x = x.withColumn("_cum", F.sum("_n").over(wb))
-    x = x.join(F.broadcast(offsets), [*by, "_b"], "inner")
+    bounded = not by or few_groups
+    x = x.join(F.broadcast(offsets) if bounded else offsets, [*by, "_b"], "inner")
     x = x.withColumn("_hi", F.col("_off") + F.col("_cum"))
 
     if copies == "unique":

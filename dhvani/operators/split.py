@@ -106,7 +106,7 @@ def stratified_split(df: DataFrame, val_frac: float = 0.05, test_frac: float = 0
     q = _apportion(counts, "dur_bin", "_c", rest, "_rest_b")
     q = _apportion(q, "dur_bin", "_rest_b", test, "_test_b")
     ranked = seeded_rank(x, key_cols, seed, by=["dur_bin"], rank_col="_rank",
-                         copies="unique" if unique_key else "collapse")
+                         copies="unique" if unique_key else "collapse", few_groups=True)
     y = ranked.join(F.broadcast(q.select("dur_bin", "_rest_b", "_test_b")), "dur_bin")
     label = (F.when(F.col("_rank") <= F.col("_test_b"), "test")
              .when(F.col("_rank") <= F.col("_rest_b"), "val").otherwise("train"))

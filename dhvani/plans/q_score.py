@@ -8,7 +8,6 @@ from ..operators import score as SC
 from ..sources import views as V
 from ..sources.tables import read_table
 from .catalog import r6, register
-from .q_ingest import ustrip_sql
 from ..functions.text import SQL_S
 
 
@@ -132,7 +131,6 @@ def _bleu_sql():
             grams.append(f"""select row_id, {n} as n, '{side}' as side, unnest(list_transform(range(1, len({col}) - {n} + 2),
   lambda i: array_to_string({col}[i:i + {n - 1}], ' '))) as g from tok""")
     st = " union all ".join(grams)
-    precs = []
     body = f""", tok as (select row_id, {_tok13a_sql('ref')} as rt, {_tok13a_sql('hyp')} as ht from mt),
 lens as (select sum(len(ht)) as sys_len, sum(len(rt)) as ref_len from tok),
 grams as ({st}),
@@ -153,7 +151,6 @@ sc as (select p1, p2, p3, p4, sys_len, ref_len,
 select round(bp * exp(((case when p1 > 0 then ln(p1) else -9999999999 end) + (case when p2 > 0 then ln(p2) else -9999999999 end)
   + (case when p3 > 0 then ln(p3) else -9999999999 end) + (case when p4 > 0 then ln(p4) else -9999999999 end)) / 4), 6) as bleu,
   round(bp, 6) as bp, round(p1, 6) as p1, round(p2, 6) as p2, round(p3, 6) as p3, round(p4, 6) as p4, sys_len, ref_len from sc"""
-    _ = precs
     return V.with_views(body.lstrip(", "), ctes=[_MT]).replace("\ntok as", ",\ntok as", 1)
 
 
@@ -187,5 +184,3 @@ def q_chrf(spark, d):
     c = SC.chrf(mt_pairs_v(spark, d))
     return c.select(*[r6(x).alias(x) for x in ("chrf", "char_precision", "char_recall")])
 
-
-_ = ustrip_sql

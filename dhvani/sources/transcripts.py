@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_stem
@@ -151,5 +151,4 @@ def read_sidecars(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 __all__ = ["read_lines", "parse_transcript_lines", "parse_tab_map", "parse_festival", "last_wins",
-           "read_csv", "csv_order", "transcript_map_from_csv", "load_transcripts", "read_sidecars",
-           "Column"]
+           "read_csv", "csv_order", "transcript_map_from_csv", "load_transcripts", "read_sidecars"]

@@ -5,7 +5,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from dhvani.functions.kernels import edit_distance_seq
 from dhvani.operators import score as SC
@@ -166,4 +165,3 @@ def test_char_offsets_sparse_keys(spark):
     df = spark.createDataFrame([(5, "ab"), (70000, "c"), (2 ** 33, "def"), (2 ** 33 + 1, "")], "row_id long, text string")
     got = {r.row_id: r.offset for r in SC.char_offsets(df).collect()}
     assert got == {5: 0, 70000: 2, 2 ** 33: 3, 2 ** 33 + 1: 6}
-    _ = F

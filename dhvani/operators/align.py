@@ -63,12 +63,22 @@ def basename_join(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:
     A stem that occurs more than once is paired by occurrence: the i-th row
     of the stem on one side (in the seeded order of its text) with the i-th
     on the other, so the output is linear in the input and no group emits all
-    its pairs.  Unique stems join exactly as a plain inner join.  The join
-    key (basename, occurrence) is unique on both sides, so a hot stem is no
-    hot key."""
-    h = rank_within(hi.dropna(), ["basename"], ["hi_text"], seed, "_occ")
-    e = rank_within(en.dropna(), ["basename"], ["en_text"], seed, "_occ")
-    return h.join(e, ["basename", "_occ"], "inner").drop("_occ")
+    its pairs.  Stem counts (combined map-side) find the stems that match and
+    repeat (one small job decides at plan time whether there are any); only
+    their rows are ranked (:func:`rank_within`, skew-safe), all other rows
+    join directly, each side shuffled once by basename."""
+    hi, en = hi.dropna(), en.dropna()
+    hc = hi.groupBy("basename").agg(F.count(F.lit(1)).alias("_nh"))
+    ec = en.groupBy("basename").agg(F.count(F.lit(1)).alias("_ne"))
+    multi = hc.join(ec, "basename").filter((F.col("_nh") > 1) | (F.col("_ne") > 1)).select("basename")
+    if multi.isEmpty():  # one job over the stem counts; the usual case needs no ranks
+        return hi.join(en, "basename", "inner")
+    plain = (hi.join(multi, "basename", "left_anti")
+             .join(en.join(multi, "basename", "left_anti"), "basename", "inner"))
+    h = rank_within(hi.join(multi, "basename", "left_semi"), ["basename"], ["hi_text"], seed, "_occ")
+    e = rank_within(en.join(multi, "basename", "left_semi"), ["basename"], ["en_text"], seed, "_occ")
+    occ = h.join(e, ["basename", "_occ"], "inner").drop("_occ")
+    return plain.unionByName(occ)
 
 
 def random_pairing(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:

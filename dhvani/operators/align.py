@@ -110,13 +110,17 @@ def align(hi_df: DataFrame, en_df: DataFrame, fallback: str = "random", seed: in
     """Aligned, cleaned ``(basename, hi_text, en_text)`` pairs.
 
     With ``fallback='random'`` and no basename match, sides are paired at
-    random (one cheap ``isEmpty`` job decides)."""
+    random (one job over the distinct stems decides)."""
     hi = keyed_side(hi_df, "hi_text")
     en = keyed_side(en_df, "en_text")
-    merged = basename_join(hi, en, seed)
-    if fallback == "random" and merged.isEmpty():
-        merged = random_pairing(hi, en, seed).dropna()
-    return drop_blank(merged)
+    if fallback == "random":
+        # any stem with a non-null text on both sides?  decided on distinct
+        # stems (combined map-side), not by running the text join
+        stems_h = hi.dropna().select("basename").distinct()
+        stems_e = en.dropna().select("basename").distinct()
+        if stems_h.join(stems_e, "basename", "left_semi").isEmpty():
+            return drop_blank(random_pairing(hi, en, seed).dropna())
+    return drop_blank(basename_join(hi, en, seed))
 
 
 def seq2seq_examples(pairs: DataFrame, direction: str = "hi-en") -> DataFrame:

@@ -8,7 +8,6 @@ under the shared checkpoint folder and scan it back.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as TX
 from ..operators import lookup as L
@@ -16,6 +15,7 @@ from ..session import local_path, scratch_path
 from ..sources import transcripts as S
 from ..sources import views as V
 from ..sources.inventory import audio_inventory
+from ..sources.manifests import read_manifest, write_manifest_table, write_splits
 from ..sources.tables import read_table
 from .catalog import register
 
@@ -202,14 +202,8 @@ def q_error_sample(spark, d):
 
 # ---- A1 manifest CSV scan, A2 header canonicalisation, A3 transcript CSV -------------
 
-MANIFEST_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("wav_path", T.StringType()),
-    T.StructField("duration_sec", T.DoubleType()), T.StructField("transcript", T.StringType()),
-    T.StructField("lang", T.StringType())])
-
-
 def _write_csv(df, path):
-    df.write.options(**S.CSV_OPTS).mode("overwrite").csv(path)
+    write_manifest_table(df, path, "csv")
 
 
 @register("manifest_scan", V.with_views(
@@ -217,7 +211,7 @@ def _write_csv(df, path):
 def q_manifest_scan(spark, d):
     path = scratch_path(spark, "manifest_csv")
     _write_csv(V.manifest_v(spark, d), path)
-    m = S.read_csv(spark, path, MANIFEST_SCHEMA)
+    m = read_manifest(spark, path)
     return m.select("id", "wav_path", F.round("duration_sec", 6).alias("duration_sec"), "transcript", "lang")
 
 
@@ -254,7 +248,7 @@ def q_split_roundtrip(spark, d):
     from .q_manifest import _combine_inputs
     from .combine_split import combine_filter_split
     path = scratch_path(spark, "splits")
-    combine_filter_split(_combine_inputs(spark, d)).write.partitionBy("split").mode("overwrite").parquet(path)
+    write_splits(combine_filter_split(_combine_inputs(spark, d)), path)
     return spark.read.parquet(path).select("id", "split")
 
 

@@ -79,3 +79,17 @@ def test_route(spark):
     good, bad = route(df, F.when(F.col("n") < int(0.3 * 16000), F.lit("too_short")))
     assert [r.input_path for r in good.collect()] == ["b"]
     assert [(r.input_path, r.error) for r in bad.collect()] == [("a", "too_short")]
+
+
+def test_manifest_csv_roundtrip_and_split_folders(spark):
+    from dhvani.sources.manifests import read_manifest, write_manifest_table, write_splits
+    rows = [("1", "/c/1.wav", 1.25, 'He said "hi",\nthen left', "en"), ("2", "/c/2.wav", 3.5, "", "hi")]
+    df = spark.createDataFrame(rows, "id string, wav_path string, duration_sec double, transcript string, lang string")
+    d = tempfile.mkdtemp(prefix="dhvani-man-")
+    write_manifest_table(df, os.path.join(d, "m"), "csv")
+    back = sorted(tuple(r) for r in read_manifest(spark, os.path.join(d, "m")).collect())
+    assert back[0] == rows[0] and back[1][:3] == rows[1][:3]
+    s = df.withColumn("split", F.when(F.col("id") == "1", "train").otherwise("test"))
+    write_splits(s, os.path.join(d, "s"), "csv")
+    got = read_manifest(spark, os.path.join(d, "s", "split=test")).collect()
+    assert [r.id for r in got] == ["2"]

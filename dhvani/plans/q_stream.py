@@ -30,7 +30,8 @@ def q_stream_last_wins(spark, d):
     (lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value")
      .write.partitionBy("source").text(folder))
     name = "latest_" + uuid.uuid4().hex[:12]
-    q = start_latest_transcripts(spark, folder, name, "en", trigger_once=True)
+    q = start_latest_transcripts(spark, folder, name, "en", trigger_once=True,
+                                 state_partitions=spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     rows = spark.table(name)
     # each key's entries sit in one file, read in one batch: one row per key

@@ -47,12 +47,24 @@ def latest_per_key(entries: DataFrame) -> DataFrame:
 
 
 def start_latest_transcripts(spark: SparkSession, folder: str, sink_table: str, lang: str = "en",
-                             checkpoint: str | None = None, trigger_once: bool = False):
+                             checkpoint: str | None = None, trigger_once: bool = False,
+                             state_partitions: int | None = None):
     """Run the stateful query into a memory table (tests, notebooks) or any
-    sink the caller configures; returns the ``StreamingQuery``."""
+    sink the caller configures; returns the ``StreamingQuery``.
+
+    ``state_partitions`` fixes the number of state-store partitions (a
+    stream keeps the value it starts with for its whole life); the session's
+    setting is restored once the query has started."""
     q = latest_per_key(normalized_entries(line_stream(spark, folder), lang))
     w = (q.writeStream.outputMode("update").format("memory").queryName(sink_table)
          .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{sink_table}")))
     if trigger_once:
         w = w.trigger(availableNow=True)
-    return w.start()
+    if not state_partitions:
+        return w.start()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        return w.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

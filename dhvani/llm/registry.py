@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, toxicity
+from . import decontam, jaccard, substring, toxicity
 
 QUERIES = {
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_substring_dedup": substring.op4_substring_dedup,
+    "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

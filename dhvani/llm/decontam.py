@@ -21,9 +21,8 @@ The items are worked in blocks of ``BLOCK_ITEMS`` rows and ``BLOCK_BYTES`` bytes
 what tasks hold is bounded whatever the size of the benchmark.  Documents are
 not shuffled.
 
-Recall: an item with ``len(SAMPLES[0])`` unspoilt words in a row always meets
-its window; the longer samples also meet passages with edits between the sampled
-places.  Measured against brute force in tests/llm.
+Recall: an unspoilt stretch of the words that a walk passes always meets its
+window; longer strides also meet passages with edits between the sampled places.  Measured against brute force in tests/llm.
 
 Cases: null or empty documents and items match nothing; an item of fewer words
 than a sample is compared by the words it has; repeated rows are judged alike; a
@@ -39,8 +38,11 @@ from pyspark.sql import functions as F
 
 from . import kit
 
-#: Places of the walk that each repetition samples.
-SAMPLES = ((0, 2, 4, 6), (0, 3, 7, 11, 15), (0, 4, 9, 14, 19, 23))
+#: Repetitions: the walk is sampled every so many steps, until so many different
+#: words have been sampled (a pointer may rest on a word for several samples).
+REPETITIONS = ((2, 4), (3, 5), (4, 5))
+#: Samples of a walk at most: chances that a path needs more are below 1 in 1000.
+LEVELS = 20
 #: Least edit similarity of a passage.
 SIMILARITY = 0.8
 BLOCK_ITEMS = 20_000
@@ -54,25 +56,33 @@ def _coin(h: np.ndarray, seed: int) -> np.ndarray:
     return ((kit.mix(h ^ np.uint64(seed * 0x9E3779B9 + 0x51ED27)) >> np.uint64(17)) & np.uint64(1)).astype(np.int64)
 
 
-def walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, samples: tuple, rep: int):
-    """Yields (rows, key, inside) after each sampled step of the walks from ``at``;
-    send back the rows that go on.  Past ``end`` a walk emits zeros."""
-    at = at.copy()
-    rows = np.arange(len(at))
+def walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, rep: int):
+    """Yields (rows, key, words sampled, inside) at each sampled step of the walks
+    from ``at``; send back the rows that go on.  Past ``end`` a walk emits zeros."""
+    stride = REPETITIONS[rep][0]
+    at, last = at.copy(), np.full(len(at), -1)
+    rows, words = np.arange(len(at)), np.zeros(len(at), np.int64)
     key = np.full(len(at), rep + 1, np.uint64)
-    for j in range(samples[-1] + 1):
+    for j in range(LEVELS * stride):
         inside = at < end
         word = np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(0))
         move = _coin(word, rep * 1000 + j)
-        if j in samples:
+        if j % stride == 0:
             key = kit.mix(key ^ word)
-            keep = yield rows, key, inside
+            words = words + (inside & (at != last))
+            last = at
+            keep = yield rows, key, words, inside
             rows, key, at, end, move = rows[keep], key[keep], at[keep], end[keep], move[keep]
+            words, last = words[keep], last[keep]
         at = at + move
 
 
 class Index:
-    """Tries of the items' samples, a level for each sampled place."""
+    """Tries of the items' samples, a level for each sample.
+
+    A path ends where it has sampled the words it needs, or leaves its item (then
+    only if it began at the item's first word, for items of few words), or at the
+    last level."""
 
     def __init__(self, items: list[tuple]):
         self.items = [(i, " ".join(t.lower().split())) for i, t in items]
@@ -80,29 +90,29 @@ class Index:
         own = w.owner()
         self.offset = np.arange(len(own)) - w.first[own]
         self.own, self.size = own, np.diff(w.first)
-        end = w.first[own + 1]
-        self.levels = []  # by repetition: (table, final keys, their places) of each level
-        for rep, samples in enumerate(SAMPLES):
-            levels, walker, keep = [], walk(w.hash, np.arange(len(own)), end, samples, rep), None
-            last_rows = last_key = None
-            final: list[tuple[np.ndarray, np.ndarray]] = []
-            for k in range(len(samples)):
-                rows, key, inside = next(walker) if keep is None else walker.send(keep)
-                if k:  # walks that have left their item end where they were, the item's first ones only
+        self.tries = []  # by repetition: (table of the paths that go on, ends, their words, ended inside) of each level
+        for rep, (_, need) in enumerate(REPETITIONS):
+            walker, keep, trie = walk(w.hash, np.arange(len(own)), w.first[own + 1], rep), None, []
+            before = np.zeros(0, np.uint64)
+            for level in range(LEVELS):
+                rows, key, words, inside = next(walker) if keep is None else walker.send(keep)
+                if level:  # those that have left a short item end one level up
                     out = ~inside & (self.offset[rows] == 0)
-                    final[-1] = (last_key[out], last_rows[out])
-                keep = np.flatnonzero(inside)
-                last_rows, last_key = rows[keep], key[keep]
+                    trie[-1][1].append((before[out], rows[out]))
+                done = inside & ((words >= need) | (level == LEVELS - 1))
+                keep = np.flatnonzero(inside & ~done)
                 table = np.zeros(1 << TABLE_BITS, bool)
-                table[(last_key & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
-                levels.append(table)
-                final.append((last_key[:0], last_rows[:0]))
-            final[-1] = (last_key, last_rows)
-            sorted_final = []
-            for key, rows in final:
+                table[(key[keep] & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
+                trie.append((table, [(key[done], rows[done])]))
+                before = key[keep]
+                if not len(keep):
+                    break
+            ends = []
+            for table, parts in trie:
+                key, rows = (np.concatenate(x) for x in zip(*parts))
                 order = np.argsort(key, kind="stable")
-                sorted_final.append((key[order], rows[order]))
-            self.levels.append((levels, sorted_final))
+                ends.append((table, key[order], rows[order]))
+            self.tries.append(ends)
 
     def candidates(self, w: kit.Words):
         """(text, item, word that the item's first word falls on) of the proposed windows, once each."""
@@ -112,12 +122,10 @@ class Index:
         end = w.first[own + 1]
         mask = np.uint64((1 << TABLE_BITS) - 1)
         found = []
-        for rep, samples in enumerate(SAMPLES):
-            tables, final = self.levels[rep]
-            walker, keep = walk(w.hash, np.arange(len(own)), end, samples, rep), None
-            for k in range(len(samples)):
-                rows, key, inside = next(walker) if keep is None else walker.send(keep)
-                keys, places = final[k]
+        for rep, trie in enumerate(self.tries):
+            walker, keep = walk(w.hash, np.arange(len(own)), end, rep), None
+            for table, keys, places in trie:
+                rows, key, _, inside = next(walker) if keep is None else walker.send(keep)
                 if len(keys):
                     lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     n = np.where(inside, hi - lo, 0)
@@ -125,7 +133,7 @@ class Index:
                     which = places[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]]
                     p = rows[hit]
                     found.append(np.column_stack((own[p], self.own[which], p - w.first[own[p]] - self.offset[which])))
-                keep = np.flatnonzero(inside & tables[k][(key & mask).astype(np.int64)])
+                keep = np.flatnonzero(inside & table[(key & mask).astype(np.int64)])
                 if not len(keep):
                     break
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, substring, toxicity
+from . import bpe, decontam, jaccard, substring, toxicity
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,

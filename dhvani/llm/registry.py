@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, jaccard, substring, topk, toxicity
+from . import bpe, chat, decontam, jaccard, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_topk": topk.SQL}
+ORACLE: dict[str, str] = {"op2_exact_topk": topk.SQL, "op6_chat_formatting": chat.SQL}

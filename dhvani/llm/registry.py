@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, substring, topk, toxicity
+from . import bpe, chat, decontam, jaccard, licenses, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op10_toxicity": toxicity.op10_toxicity,
 }

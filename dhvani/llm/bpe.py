@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import kit
 
 #: Characters of a piece.
-LEAF = 16_384
+LEAF = 65_536
 #: Words kept with their tokens in a task.
 KNOWN_WORDS = 200_000
 #: A word of more bytes isn't kept, and is merged by a heap.
@@ -197,7 +197,11 @@ class Encoder:
         """A piece of a text; its last word stays open unless the text ends there."""
         found = [m.span() for m in self.pattern.finditer(text)]
         return Piece(text, [s for s, _ in found], [e for _, e in found],
-                     [self.word(text[s:e], closed=last or e < len(text)) for s, e in found], last)
+                     [self.kept(text[s:e]) if last or e < len(text) else self.word(text[s:e], False) for s, e in found], last)
+
+    def kept(self, word: str) -> list[int]:
+        """Tokens of a whole word, by the table."""
+        return list(map(int, self.known[word][0].split(" ")))
 
     def concat(self, a: Piece, b: Piece) -> Piece:
         """Both halves as one."""
@@ -230,7 +234,7 @@ class Encoder:
                 return self.close(left) if closed else left
             if left is not None and b.starts and b.starts[0] == 0 and cut + b.ends[0] == e:
                 return self.join(left, b.tokens[0])
-        return self.word(text[s:e], closed)
+        return self.kept(text[s:e]) if closed else self.word(text[s:e], False)
 
 
 class Known(dict):
@@ -316,6 +320,8 @@ def encode(docs: DataFrame, path: str | None = None, make=TOKENS) -> DataFrame:
     names = _names(schema)
     piece_names = ["row", "seg", "k", "special", "piece", "ended"]
 
+    loaded: list[Encoder] = []
+
     def whole(frames):
         """Short texts encoded; pieces of long ones."""
         from pyspark import TaskContext
@@ -350,7 +356,9 @@ def encode(docs: DataFrame, path: str | None = None, make=TOKENS) -> DataFrame:
 
     def grown(f: pd.DataFrame) -> pd.DataFrame:
         """A text out of its pieces."""
-        encoder, out = Encoder(vocabulary.value), []
+        if not loaded:  # once for all texts of a task
+            loaded.append(Encoder(vocabulary.value))
+        encoder, out = loaded[0], []
         f = f.sort_values(["seg", "k"])
         for _, s in f.groupby("seg"):
             if s["special"].iloc[0] >= 0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, licenses, substring, topk, toxicity
+from . import bpe, chat, decontam, jaccard, licenses, quality, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+    "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, jaccard, licenses, quality, substring, topk, toxicity
+from . import bpe, chat, decontam, html_main, jaccard, licenses, quality, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op4_substring_dedup": substring.op4_substring_dedup,
+    "op5_html_extraction": html_main.op5_html_extraction,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,

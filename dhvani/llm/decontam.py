@@ -240,11 +240,15 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     for items in item_blocks(kit.table(spark, sf_dir, "benchmark")):
         shared = spark.sparkContext.broadcast(items)
 
-        def run(frames, shared=shared):
+        def judge(shared=shared):
             index = Index(shared.value)
-            for f, texts in _frames(frames):
-                ok = np.ones(len(f), bool)
-                ok[[m[0] for m in index.matches(texts)]] = False
-                yield f[ok]
-        docs = docs.mapInPandas(run, docs.schema)
+
+            def passes(texts):
+                texts = [t if isinstance(t, str) else "" for t in texts]
+                mask = np.ones(len(texts), bool)
+                for a, b in kit.chunks(texts, kit.CHUNK_BYTES // 2):
+                    mask[[a + m[0] for m in index.matches(texts[a:b])]] = False
+                return mask
+            return passes
+        docs = kit.keep_rows(docs, judge)
     return docs

@@ -121,6 +121,27 @@ class Words:
         return mix(g), at
 
 
+def keep_rows(docs: DataFrame, judge) -> DataFrame:
+    """The rows of ``docs`` that pass, with every column as it is.  ``judge()`` is
+    called once in a task and returns a function texts -> mask of those that pass;
+    Arrow batches are filtered whole, so other columns' values aren't touched."""
+    def run(batches):
+        import pyarrow as pa
+
+        passes = judge()
+        for b in batches:
+            yield b.filter(pa.array(passes(b.column("text").to_pylist()), pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, comp), comp being
     the smallest node.  Nodes without an edge are not listed.

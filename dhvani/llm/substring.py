@@ -340,44 +340,39 @@ def repeats(docs: DataFrame, window: int = WINDOW, subtree: int = SUBTREE) -> Da
     return marks.groupBy("b").applyInPandas(_spans(window), "doc_id long, cls long, spans array<long>")
 
 
-def _text_class(texts: list[bytes], powers: Powers, window: int) -> Chunk:
-    return Chunk(np.arange(len(texts)), texts, window, powers)
+def judged(docs: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the list ``name`` of (cls, spans) of its id (null: none)."""
+    key = kit.free_name(docs, "_id")
+    per_id = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("cls", "spans")).alias(name))
+    return docs.join(per_id, docs["doc_id"].cast("long") == per_id[key], "left").drop(key)
 
 
-def judged(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the list ``_spans`` of (cls, spans) of its id (null: none)."""
-    per_id = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("cls", "spans")).alias("_spans"))
-    return docs.join(per_id, docs["doc_id"].cast("long") == per_id["_id"], "left").drop("_id")
-
-
-def _own_spans(frames, window: int):
-    """(frame, words, spans of each text) in chunks."""
-    powers = Powers()
-    for f in frames:
-        f = f.reset_index(drop=True)
-        texts = kit.to_bytes(f["text"])
-        for a, b in kit.chunks(texts):
-            g = f.iloc[a:b]
-            c = _text_class(texts[a:b], powers, window)
-            found = []
-            for key, lists in zip(c.cls.tolist(), g["_spans"]):
-                mine = [s["spans"] for s in lists if s["cls"] == key] if lists is not None else []
-                found.append(np.asarray(mine[0], np.int64).reshape(-1, 2).tolist() if mine else [])
-            yield g, texts[a:b], c.words, found
+def _own_spans(texts: list[str | None], lists, window: int, powers: Powers):
+    """(first row, byte texts, words, spans of each text) in chunks."""
+    data = kit.to_bytes(texts)
+    for a, b in kit.chunks(data):
+        c = Chunk(np.arange(b - a), data[a:b], window, powers)
+        found = []
+        for key, given in zip(c.cls.tolist(), lists[a:b]):
+            mine = [s["spans"] for s in given if s["cls"] == key] if given is not None else []
+            found.append(np.asarray(mine[0], np.int64).reshape(-1, 2).tolist() if mine else [])
+        yield a, data[a:b], c.words, found
 
 
 def _digest(window: int):
     def run(frames):
-        for f, texts, w, found in _own_spans(frames, window):
+        powers = Powers()
+        for f in frames:
             rows = []
-            for i, (t, spans) in enumerate(zip(texts, found)):
-                words = t.split()
-                kept, last = [], 0
-                for s, e in spans:
-                    kept += words[last:s]
-                    last = e
-                kept += words[last:]
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            for _, texts, _, found in _own_spans(f["text"].tolist(), f["_spans"].tolist(), window, powers):
+                for t, spans in zip(texts, found):
+                    words = t.split()
+                    kept, last = [], 0
+                    for s, e in spans:
+                        kept += words[last:s]
+                        last = e
+                    kept += words[last:]
+                    rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
             out.insert(0, "doc_id", f["doc_id"].astype("Int64").array)
             yield out
@@ -387,30 +382,39 @@ def _digest(window: int):
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """50-word windows over all documents."""
     docs = kit.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judged(docs, repeats(docs)).mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return judged(docs, repeats(docs), "_spans").mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated words cut out of their texts; a text that nothing
     goes from stays as it is, one that all goes from becomes empty.  n_chars follows."""
-    schema = docs.schema
-
-    def run(frames):
-        for f, texts, w, found in _own_spans(frames, WINDOW):
-            f = f.drop(columns="_spans").copy()
-            text = f["text"].tolist()
-            for i, spans in enumerate(found):
-                if not spans:
-                    continue
-                t, base, first = texts[i], w.base[i], w.first[i]
-                n = w.first[i + 1] - first
-                out, last = [], 0
-                for s, e in spans:
-                    out.append(t[last:w.start[first + s] - base])
-                    last = w.start[first + e] - base if e < n else len(t)
-                text[i] = (b"".join(out) + t[last:]).decode("utf-8", "surrogatepass")
-            f["text"] = text
-            if "n_chars" in f:
-                f["n_chars"] = [len(t) if spans else c for t, spans, c in zip(text, found, f["n_chars"])]
-            yield f
-    return judged(docs, repeats(docs)).mapInPandas(run, schema)
+    schema, name = docs.schema, kit.free_name(docs, "_spans")
+
+    def run(batches):
+        import pyarrow as pa
+
+        powers = Powers()
+        for batch in batches:
+            text = batch.column("text").to_pylist()
+            cut: dict[int, str] = {}
+            for first_row, texts, w, found in _own_spans(text, batch.column(name).to_pylist(), WINDOW, powers):
+                for i, spans in enumerate(found):
+                    if not spans:
+                        continue
+                    t, base, first = texts[i], w.base[i], w.first[i]
+                    n, out, last = w.first[i + 1] - first, [], 0
+                    for s, e in spans:
+                        out.append(t[last:w.start[first + s] - base])
+                        last = w.start[first + e] - base if e < n else len(t)
+                    cut[first_row + i] = (b"".join(out) + t[last:]).decode("utf-8", "surrogatepass")
+            columns = {}
+            for c in schema.names:
+                values = batch.column(c)
+                if cut and c in ("text", "n_chars"):
+                    old = values.to_pylist()
+                    for i, t in cut.items():
+                        old[i] = t if c == "text" else len(t)
+                    values = pa.array(old, values.type)
+                columns[c] = values
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return judged(docs, repeats(docs), name).mapInArrow(run, schema)

@@ -199,6 +199,12 @@ def fold_expr(e: tuple, filters: dict) -> tuple:
 
 def fold(body: list[tuple], filters: dict) -> list[tuple]:
     out: list[tuple] = []
+
+    def add(node: tuple) -> None:
+        if node[0] == "text" and out and out[-1][0] == "text":
+            out[-1] = ("text", out[-1][1] + node[1])
+        elif node != ("text", ""):
+            out.append(node)
     for node in body:
         kind = node[0]
         if kind == "print":
@@ -222,13 +228,11 @@ def fold(body: list[tuple], filters: dict) -> list[tuple]:
             if not arms:
                 continue
             if arms[0][0][0] == "const":
-                out += arms[0][1]
+                for n in arms[0][1]:
+                    add(n)
                 continue
             node = ("if", arms)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            out[-1] = ("text", out[-1][1] + node[1])
-        elif node != ("text", ""):
-            out.append(node)
+        add(node)
     return out
 
 

@@ -221,7 +221,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)))
 
     def search(asked: DataFrame, where: DataFrame) -> DataFrame:
-        data = where.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")) if blocks > 1 else where.withColumn("block", F.lit(0).cast("long"))
+        data = where.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         key = ["pivot", "sub", "block"]
         return (asked.select(*key, "vec_id", "v", "least").groupBy(*key)
                 .cogroup(data.select(*key, "vec_id", "v").groupBy(*key)).applyInPandas(_cell(dim, top, k), found_schema))

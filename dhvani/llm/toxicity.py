@@ -3,9 +3,10 @@
 Learning: for each token (a run of letters and digits, A-Z lower-cased) count
 the toxic and the clean training documents that hold it, and compare both with
 the informative Dirichlet prior that the sum of the classes gives (Monroe et
-al., 2008).  Tokens whose log-odds differ by ``Z`` standard errors enter the
-model, the ``MAX_TOKENS`` most certain ones; all other tokens share the
-log-odds of the remaining mass, which is below zero.
+al., 2008).  Tokens that a share ``SUPPORT`` of the documents of a class holds and
+whose log-odds differ by ``Z`` standard errors enter the model, the ``MAX_TOKENS``
+most certain ones; all other tokens share the log-odds of the remaining mass, which
+is below zero.
 
 Scoring: the token scores of a text form a sequence, and one linear scan
 (Ruzzo and Tompa, 1999) finds all its disjoint maximal-scoring segments.  Under
@@ -41,7 +42,9 @@ TRAIN_ROWS = 20_000
 #: Bound of the tokens in the model.
 MAX_TOKENS = 50_000
 #: Standard errors that a token's log-odds must differ from zero by.
-Z = 5.0
+Z = 4.5
+#: Share of the documents of a class that must hold a token for it to enter the model.
+SUPPORT = 0.02
 #: Dirichlet prior: pseudo-counts of a token over both classes.
 PRIOR = 2.0
 #: Largest |score| of a token.
@@ -172,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = TRAIN_ROWS) -
     odds = F.log((F.col("t") + at) / nt) - F.log((F.col("c") + ac) / nc)
     err = F.sqrt(1 / (F.col("t") + at) + 1 / (F.col("c") + ac))
     cand = counts.withColumn("odds", odds).withColumn("z", F.abs(odds / err))
-    rare = F.col("t") + F.col("c") >= 5
-    chosen = (cand.where(rare & (F.col("z") >= Z))
+    known = (F.col("t") >= max(SUPPORT * toxic, 3)) | (F.col("c") >= max(SUPPORT * clean, 3))
+    chosen = (cand.where(known & (F.col("z") >= Z))
               .orderBy(F.desc("z"), "tok").limit(MAX_TOKENS).select("tok", "t", "c", "odds").collect())
     tok = np.array([r["tok"] for r in chosen], np.int64).view(np.uint64)
     order = np.argsort(tok)
@@ -262,8 +265,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     The verdict is made beside the text in one pass: nothing is shuffled."""
     model = fit(docs, kit.table(spark, sf_dir, "labels"), train_fold(F.col("doc_id")))
 
-    def run(frames):
-        for f, w in _pieces(frames):
-            best = np.array([max((s[2] for s in seg), default=0.0) for _, _, seg in _best(model, w)], float)
-            yield f[model.probability(best, np.diff(w.first)) < THRESHOLD]
-    return docs.mapInPandas(run, docs.schema)
+    def judge():
+        def passes(texts):
+            data, mask = kit.to_bytes(texts, lower=True), np.ones(len(texts), bool)
+            for a, b in kit.chunks(data):
+                w = kit.Words(data[a:b], kit.NOT_WORD)
+                best = np.array([max((s[2] for s in seg), default=0.0) for _, _, seg in _best(model, w)], float)
+                mask[a:b] = model.probability(best, np.diff(w.first)) < THRESHOLD
+            return mask
+        return passes
+    return kit.keep_rows(docs, judge)

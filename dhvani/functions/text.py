@@ -24,11 +24,16 @@ ONES = ["", "one", "two", "three", "four", "five", "six", "seven", "eight", "nin
         "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen",
         "eighteen", "nineteen"]
 TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
-SCALES = ["", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion",
-          "sextillion", "septillion", "octillion", "nonillion", "decillion"]
+# Scale words: the small ones, then Latin ones and tens, then the last.
+SMALL_ILLIONS = ["m", "b", "tr", "quadr", "quint", "sext", "sept", "oct", "non"]
+LATIN_ONES = ["", "un", "duo", "tre", "quattuor", "quin", "sex", "sept", "octo", "novem"]
+LATIN_TENS = ["dec", "vigint", "trigint", "quadragint", "quinquagint", "sexagint", "septuagint", "octogint", "nonagint"]
+LAST_ILLION = "cent"
 # ---- end of fixed values -----------------------------------------------------
 
-MAX_DIGITS = 3 * len(SCALES)  # longer digit runs are left as digits
+# 10^3k for k = 0, 1, ...: "", thousand, million ... nonillion, decillion, undecillion ... centillion (10^303).
+SCALES = ["", "thousand"] + [w + "illion" for w in (*SMALL_ILLIONS, *(o + t for t in LATIN_TENS for o in LATIN_ONES), LAST_ILLION)]
+MAX_DIGITS = 3 * len(SCALES)  # numbers of more digits (10^306 and over) have no words
 
 
 def _decimal_digit_map() -> tuple[str, str]:
@@ -69,8 +74,8 @@ def number_words(digits: Column) -> Column:
     """Decimal digit string (any script) -> English cardinal words.
 
     Leading zeros are ignored; 0 -> 'zero'; 'and' joins a final group below
-    100 to a larger number.  Runs over ``MAX_DIGITS`` digits come back as
-    ASCII digits (no words exist for them here)."""
+    100 to a larger number.  Numbers of more than ``MAX_DIGITS`` digits come back
+    as ASCII digits: the library that defines the words ends there too."""
     ascii_ = F.translate(digits, ND_SRC, ND_DST)
     p0 = F.regexp_replace(ascii_, r"^0+(?!$)", "")
     ng = F.ceil(F.length(p0) / 3).cast("int")
@@ -154,7 +159,12 @@ def number_words_sql(p: str) -> str:
     """SQL expression: ASCII digit string ``p`` -> words (same rules, from the definition)."""
     p0 = f"(case when regexp_replace({p}, '^0+', '') = '' then '0' else regexp_replace({p}, '^0+', '') end)"
     ng = f"cast(ceil(len({p0}) / 3) as integer)"
-    ones, tens, scales = _sql_arr(ONES), _sql_arr(TENS), _sql_arr(SCALES)
+    ones, tens = _sql_arr(ONES), _sql_arr(TENS)
+    # Names in the order of their powers, put together by the database.
+    scales = ("(['', 'thousand', 'million', 'billion', 'trillion', 'quadrillion', 'quintillion', 'sextillion', "
+              "'septillion', 'octillion', 'nonillion'] || flatten([[u || t || 'illion' for u in ['', 'un', 'duo', 'tre', "
+              "'quattuor', 'quin', 'sex', 'sept', 'octo', 'novem']] for t in ['dec', 'vigint', 'trigint', 'quadragint', "
+              "'quinquagint', 'sexagint', 'septuagint', 'octogint', 'nonagint']]) || ['centillion'])")
     r = "(_q.g % 100)"
     below = (f"(case when {r} < 20 then {ones}[{r} + 1] else concat_ws(' ', {tens}[{r} // 10 + 1], "
              f"case when {r} % 10 > 0 then {ones}[{r} % 10 + 1] end) end)")
@@ -166,7 +176,7 @@ def number_words_sql(p: str) -> str:
     groups = (f"list_transform(range(1, {ng} + 1), lambda _j: {{'g': cast(substr(lpad({p0}, {ng} * 3, '0'), "
               f"cast(3 * _j - 2 as integer), 3) as integer), 's': cast({ng} - _j as integer)}})")
     body = f"array_to_string(list_transform(list_filter({groups}, lambda _q: _q.g > 0), lambda _q: {grp}), ' ')"
-    return (f"(case when {p0} = '0' then 'zero' when len({p0}) > {MAX_DIGITS} then {p0} "
+    return (f"(case when {p0} = '0' then 'zero' when len({p0}) > 306 then {p0} "
             f"else {body} end)")
 
 
@@ -177,7 +187,7 @@ def normalize_en_sql(x: str) -> str:
     runs = f"regexp_extract_all(replace({x}, chr(8203), ' '), '[{SQL_W}]+|[^{SQL_W}]')"
     digits = f"translate(_w, '{ND_SRC}', '{ND_DST}')"
     conv = (f"case when regexp_matches(_w, '^\\p{{Nd}}+$') then "
-            f"(case when len(regexp_replace({digits}, '^0+', '')) > {MAX_DIGITS} then ' ' "
+            f"(case when len(regexp_replace({digits}, '^0+', '')) > 306 then ' ' "
             f"else {number_words_sql(digits)} end) "
             f"else regexp_replace(_w, '[^a-zA-Z'']', ' ', 'g') end")
     joined = f"array_to_string(list_transform({runs}, lambda _w: {conv}), '')"

@@ -56,29 +56,40 @@ def keyed_side(df: DataFrame, text_name: str) -> DataFrame:
     return df.select(path_stem(F.col(f).cast("string")).alias("basename"), F.col(t).cast("string").alias(text_name))
 
 
-def basename_join(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:
-    """Inner equi-join on basename, rows with any null dropped; null stems
-    never join.
-
-    A stem that occurs more than once is paired by occurrence: the i-th row
-    of the stem on one side (in the seeded order of its text) with the i-th
-    on the other, so the output is linear in the input and no group emits all
-    its pairs.  Stem counts (combined map-side) find the stems that match and
-    repeat (one small job decides at plan time whether there are any); only
-    their rows are ranked (:func:`rank_within`, skew-safe), all other rows
-    join directly, each side shuffled once by basename."""
+def basename_pairs(hi: DataFrame, en: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """``(pairs, rest)``: the equi-join on basename, rows with any null dropped (null
+    stems never join), and the rows of repeated stems that found no partner.
+
+    A stem that occurs more than once is paired by occurrence: the i-th row of the
+    stem on one side (in the seeded order of its text) with the i-th on the other, so
+    the output is linear in the input and no group emits all its pairs.  The rows of
+    the longer side that are left are ``rest``: (basename, side, text), side 'hi' or
+    'en'.  Nothing else of a matching stem is lost.  Stem counts (combined map-side)
+    find the stems that match and repeat (one small job decides at plan time whether
+    there are any); only their rows are ranked (:func:`rank_within`, skew-safe), all
+    other rows join directly, each side shuffled once by basename."""
     hi, en = hi.dropna(), en.dropna()
     hc = hi.groupBy("basename").agg(F.count(F.lit(1)).alias("_nh"))
     ec = en.groupBy("basename").agg(F.count(F.lit(1)).alias("_ne"))
     multi = hc.join(ec, "basename").filter((F.col("_nh") > 1) | (F.col("_ne") > 1)).select("basename")
+    rest_schema = "basename string, side string, text string"
     if multi.isEmpty():  # one job over the stem counts; the usual case needs no ranks
-        return hi.join(en, "basename", "inner")
+        return hi.join(en, "basename", "inner"), hi.sparkSession.createDataFrame([], rest_schema)
     plain = (hi.join(multi, "basename", "left_anti")
              .join(en.join(multi, "basename", "left_anti"), "basename", "inner"))
     h = rank_within(hi.join(multi, "basename", "left_semi"), ["basename"], ["hi_text"], seed, "_occ")
     e = rank_within(en.join(multi, "basename", "left_semi"), ["basename"], ["en_text"], seed, "_occ")
-    occ = h.join(e, ["basename", "_occ"], "inner").drop("_occ")
-    return plain.unionByName(occ)
+    both = h.join(e, ["basename", "_occ"], "full")
+    occ = both.filter(F.col("hi_text").isNotNull() & F.col("en_text").isNotNull()).drop("_occ")
+    rest = both.filter(F.col("hi_text").isNull() | F.col("en_text").isNull()).select(
+        "basename", F.when(F.col("hi_text").isNull(), "en").otherwise("hi").alias("side"),
+        F.coalesce("hi_text", "en_text").alias("text"))
+    return plain.unionByName(occ), rest
+
+
+def basename_join(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:
+    """The pairs of :func:`basename_pairs`."""
+    return basename_pairs(hi, en, seed)[0]
 
 
 def random_pairing(hi: DataFrame, en: DataFrame, seed: int = SEED) -> DataFrame:

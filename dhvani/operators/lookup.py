@@ -32,7 +32,7 @@ def attach_transcript(clips: DataFrame, tmap: DataFrame | None, sidecars: DataFr
 def semi_existing(df: DataFrame, inventory: DataFrame, path_col: str = "file",
                   inv_path: str = "path") -> DataFrame:
     """Rows whose ``path_col`` is in the inventory (left semi join; no per-row stat)."""
-    inv = inventory.select(F.col(inv_path).alias("_p")).distinct()
+    inv = inventory.select(F.col(inv_path).alias("_p"))
     return df.join(inv, df[path_col] == inv["_p"], "left_semi")
 
 

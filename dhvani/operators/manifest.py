@@ -59,26 +59,30 @@ def union_inputs(inputs: Sequence[tuple[DataFrame, str, Column]]) -> DataFrame:
     """Outer union by name of ``(df, path, row_order)`` inputs.
 
     Adds ``src_ord`` (input position) and ``row_ord`` (row position within the
-    input) so later steps can honour input order.  Missing columns are null.
+    input: a number, or the struct that ``sources.transcripts.csv_order`` gives
+    the rows of a file scan, the same kind for all inputs) so later steps can
+    honour input order.  Missing columns are null.
     """
     out = None
     for i, (df, path, order) in enumerate(inputs):
-        x = fill_lang(df, path).withColumn("src_ord", F.lit(i)).withColumn("row_ord", order.cast("long"))
+        x = fill_lang(df, path).withColumn("src_ord", F.lit(i)).withColumn("row_ord", order)
         out = x if out is None else out.unionByName(x, allowMissingColumns=True)
     return out
 
 
 def keep_first(df: DataFrame, key: str, order: Sequence[str] = ("src_ord", "row_ord")) -> DataFrame:
-    """First row per ``key`` in ``order`` (nulls form one key).
+    """First row per ``key`` in ``order`` (nulls form one key); ``order`` tells rows apart.
 
-    Written as ``min_by(struct(row), struct(order))``: the aggregate combines
-    map-side before the shuffle, so a key holding a third of all rows is
-    reduced to one row per map task rather than sent whole to one task.
+    The winner of each key is found on slim rows (key and order), combined map-side,
+    so a key holding a third of all rows costs one row per map task; a left-semi join
+    then picks the winners' rows.  Columns that nobody uses later are never read.
     """
-    cols = [c for c in df.columns]
-    ordk = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordk).alias("_r"))
-    return agg.select("_r.*")
+    first = df.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(*[F.col(c) for c in order])).alias("_o"))
+    first = first.select("_k", *[F.col("_o")[c].alias(f"_o_{c}") for c in order])
+    same = df[key].eqNullSafe(first["_k"])
+    for c in order:
+        same = same & df[c].eqNullSafe(first[f"_o_{c}"])
+    return df.join(first, same, "left_semi")
 
 
 def combine(inputs: Sequence[tuple[DataFrame, str, Column]], key: str = "wav_path") -> DataFrame:
@@ -86,15 +90,21 @@ def combine(inputs: Sequence[tuple[DataFrame, str, Column]], key: str = "wav_pat
     return keep_first(union_inputs(inputs), key)
 
 
-def combine_summary(combined: DataFrame) -> DataFrame:
-    """Per input: its rows and language; plus total rows and sorted distinct
-    languages of the combined (deduplicated) table."""
-    total = combined.select(F.count(F.lit(1))).scalar()
-    langs = combined.select(F.array_join(F.array_sort(F.collect_set("lang")), ",")).scalar()
-    return (combined.groupBy("src_ord")
-            .agg(F.count(F.lit(1)).alias("n_rows"), F.min("lang").alias("src_lang"))
-            .select("src_ord", "src_lang", "n_rows",
-                    total.alias("total_rows"), langs.alias("languages")))
+def load_report(union: DataFrame) -> DataFrame:
+    """Per input, before the dedupe: its rows as loaded and the language of its first row."""
+    return (union.groupBy("src_ord")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.min_by(F.struct("lang"), "row_ord")["lang"].alias("src_lang"))
+            .select("src_ord", "src_lang", "n_rows"))
+
+
+def combine_summary(union: DataFrame, key: str = "wav_path") -> DataFrame:
+    """The load report of each input, with the rows and the sorted distinct languages
+    of the combined (deduplicated) table."""
+    kept = keep_first(union.select(key, "lang", "src_ord", "row_ord"), key)
+    total = kept.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                              F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs")).alias("s")).scalar()
+    return load_report(union).select("src_ord", "src_lang", "n_rows", total["n"].alias("total_rows"),
+                                     total["langs"].alias("languages"))
 
 
 def stage_counts(df: DataFrame, min_dur: float = MIN_DUR, max_dur: float = MAX_DUR) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact prefix sums over a unique integer order key without a global window.
 
-Rows are bucketed by ``key >> 16`` (at most 65,536 rows per bucket since keys
-are unique); bucket totals are bucketed again by ``key >> 32``; only that top
-table (at most ``max_key >> 32`` rows, a few hundred for keys below 2**40) is
-windowed in one partition.  Offsets flow back through joins on the bucket ids.
+Only the key and the values to sum are windowed; whatever else the rows carry is
+joined back by key at the end, so no text is ever sorted.  Keys fall into buckets of
+65,536 neighbouring values (``key >> 16``), buckets into larger ones (``>> 32``,
+``>> 48``); each window sees one bucket's rows, at most 65,536, for any 64-bit key.
 """
 
 from __future__ import annotations
@@ -14,34 +14,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHIFT = 16
+LEVELS = 64 // SHIFT
 
 
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str], outs: Sequence[str]) -> DataFrame:
     """Add, for each ``values[i]``, ``outs[i]`` = its sum over all rows with a
     smaller ``key`` (exclusive running total; 0 for the first row)."""
-    vs = list(values)
-    x = df.withColumn("_b1", F.shiftright(F.col(key), SHIFT))
-    before = Window.partitionBy("_b1").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    for i, v in enumerate(vs):
-        x = x.withColumn(f"_in1_{i}", F.coalesce(F.sum(v).over(before), F.lit(0)))
-
-    t1 = x.groupBy("_b1").agg(*[F.sum(v).alias(f"_s1_{i}") for i, v in enumerate(vs)])
-    t1 = t1.withColumn("_b2", F.shiftright("_b1", SHIFT))
-    w1 = Window.partitionBy("_b2").orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
-    for i in range(len(vs)):
-        t1 = t1.withColumn(f"_in2_{i}", F.coalesce(F.sum(f"_s1_{i}").over(w1), F.lit(0)))
-
-    t2 = t1.groupBy("_b2").agg(*[F.sum(f"_s1_{i}").alias(f"_s2_{i}") for i in range(len(vs))])
-    w2 = Window.orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    for i in range(len(vs)):
-        t2 = t2.withColumn(f"_in3_{i}", F.coalesce(F.sum(f"_s2_{i}").over(w2), F.lit(0)))
-
-    offs = t1.join(t2, "_b2").select("_b1", *[(F.col(f"_in2_{i}") + F.col(f"_in3_{i}")).alias(f"_bo_{i}")
-                                              for i in range(len(vs))])
-    y = x.join(offs, "_b1")
-    for i, o in enumerate(outs):
-        y = y.withColumn(o, (F.col(f"_in1_{i}") + F.col(f"_bo_{i}")).cast("long"))
-    return y.drop("_b1", *[f"_in1_{i}" for i in range(len(vs))], *[f"_bo_{i}" for i in range(len(vs))])
+    n = len(values)
+    sums = [f"_v{i}" for i in range(n)]
+    rows = df.select(F.col(key).alias("_k"), *[F.col(v).cast("long").alias(s) for v, s in zip(values, sums)])
+    # From the rows up: the total of each bucket.
+    levels = [rows]
+    for _ in range(1, LEVELS):
+        low = levels[-1]
+        levels.append(low.groupBy(F.shiftright("_k", SHIFT).alias("_k")).agg(*[F.sum(s).alias(s) for s in sums]))
+    # From the top down: what stands before each bucket, then before each row in it.
+    before = None
+    for table in reversed(levels):
+        table = table.withColumn("_up", F.shiftright("_k", SHIFT))
+        w = Window.partitionBy("_up").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+        inside = table.select("_k", "_up", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(s) for s in sums])
+        if before is None:  # at most 65,536 buckets of 2^48 values: one window, of the few that occur
+            before = inside.select("_k", *sums)
+        else:
+            b = before.select(F.col("_k").alias("_up"), *[F.col(s).alias("_b" + s) for s in sums])
+            before = inside.join(b, "_up").select("_k", *[(F.col(s) + F.col("_b" + s)).alias(s) for s in sums])
+    offsets = before.select(F.col("_k").alias(key), *[F.col(s).cast("long").alias(o) for s, o in zip(sums, outs)])
+    return df.join(offsets, key)
 
 
 def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -42,12 +42,6 @@ def seed_hash(cols: Sequence, seed: int = SEED) -> Column:
     return F.md5(F.concat(*parts, F.lit(str(seed))))
 
 
-def seed_hash_sql(cols: Sequence[str], seed: int = SEED) -> str:
-    """The same key as DuckDB/Spark SQL text (for oracles)."""
-    parts = ", ".join(f"coalesce(cast({c} as varchar), ''), '|'" for c in cols)
-    return f"md5(concat({parts}, '{seed}'))"
-
-
 def seeded_rank(df: DataFrame, key_cols: Sequence, seed: int = SEED,
                 by: Sequence[str] = (), rank_col: str = "rank",
                 copies: str = "collapse", prefix_len: int = 4,
@@ -118,27 +112,9 @@ def expand_range(df: DataFrame, lo: Column, hi: Column, out_col: str) -> DataFra
     return small.unionByName(big).drop("_lo", "_hi2")
 
 
-def window_rank_sql(key_sql: str, by: Sequence[str] = (), tiebreak: Sequence[str] = ()) -> str:
-    """Oracle form of the rank: a plain window (fine for DuckDB at test size)."""
-    part = f"partition by {', '.join(by)} " if by else ""
-    order = ", ".join([key_sql, *tiebreak])
-    return f"row_number() over ({part}order by {order})"
-
-
-def spread(df: DataFrame, key: str = "row_id", factor: int = 4) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` into ``factor`` x cores partitions when
-    it has fewer (small inputs read as few splits), so per-row kernels run in
-    parallel and uneven rows balance out.  Large inputs keep their scan
-    partitioning and are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    n = cores * factor
-    if num_partitions(df, n) >= n:
-        return df
-    return df.repartition(n, key) if key in df.columns else df.repartition(n)
-
-
 def num_partitions(df: DataFrame, default: int) -> int:
-    """Partitions the plan produces (``default`` when it cannot be asked)."""
+    """Partitions of a bare scan (``default`` when it cannot be asked).  Only for
+    scans: below an exchange the question would run the stages before it."""
     try:
         return df.rdd.getNumPartitions()
     except Exception:  # e.g. sessions without RDD access
@@ -171,3 +147,19 @@ def rank_within(df: DataFrame, by: Sequence[str], key_cols: Sequence, seed: int
     x = x.withColumn("_hi", F.col("_off") + F.col("_cum"))
     out = expand_range(x, lo=F.col("_hi") - F.col("_n") + 1, hi=F.col("_hi"), out_col=rank_col)
     return out.select(*data_cols, rank_col)
+
+
+def dense_row_ids(df: DataFrame, order: str = "line_ord", out: str = "row_id") -> DataFrame:
+    """Row ids 0, 1, 2 ... of a file scan, in the order of its files and of the rows in
+    them; ``order`` is the struct (file f, split b, increasing number i) that
+    ``sources.transcripts.csv_order`` attaches.
+
+    The numbers of a split are consecutive, so a row's place in it is i minus the
+    split's smallest; the splits' counts (a row a split) are summed up and joined
+    back.  Rows aren't sorted."""
+    x = df.withColumn("_f", F.col(order)["f"]).withColumn("_b", F.col(order)["b"]).withColumn("_i", F.col(order)["i"])
+    splits = x.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_f", "_b", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    x = x.join(splits, ["_f", "_b"])
+    return x.withColumn(out, F.col("_before") + F.col("_i") - F.col("_low")).drop("_f", "_b", "_i", "_low", "_before")

@@ -27,7 +27,6 @@ from ..functions.kernels import char_edit_distance, char_ngram_stats, word_ngram
 from ..functions.kernels import word_edit_distance as _word_distance
 from ..functions.text import urstrip, ustrip
 from .prefix import prefix_sum, prefix_sums
-from .rank import spread
 
 BLOCK = 4096
 
@@ -48,7 +47,8 @@ def prepare(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", lowercase: boo
 
 
 def _collapse(c: Column) -> Column:
-    """Runs of two or more whitespace characters -> one space, then strip."""
+    """Runs of two or more whitespace characters -> one space, then strip: the metric
+    library's rule.  A single tab or line end stays, so it joins two words, as there."""
     return _u_strip(F.regexp_replace(c, r"(?U)\s\s+", " "))
 
 
@@ -56,7 +56,7 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda w: F.length(w) > 0)
 
 
-def _guard(n_rows: Column, value: Column) -> Column:
+def guard(n_rows: Column, value: Column) -> Column:
     return F.when(n_rows > 0, value).otherwise(
         F.raise_error(F.lit("all references are empty: cannot compute metrics")))
 
@@ -70,21 +70,21 @@ def error_counts(pairs: DataFrame) -> DataFrame:
 
 def wer(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """Corpus WER = sum of word edits / sum of reference words (one row)."""
-    p = spread(prepare(pairs, lowercase=lowercase))
+    p = prepare(pairs, lowercase=lowercase)
     r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
     e = p.select(_word_distance(r, h).alias("w_edits"), F.size(_words(r)).alias("w_ref"))
     n = F.count(F.lit(1))
-    return e.agg(_guard(n, F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
+    return e.agg(guard(n, F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
                  F.sum("w_edits").alias("edits"), F.sum("w_ref").alias("ref_words"), n.alias("n_pairs"))
 
 
 def cer(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """Corpus CER = sum of character edits / sum of reference characters (one row)."""
-    p = spread(prepare(pairs, lowercase=lowercase))
+    p = prepare(pairs, lowercase=lowercase)
     r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
     e = p.select(char_edit_distance(r, h).alias("c_edits"), F.length(r).alias("c_ref"))
     n = F.count(F.lit(1))
-    return e.agg(_guard(n, F.sum("c_edits") / F.sum("c_ref")).alias("cer"),
+    return e.agg(guard(n, F.sum("c_edits") / F.sum("c_ref")).alias("cer"),
                  F.sum("c_edits").alias("edits"), F.sum("c_ref").alias("ref_chars"), n.alias("n_pairs"))
 
 
@@ -94,7 +94,7 @@ def error_rates_percent_safe(pairs: DataFrame, lowercase: bool = False) -> DataF
     any_null = F.max(F.col("hyp").isNull().cast("int"))
     p = pairs.withColumn("_null", F.col("hyp").isNull())
     flagged = p.agg(any_null.alias("_any")).scalar()
-    e = error_counts(spread(prepare(p, lowercase=lowercase)))
+    e = error_counts(prepare(p, lowercase=lowercase))
     return e.agg(
         F.when(flagged == 1, F.lit(100.0)).otherwise(100.0 * F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
         F.when(flagged == 1, F.lit(100.0)).otherwise(100.0 * F.sum("c_edits") / F.sum("c_ref")).alias("cer"))
@@ -110,14 +110,15 @@ def char_offsets(df: DataFrame, row: str = "row_id", text: str = "text") -> Data
 
 
 def _blocks(side: DataFrame) -> DataFrame:
-    """Offsets table -> ``(blk, chunk)``: the corpus characters of block blk."""
+    """Offsets table -> ``(blk, chunk)``: the corpus characters of block blk.
+
+    A text is cut once: up to the first block boundary, then every ``BLOCK`` characters."""
     x = side.filter(F.col("len") > 0)
-    x = x.withColumn("blk", F.explode(F.sequence(
-        F.floor(F.col("offset") / BLOCK), F.floor((F.col("offset") + F.col("len") - 1) / BLOCK))))
-    s = F.greatest(F.col("offset"), F.col("blk") * BLOCK)
-    e = F.least(F.col("offset") + F.col("len"), (F.col("blk") + 1) * BLOCK)
-    x = x.select("blk", s.alias("s"), F.substring(F.col("text"), (s - F.col("offset") + 1).cast("int"),
-                                                  (e - s).cast("int")).alias("piece"))
+    head = (BLOCK - F.col("offset") % BLOCK).cast("int")
+    rest = F.regexp_extract_all(F.substring(F.col("text"), head + 1, F.length("text")), F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    pieces = F.concat(F.array(F.substring(F.col("text"), F.lit(1), head)), rest)
+    x = x.select("offset", F.posexplode(pieces).alias("k", "piece"))
+    x = x.select((F.floor(F.col("offset") / BLOCK) + F.col("k")).alias("blk"), F.col("offset").alias("s"), "piece")
     return x.groupBy("blk").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("s", "piece"))), lambda t: t["piece"]), "").alias("chunk"))
 
@@ -152,7 +153,8 @@ def char_accuracy(conf: DataFrame) -> DataFrame:
 
 def char_macro_prf(conf: DataFrame) -> DataFrame:
     """Unweighted mean over labels (characters on either side) of precision,
-    recall and F1; a zero denominator gives 0."""
+    recall and F1; a zero denominator gives 0.  With the accuracy, which the same
+    totals give."""
     # each (t, p, n) counts n toward label t's true total (and its hits when
     # t = p) and toward label p's predicted total: one aggregate, no joins
     contrib = F.explode(F.array(
@@ -166,7 +168,7 @@ def char_macro_prf(conf: DataFrame) -> DataFrame:
     rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(0.0)
     f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (F.col("n_true") + F.col("n_pred"))).otherwise(0.0)
     return labels.agg(F.avg(prec).alias("precision"), F.avg(rec).alias("recall"), F.avg(f1).alias("f1"),
-                      F.count(F.lit(1)).alias("n_labels"))
+                      F.count(F.lit(1)).alias("n_labels"), (F.sum("tp") / F.sum("n_true")).alias("accuracy"))
 
 
 # ---- BLEU ------------------------------------------------------------------------
@@ -205,7 +207,7 @@ def _ngram_stats(pairs: DataFrame, stats: Column, orders: int) -> DataFrame:
     """Corpus ``(n, hyp_total, ref_total, matches)``: per-row statistics
     summed over the corpus (partial aggregation; nothing is shuffled but the
     sums)."""
-    x = spread(pairs).select(stats.alias("_s"))
+    x = pairs.select(stats.alias("_s"))
     sums = x.agg(*[F.sum(F.col("_s")[i]).alias(f"_{i}") for i in range(3 * orders)])
     rows = [F.struct(F.lit(n).alias("n"), F.col(f"_{3 * (n - 1)}").alias("hyp_total"),
                      F.col(f"_{3 * (n - 1) + 1}").alias("ref_total"), F.col(f"_{3 * (n - 1) + 2}").alias("matches"))
@@ -216,7 +218,7 @@ def _ngram_stats(pairs: DataFrame, stats: Column, orders: int) -> DataFrame:
 def bleu(pairs: DataFrame) -> DataFrame:
     """Corpus BLEU (13a tokens, 4-grams, exponential smoothing, one
     reference), 0-100 scale, with its parts."""
-    p = spread(pairs).select("row_id", tokenize_13a(F.coalesce("ref", F.lit(""))).alias("rt"),
+    p = pairs.select("row_id", tokenize_13a(F.coalesce("ref", F.lit(""))).alias("rt"),
                      tokenize_13a(F.coalesce("hyp", F.lit(""))).alias("ht"))
     st = _ngram_stats(p, word_ngram_stats(F.col("rt"), F.col("ht"), MAX_ORDER), MAX_ORDER)
     lens = st.filter(F.col("n") == 1).select(F.col("hyp_total").alias("sys_len"), F.col("ref_total").alias("ref_len"))
@@ -247,7 +249,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
 def chrf(pairs: DataFrame) -> DataFrame:
     """Corpus chrF (character 1..6-grams, whitespace removed, beta 2), 0-100 scale."""
     nows = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
-    p = spread(pairs).select("row_id", nows(F.col("ref")).alias("rs"), nows(F.col("hyp")).alias("hs"))
+    p = pairs.select("row_id", nows(F.col("ref")).alias("rs"), nows(F.col("hyp")).alias("hs"))
     st = _ngram_stats(p, char_ngram_stats(F.col("rs"), F.col("hs"), CHAR_ORDER), CHAR_ORDER)
     ok = (F.col("hyp_total") > 0) & (F.col("ref_total") > 0)
     agg = st.agg(F.sum(F.when(ok, F.col("matches") / F.col("hyp_total"))).alias("_p"),

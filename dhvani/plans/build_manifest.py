@@ -1,7 +1,7 @@
 """Build a clip manifest (the preprocessing run) as one Spark job.
 
 clips ``(path, samples, sr)`` and an optional transcript map / sidecar table
--> per clip: mono is the caller's (clips arrive mono), peak-normalise,
+-> per clip: mono mixdown where samples have channels, peak-normalise,
 optional silence trim + renormalise, too-short check, output path,
 transcript lookup + normalisation by language -> manifest rows
 ``(id, wav_path, duration_sec, transcript, lang)`` and error rows
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions import signal as SG
@@ -28,20 +29,23 @@ def process_clips(clips: DataFrame, input_dir: str, out_dir: str, lang: str = "e
     processed samples keyed by ``wav_path`` (the caller writes them)."""
     x = clips.withColumn("stem", P.path_stem(F.col("path")))
     x = x.withColumn("clip_base", F.regexp_replace("path", r"\.[^./]+$", ""))
+    kind = clips.schema["samples"].dataType
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):  # [channel][sample]
+        x = x.withColumn("samples", SG.mono_mix(F.col("samples")))
     x = x.withColumn("s", SG.peak_normalize(F.col("samples")))
     if trim:
         x = FR.trim_silence(x, "s", "s2", top_db, win, hop).withColumn("s", SG.peak_normalize(F.col("s2"))).drop("s2")
-    err = (F.when(F.col("samples").isNull(), F.lit("no samples"))
-           .when(P.proc_path(F.col("path"), input_dir, out_dir).isNull(), F.lit("outside input_dir"))
-           .when(SG.too_short(F.col("s"), F.col("sr")), F.lit("too_short")))
-    good, bad = route(x, err)
-    good = attach_transcript(good, tmap, sidecars, lang)
-    manifest = good.select(F.col("stem").alias("id"),
-                           P.proc_path(F.col("path"), input_dir, out_dir).alias("wav_path"),
-                           SG.duration(F.col("s"), F.col("sr")).alias("duration_sec"),
-                           "transcript", F.lit(lang).alias("lang"))
+    x = x.withColumn("wav_path", P.proc_path(F.col("path"), input_dir, out_dir))
+    x = x.withColumn("error", F.when(F.col("samples").isNull(), F.lit("no samples"))
+                     .when(F.col("wav_path").isNull(), F.lit("outside input_dir"))
+                     .when(SG.too_short(F.col("s"), F.col("sr")), F.lit("too_short")))
+    # What the rest needs of a clip, without its waveform: no array is ever joined.
+    slim = x.select("path", "stem", "clip_base", "wav_path", SG.duration(F.col("s"), F.col("sr")).alias("duration_sec"), "error")
+    good, bad = route(slim, F.col("error"))
+    manifest = attach_transcript(good, tmap, sidecars, lang).select(
+        F.col("stem").alias("id"), "wav_path", "duration_sec", "transcript", F.lit(lang).alias("lang"))
     errors = bad.select(F.col("path").alias("input_path"), "error")
-    samples = good.select(P.proc_path(F.col("path"), input_dir, out_dir).alias("wav_path"), "s", "sr")
+    samples = x.filter(F.col("error").isNull()).select("wav_path", "s", "sr")
     return manifest, errors, samples
 
 

@@ -15,6 +15,7 @@ from ..functions.paths import resolve_path
 from ..functions.text import ustrip
 from ..operators import score as SC
 from ..operators.lookup import semi_existing
+from ..session import cut_lineage
 
 
 def eval_pairs(test: DataFrame, hyps: DataFrame, csv_path: str, inventory: DataFrame | None = None,
@@ -25,18 +26,21 @@ def eval_pairs(test: DataFrame, hyps: DataFrame, csv_path: str, inventory: DataF
     t = t.withColumn("audio", resolve_path(F.col("audio"), csv_path))
     if inventory is not None:
         t = semi_existing(t, inventory, "audio", "path")
-    j = t.join(hyps, "audio", "left")
+    # One hypothesis per path (the smallest of several), so a join can't multiply references.
+    one = hyps.groupBy("audio").agg(F.min("hyp").alias("hyp"))
+    j = t.join(one, "audio", "left")
     return j.select(F.col(order).alias("row_id"), F.col("text").alias("ref"), F.col("hyp"))
 
 
 def evaluate(pairs: DataFrame, lowercase: bool = True) -> DataFrame:
-    """One row: wer, cer, accuracy, precision, recall, f1."""
-    p = SC.prepare(pairs, lowercase=lowercase)
-    w = SC.wer(p).select("wer")
-    c = SC.cer(p).select("cer")
-    conf = SC.char_confusion(p, lowercase=False)
-    a = SC.char_accuracy(conf).select("accuracy")
-    m = SC.char_macro_prf(conf).select("precision", "recall", "f1")
-    return w.select("wer", c.select("cer").scalar().alias("cer"), a.select("accuracy").scalar().alias("accuracy"),
-                    m.select("precision").scalar().alias("precision"), m.select("recall").scalar().alias("recall"),
-                    m.select("f1").scalar().alias("f1"))
+    """One row: wer, cer, accuracy, precision, recall, f1.
+
+    The prepared pairs are written once (``checkpoint``); both edit distances come
+    from one pass over them, all character scores from one confusion table."""
+    p = cut_lineage(SC.prepare(pairs, lowercase=lowercase))
+    n = F.count(F.lit(1))
+    e = SC.error_counts(p).agg(SC.guard(n, F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
+                               SC.guard(n, F.sum("c_edits") / F.sum("c_ref")).alias("cer"))
+    m = SC.char_macro_prf(SC.char_confusion(p, lowercase=False))
+    rates = e.select(F.struct("wer", "cer").alias("s")).scalar()
+    return m.select(rates["wer"].alias("wer"), rates["cer"].alias("cer"), "accuracy", "precision", "recall", "f1")

@@ -31,6 +31,30 @@ def q_parallel_align(spark, d):
     return _pairs(spark, d)
 
 
+# ---- C1 on repeated stems: both the pairs and the rows without a partner ---------
+
+def _turn_side(spark, d, role, text):
+    c = read_table(spark, d, "conversations").filter(F.col("role") == role)
+    return c.select(F.col("conv_id").cast("string").alias("basename"), F.col("text").alias(text))
+
+
+_RANKED = "row_number() over (partition by conv_id order by md5(concat(coalesce(text, ''), '|', '42')), text)"
+
+
+@register("parallel_repeated", f"""with h as (select cast(conv_id as varchar) as b, text, {_RANKED} as k from conversations where role = 'user'),
+e as (select cast(conv_id as varchar) as b, text, {_RANKED} as k from conversations where role = 'assistant')
+select 'pair' as kind, b as basename, h.text as hi_text, e.text as en_text from h join e using (b, k)
+union all select 'hi', b, text, null from h where b in (select b from e) and (b, k) not in (select (b, k) from e)
+union all select 'en', b, null, text from e where b in (select b from h) and (b, k) not in (select (b, k) from h)""")
+def q_parallel_repeated(spark, d):
+    pairs, rest = A.basename_pairs(_turn_side(spark, d, "user", "hi_text"), _turn_side(spark, d, "assistant", "en_text"))
+    p = pairs.select(F.lit("pair").alias("kind"), "basename", "hi_text", "en_text")
+    side = F.col("side")
+    r = rest.select(side.alias("kind"), "basename", F.when(side == "hi", F.col("text")).alias("hi_text"),
+                    F.when(side == "en", F.col("text")).alias("en_text"))
+    return p.unionByName(r)
+
+
 # ---- C4 random pairing (sides share no basename) --------------------------------
 
 def _conv_side(spark, d):
@@ -41,13 +65,13 @@ def _conv_side(spark, d):
 
 
 def _doc_side(spark, d):
-    doc = read_table(spark, d, "documents").filter(F.col("lang").isin("en", "fr"))
+    doc = read_table(spark, d, "documents")
     return doc.select(F.concat(F.lit("hi/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("wav_path"),
                       V.deva_text(F.col("text")).alias("text"))
 
 
 _RP = f"""hk as (select {STEM.format(p="concat('hi/', cast(doc_id as varchar), '.wav')")} as basename,
-    translate(text, '{V.LATIN}', '{V.DEVANAGARI}') as hi_text from documents where lang in ('en', 'fr')),
+    translate(text, '{V.LATIN}', '{V.DEVANAGARI}') as hi_text from documents),
 ek as (select {STEM.format(p="concat('conv/', cast(conv_id as varchar), '_', cast(turn as varchar), '.wav')")} as basename,
     text as en_text from conversations),
 k as (select least((select count(*) from hk), (select count(*) from ek)) as k),

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import lookup as L
+from ..operators.align import canonical_columns
+from ..operators.rank import dense_row_ids
 from ..session import local_path, scratch_path
 from ..sources import transcripts as S
 from ..sources import views as V
@@ -215,18 +217,25 @@ def q_manifest_scan(spark, d):
     return m.select("id", "wav_path", F.round("duration_sec", 6).alias("duration_sec"), "transcript", "lang")
 
 
-def canonical_columns(df):
-    """Column names stripped and lower-cased (A2)."""
-    return df.toDF(*[c.strip().lower() for c in df.columns])
-
-
-@register("canonical_columns", V.with_views("select wav_path, text from hi_side_v", "hi_side_v"))
+@register("canonical_columns", """select concat('hi/', cast(doc_id as varchar), '.wav') as wav_path, text from documents""")
 def q_canonical_columns(spark, d):
     path = scratch_path(spark, "hi_csv")
-    _write_csv(V.hi_side_v(spark, d).toDF("  WAV_Path", "Text "), path)
+    wav = F.concat(F.lit("hi/"), F.col("doc_id").cast("string"), F.lit(".wav"))
+    _write_csv(_docs(spark, d).select(wav.alias("  WAV_Path"), F.col("text").alias("Text ")), path)
     return canonical_columns(S.read_csv(spark, path)).select("wav_path", "text")
 
 
+# ---- dense row ids of a scan ------------------------------------------------------------
+
+@register("dense_row_ids", """select doc_id, row_number() over (order by doc_id) - 1 as row_id from documents""")
+def q_dense_row_ids(spark, d):
+    path = scratch_path(spark, "rows_csv")
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    _write_csv(_docs(spark, d).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text"), path)
+    rows = S.csv_order(S.read_csv(spark, path, "doc_id long, text string"))
+    return dense_row_ids(rows).select("doc_id", "row_id")
+
+
 @register("transcript_csv", f"""select key, arg_max(text, doc_id) as text from (
   select doc_id, case when lang = 'en' then cast(doc_id as varchar) else source end as key, text from documents)
 group by key""")
@@ -280,10 +289,10 @@ def q_audio_inventory(spark, d):
 
 # ---- A8 sidecar transcript files ----------------------------------------------------------
 
-@register("sidecar_scan", f"""select cast(doc_id as varchar) as stem, {ustrip_sql('text')} as text from documents where lang = 'de'""")
+@register("sidecar_scan", f"""select cast(doc_id as varchar) as stem, {ustrip_sql('text')} as text from documents""")
 def q_sidecar_scan(spark, d):
     root = local_path(scratch_path(spark, "sidecars"))
-    doc = _docs(spark, d).filter(F.col("lang") == "de").select(
+    doc = _docs(spark, d).select(
         F.concat(F.lit(root + "/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("p"),
         "text")
 

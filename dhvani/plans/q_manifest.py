@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import manifest as M
 from ..operators import split as S
+from ..session import scratch_path
 from ..sources import views as V
+from ..sources.manifests import read_manifest, write_manifest_table
+from ..sources.transcripts import csv_order
 from .catalog import r6, register
 from .combine_split import combine_filter_split
 
@@ -113,12 +116,26 @@ def q_combine_dedupe(spark, d):
 
 
 @register("combine_summary", V.with_views(
-    """select src_ord, min(lang) as src_lang, count(*) as n_rows,
-  (select count(*) from combined) as total_rows,
+    """select src_ord, arg_min(lang, row_ord) as src_lang, count(*) as n_rows,
+  (select count(distinct wav_path) from u) as total_rows,
   (select array_to_string(list_sort(list_distinct(list(lang))), ',') from combined) as languages
-from combined group by src_ord""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+from u group by src_ord""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
 def q_combine_summary(spark, d):
-    return M.combine_summary(M.combine(_combine_inputs(spark, d)))
+    return M.combine_summary(M.union_inputs(_combine_inputs(spark, d)))
+
+
+@register("combine_from_csv", V.with_views(
+    "select src_ord, id, wav_path, lang, md5(transcript) as transcript_md5 from combined", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED]))
+def q_combine_from_csv(spark, d):
+    """Both inputs written as CSV and read again: the order of the rows is that of the files."""
+    inputs = []
+    for df, path, order in _combine_inputs(spark, d):
+        out = scratch_path(spark, "combine-csv")
+        write_manifest_table(df.orderBy(order), out, "csv")
+        scan = csv_order(read_manifest(spark, out, df.schema))
+        inputs.append((scan, path, F.col("line_ord")))
+    c = M.combine(inputs)
+    return c.select("src_ord", "id", "wav_path", "lang", F.md5(F.col("transcript").cast("binary")).alias("transcript_md5"))
 
 
 @register("lang_fill", V.with_views(

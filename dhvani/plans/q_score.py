@@ -58,6 +58,19 @@ def q_wer_percent_safe(spark, d):
     return a.unionByName(b).select("pair_set", r6("wer").alias("wer"), r6("cer").alias("cer"))
 
 
+# ---- D13: rows with a blank reference don't count (all blank: an error, see tests) ------
+
+@register("wer_blank_references", V.with_views(
+    """select round(sum(edits) / sum(n_ref), 6) as wer, sum(edits) as edits, sum(n_ref) as ref_words, count(*) as n_pairs
+from wp join documents d on d.doc_id = wp.row_id where d.lang <> 'fr'""", "pairs_v", ctes=[_WER_PARTS]))
+def q_wer_blank_references(spark, d):
+    doc = read_table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "lang")
+    p = V.pairs_v(spark, d).join(doc, "row_id")
+    p = p.withColumn("ref", F.when(F.col("lang") == "fr", F.lit(" \t\u00a0")).otherwise(F.col("ref"))).drop("lang")
+    w = SC.wer(p)
+    return w.select(r6("wer").alias("wer"), "edits", "ref_words", "n_pairs")
+
+
 @register("char_offsets", V.with_views(
     "select row_id, coalesce(sum(length(ref)) over (order by row_id rows between unbounded preceding and 1 preceding), 0) as offset from pairs_v",
     "pairs_v"))

@@ -3,14 +3,12 @@ parses, normalises and keeps the latest entry per key."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..session import scratch_path
 from ..sources.tables import read_table
-from ..streaming.transcripts import start_latest_transcripts
+from ..streaming.transcripts import latest_transcripts, start_transcript_ingest
 from ..sources import views as V
 from .catalog import register
 from .q_ingest import FLAT_SQL, _PARSE_SQL
@@ -29,10 +27,6 @@ def q_stream_last_wins(spark, d):
     # entries is then its position in that file
     (lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value")
      .write.partitionBy("source").text(folder))
-    name = "latest_" + uuid.uuid4().hex[:12]
-    q = start_latest_transcripts(spark, folder, name, "en", trigger_once=True,
-                                 state_partitions=spark.sparkContext.defaultParallelism)
-    q.awaitTermination()
-    rows = spark.table(name)
-    # each key's entries sit in one file, read in one batch: one row per key
-    return rows.select("key", "text")
+    table = scratch_path(spark, "stream-out")
+    start_transcript_ingest(spark, folder, table, "en", trigger_once=True).awaitTermination()
+    return latest_transcripts(spark, table).filter(F.col("key").isNotNull()).select("key", "text")

@@ -53,6 +53,17 @@ def q_number_words(spark, d):
     return x.select("doc_id", (F.col("p") + 1).alias("k"), "num", T.number_words(F.col("num")).alias("words"))
 
 
+# Numbers of 1 to about 320 digits, made of the text's digest: all scale words occur.
+@register("number_words_long", f"""select doc_id, num, {T.number_words_sql('num')} as words from (
+  select doc_id, substr(repeat(translate(md5(text), 'abcdef', '012345'), 10), 1, cast(1 + length(text) % 320 as integer)) as num
+  from documents)""")
+def q_number_words_long(spark, d):
+    digest = F.translate(F.md5(F.col("text").cast("binary")), "abcdef", "012345")
+    x = read_table(spark, d, "documents").select("doc_id", F.substring(
+        F.repeat(digest, 10), F.lit(1), (F.length("text") % 320 + 1).cast("int")).alias("num"))
+    return x.select("doc_id", "num", T.number_words(F.col("num")).alias("words"))
+
+
 _STEM_SQL = "regexp_replace(regexp_extract({p}, '([^/]*)/*$', 1), '^(.+)\\.[^.]+$', '\\1')"
 
 

@@ -2,10 +2,10 @@
 
 The reference processes a folder once; here new transcript files in a folder
 are picked up as they land.  Per-line parsing and normalisation are stateless
-expressions, so they run unchanged on the stream.  "Later entries win" needs
-state: a streaming aggregation keeps the latest entry per key (``max_by`` on
-the arrival order: file modification time, file path, line number), with its state checkpointed under the shared checkpoint folder so
-a restarted query resumes where it stopped.
+expressions, so they run unchanged on the stream, which appends the entries to a
+Parquet table (exactly once, by the file sink's log).  "Later entries win" is decided
+when the table is read: ``max_by`` over the arrival order (file modification time,
+file path, line number), combined map-side.  No entry passes through the driver.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_by_lang
 from ..session import scratch_path
-from ..sources.transcripts import parse_transcript_lines
+from ..sources.transcripts import last_wins, parse_transcript_lines
 
 
 def line_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -41,30 +41,16 @@ def normalized_entries(lines: DataFrame, lang: Column | str = "en") -> DataFrame
     return p.withColumn("text", normalize_by_lang(F.col("text"), lang))
 
 
-def latest_per_key(entries: DataFrame) -> DataFrame:
-    """Stateful: the latest entry per key (emit with output mode ``update``)."""
-    return entries.groupBy("key").agg(F.max_by("text", "line_ord").alias("text"))
+def start_transcript_ingest(spark: SparkSession, folder: str, table: str, lang: str = "en",
+                            checkpoint: str | None = None, trigger_once: bool = False):
+    """Append the entries of new files to the Parquet table at path ``table``; returns
+    the ``StreamingQuery``."""
+    entries = normalized_entries(line_stream(spark, folder), lang)
+    w = (entries.writeStream.outputMode("append").format("parquet").option("path", table)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-log")))
+    return (w.trigger(availableNow=True) if trigger_once else w).start()
 
 
-def start_latest_transcripts(spark: SparkSession, folder: str, sink_table: str, lang: str = "en",
-                             checkpoint: str | None = None, trigger_once: bool = False,
-                             state_partitions: int | None = None):
-    """Run the stateful query into a memory table (tests, notebooks) or any
-    sink the caller configures; returns the ``StreamingQuery``.
-
-    ``state_partitions`` fixes the number of state-store partitions (a
-    stream keeps the value it starts with for its whole life); the session's
-    setting is restored once the query has started."""
-    q = latest_per_key(normalized_entries(line_stream(spark, folder), lang))
-    w = (q.writeStream.outputMode("update").format("memory").queryName(sink_table)
-         .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{sink_table}")))
-    if trigger_once:
-        w = w.trigger(availableNow=True)
-    if not state_partitions:
-        return w.start()
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
-    try:
-        return w.start()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
+def latest_transcripts(spark: SparkSession, table: str) -> DataFrame:
+    """One row per key: its latest entry among all that the stream has appended."""
+    return last_wins(spark.read.parquet(table))

@@ -1,28 +1,25 @@
-"""Streaming ingest: files landing in a folder, stateless parse + normalise,
-stateful last-wins per key."""
+"""Streaming ingest: files landing in a folder, entries appended to a table, the
+latest per key read from it."""
 
 import os
 import tempfile
 import time
 
-from dhvani.streaming.transcripts import start_latest_transcripts
+from dhvani.streaming.transcripts import latest_transcripts, start_transcript_ingest
 
 
 def test_latest_transcripts_stream(spark):
-    d = tempfile.mkdtemp(prefix="dhvani-stream-")
+    d, out = tempfile.mkdtemp(prefix="dhvani-stream-"), tempfile.mkdtemp(prefix="dhvani-table-")
     with open(os.path.join(d, "a.txt"), "w") as f:
         f.write("k1|Hello 5\nk2|First\n")
-    q = start_latest_transcripts(spark, d, "latest_t", checkpoint=tempfile.mkdtemp(prefix="dhvani-sck-"))
+    q = start_transcript_ingest(spark, d, out, checkpoint=tempfile.mkdtemp(prefix="dhvani-sck-"))
     try:
         q.processAllAvailable()
+        assert {r.key: r.text for r in latest_transcripts(spark, out).collect()} == {"k1": "hello five", "k2": "first"}
         time.sleep(1.1)  # later modification time for the second file
         with open(os.path.join(d, "b.txt"), "w") as f:
             f.write("k2|Second 21\n")
         q.processAllAvailable()
-        rows = spark.sql("select key, text from latest_t").collect()
     finally:
         q.stop()
-    latest = {}
-    for r in rows:  # update mode appends changed keys; the last update wins
-        latest[r.key] = r.text
-    assert latest == {"k1": "hello five", "k2": "second twenty one"}
+    assert {r.key: r.text for r in latest_transcripts(spark, out).collect()} == {"k1": "hello five", "k2": "second twenty one"}

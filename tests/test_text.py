@@ -64,6 +64,8 @@ def test_resolve_and_proc_path(spark):
 
 
 def test_number_words_large(spark):
-    df = spark.createDataFrame([("1" + "0" * 35,), ("1" + "0" * 36,), ("000",)], "x string")
+    df = spark.createDataFrame([("1" + "0" * 35,), ("1" + "0" * 36,), ("000",), ("1" + "0" * 303,), ("9" * 306,), ("1" + "0" * 306,)], "x string")
     out = [r.y for r in df.select(T.number_words(F.col("x")).alias("y")).collect()]
-    assert out == ["one hundred decillion", "1" + "0" * 36, "zero"]
+    assert out[:4] == ["one hundred decillion", "one undecillion", "zero", "one centillion"]
+    assert out[4].startswith("nine hundred and ninety-nine centillion".replace("-", " ")) and out[4].endswith("nine hundred and ninety nine")
+    assert out[5] == "1" + "0" * 306  # no words from here on

@@ -31,10 +31,11 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], outs: Sequence[s
     # From the top down: what stands before each bucket, then before each row in it.
     before = None
     for table in reversed(levels):
-        table = table.withColumn("_up", F.shiftright("_k", SHIFT))
+        # The top buckets, of both signs, are one window: 65,536 at most.
+        table = table.withColumn("_up", F.lit(0) if before is None else F.shiftright("_k", SHIFT))
         w = Window.partitionBy("_up").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
         inside = table.select("_k", "_up", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(s) for s in sums])
-        if before is None:  # at most 65,536 buckets of 2^48 values: one window, of the few that occur
+        if before is None:
             before = inside.select("_k", *sums)
         else:
             b = before.select(F.col("_k").alias("_up"), *[F.col(s).alias("_b" + s) for s in sums])

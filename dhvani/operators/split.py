@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .manifest import MIN_DUR
 from .quantile import exact_quantiles
-from .rank import SEED, seeded_rank
+from .rank import SEED, seed_hash, seeded_rank
 
 QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
@@ -105,23 +105,55 @@ def stratified_split(df: DataFrame, val_frac: float = 0.05, test_frac: float = 0
     rest, test = split_sizes(n, val_frac, test_frac)
     q = _apportion(counts, "dur_bin", "_c", rest, "_rest_b")
     q = _apportion(q, "dur_bin", "_rest_b", test, "_test_b")
-    ranked = seeded_rank(x, key_cols, seed, by=["dur_bin"], rank_col="_rank",
-                         copies="unique" if unique_key else "collapse", few_groups=True)
-    y = ranked.join(F.broadcast(q.select("dur_bin", "_rest_b", "_test_b")), "dur_bin")
-    label = (F.when(F.col("_rank") <= F.col("_test_b"), "test")
-             .when(F.col("_rank") <= F.col("_rest_b"), "val").otherwise("train"))
+    q = q.select("dur_bin", F.col("_test_b").alias("_q1"), F.col("_rest_b").alias("_q2"))
+    if unique_key:
+        return _label_by_cutoffs(x, q, key_cols, seed, "dur_bin", split_col).select(*cols, split_col)
+    ranked = seeded_rank(x, key_cols, seed, by=["dur_bin"], rank_col="_rank", few_groups=True)
+    y = ranked.join(F.broadcast(q), "dur_bin")
+    label = (F.when(F.col("_rank") <= F.col("_q1"), "test")
+             .when(F.col("_rank") <= F.col("_q2"), "val").otherwise("train"))
     return y.select(*cols, label.alias(split_col))
 
 
+CUT_DIGITS = 4
+
+
+def _label_by_cutoffs(df: DataFrame, quotas: DataFrame, key_cols: Sequence[str], seed: int, by: str,
+                      split_col: str) -> DataFrame:
+    """Label rows of unique keys: the first ``_q1`` of each group in the seeded order are
+    test, up to ``_q2`` val, the others train (``quotas``: by, _q1, _q2; a few rows).
+
+    Only the hash at each quota is looked for: counts by the first hash digits (16^4 a
+    group) tell the bucket that holds it, that bucket alone is ranked, and then each row
+    compares its own hash.  No other column is shuffled."""
+    h = seed_hash(key_cols, seed)
+    slim = df.select(by, h.alias("_h"), F.substring(h, 1, CUT_DIGITS).alias("_b"))
+    sizes = slim.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    wanted = quotas.select(by, F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_q{k}").alias("_q")) for k in (1, 2)])))
+    at = sizes.join(F.broadcast(wanted), by).filter((F.col("_off") < F.col("_q")) & (F.col("_q") <= F.col("_off") + F.col("_n")))
+    found = slim.join(F.broadcast(at.select(by, "_b", "_off", "_k", "_q")), [by, "_b"])  # two buckets a group at most
+    place = F.row_number().over(Window.partitionBy(by, "_b", "_k").orderBy("_h"))
+    found = found.withColumn("_r", F.col("_off") + place).filter(F.col("_r") == F.col("_q"))
+    cuts = found.groupBy(by).agg(*[F.max(F.when(F.col("_k") == k, F.col("_h"))).alias(f"_cut{k}") for k in (1, 2)])
+    y = df.join(F.broadcast(cuts), by, "left")
+    label = F.when(h <= F.col("_cut1"), "test").when(h <= F.col("_cut2"), "val").otherwise("train")
+    return y.withColumn(split_col, label).drop("_cut1", "_cut2")
+
+
 def random_split(df: DataFrame, val_frac: float = 0.05, test_frac: float = 0.05,
                  seed: int = SEED, key_cols: Sequence[str] = ("wav_path",),
                  unique_key: bool = False, split_col: str = "split") -> DataFrame:
     """Unstratified three-way split with the same sizes."""
     cols = df.columns
+    if unique_key:
+        rest, test = split_sizes(F.count(F.lit(1)), val_frac, test_frac)
+        quotas = df.agg(test.alias("_q1"), rest.alias("_q2")).withColumn("_all", F.lit(0))
+        return _label_by_cutoffs(df.withColumn("_all", F.lit(0)), quotas, key_cols, seed, "_all", split_col).select(*cols, split_col)
     n = df.select(F.count(F.lit(1))).scalar()
     rest, test = split_sizes(n, val_frac, test_frac)
-    ranked = seeded_rank(df, key_cols, seed, rank_col="_rank",
-                         copies="unique" if unique_key else "collapse")
+    ranked = seeded_rank(df, key_cols, seed, rank_col="_rank")
     label = (F.when(F.col("_rank") <= test, "test")
              .when(F.col("_rank") <= rest, "val").otherwise("train"))
     return ranked.select(*cols, label.alias(split_col))
@@ -163,7 +195,6 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED, key_cols: Sequence[str] |
     rows, no full sort); large ``n`` uses the distributed rank."""
     cols = df.columns
     key_cols = list(key_cols or cols)
-    from .rank import seed_hash
     if n <= TOPK_LIMIT:
         return (df.withColumn("_h", seed_hash(key_cols, seed))
                 .orderBy("_h", *cols).limit(int(n)).drop("_h"))

@@ -11,7 +11,7 @@ from ..sources import views as V
 from ..sources.manifests import read_manifest, write_manifest_table
 from ..sources.transcripts import csv_order
 from .catalog import r6, register
-from .combine_split import combine_filter_split
+from .combine_split import combine_filter_split, split_report
 
 VT = 0.05 + 0.05          # val + test fraction (double, as the library computes it)
 T_SHARE = 0.05 / VT       # test share of the rest
@@ -61,7 +61,7 @@ def _kept(spark, d):
 select split, count(*) as n_samples, round(sum(duration_sec) / 3600.0, 6) as hours, round(avg(duration_sec), 6) as avg_sec
 from splitted group by split""", "manifest_a_v", "manifest_b_v", ctes=[_COMBINED, _EDGES, _SPLIT]))
 def q_split_summary(spark, d):
-    s = M.split_summary(combine_filter_split(_combine_inputs(spark, d)))
+    s = split_report(_combine_inputs(spark, d))
     return s.select("split", "n_samples", r6("hours").alias("hours"), r6("avg_sec").alias("avg_sec"))
 
 

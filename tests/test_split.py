@@ -107,3 +107,39 @@ def test_duration_edges_methods_agree(spark):
     a = duration_edges(df).first().edges
     b = duration_edges(df, method="distributed").first().edges
     assert a == pytest.approx(b, rel=1e-12)
+
+
+def test_pairs_and_rest_lose_no_row(spark):
+    from dhvani.operators.align import basename_pairs
+    hi = spark.createDataFrame([("a", "h1"), ("a", "h2"), ("a", "h2"), ("b", "hb"), ("d", "hd"), (None, "hn")], "basename string, hi_text string")
+    en = spark.createDataFrame([("a", "e1"), ("b", "eb"), ("b", "eb2"), ("c", "ec"), (None, "en")], "basename string, en_text string")
+    pairs, rest = basename_pairs(hi, en)
+    p, r = pairs.collect(), rest.collect()
+    assert sorted([x.hi_text for x in p] + [x.text for x in r if x.side == "hi"]) == ["h1", "h2", "h2", "hb"]
+    assert sorted([x.en_text for x in p] + [x.text for x in r if x.side == "en"]) == ["e1", "eb", "eb2"]
+
+
+def test_cutoff_labels_equal_rank_labels(spark):
+    import dhvani.operators.split as SP
+    df = spark.range(4000).select(F.concat(F.lit("/c/"), F.col("id").cast("string")).alias("wav_path"),
+                                  (F.lit(0.5) + (F.col("id") * 37 % 1900) / 100.0).alias("duration_sec"))
+    a = {r.wav_path: r.split for r in SP.stratified_split(df, unique_key=True).collect()}
+    b = {r.wav_path: r.split for r in SP.stratified_split(df, unique_key=False).collect()}
+    assert a == b
+    slim = df.select("wav_path")
+    a = {r.wav_path: r.split for r in SP.random_split(slim, unique_key=True).collect()}
+    b = {r.wav_path: r.split for r in SP.random_split(slim, unique_key=False).collect()}
+    assert a == b
+
+
+def test_prefix_sums_with_hashed_row_ids(spark):
+    from dhvani.operators.prefix import prefix_sums
+    df = spark.range(2000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("n"), F.lit("text").alias("t"))
+    rows = sorted(df.collect(), key=lambda r: r.k)
+    total, want = 0, {}
+    for r in rows:
+        want[r.k] = total
+        total += r.n
+    out = prefix_sums(df, "k", ["n"], ["before"])
+    assert {r.k: r.before for r in out.collect()} == want
+    assert out.columns == ["k", "n", "t", "before"]

@@ -9,9 +9,11 @@ works on one representative of each class.
     than D groups and at least one group has the same content in both sets.  The
     number of groups follows from the size class of the pair (sizes whose ratio
     is t or more lie in one class or in neighbours), so a set signs its groups
-    for its own class and for the one below.  Sets that share a signature are
-    connected in a graph of candidates; unrelated texts are not, even when they
-    share a passage.
+    for its own class and for the one below.  A first pass over the texts finds
+    the signatures that occur twice; a bitmap of fixed size holds them (it may
+    pass more, never fewer), and only those travel with their sets' points.
+    Sets that share a signature and whose points allow a link (see 3) are
+    connected in a graph of candidates; texts that share a passage are not.
 2.  *Pages.*  The candidates' sets are dealt to pages of about ``PAGE`` sets, a
     candidate component to one page.  A component of more than ``PAGE`` sets is
     cut into blocks, and each pair of blocks is a page, so a large group of near
@@ -50,10 +52,16 @@ PAGE = 512
 GROUPS = 64
 #: Entries of an R-tree node.
 FANOUT = 16
-#: Bits of the filter that holds the candidate classes (a superset passes): 8 MB at any size.
-FILTER_BITS = 26
-#: Files that the signatures are dealt to, for each default partition of a shuffle.
+#: Bits of the filters that hold repeated signatures and candidate classes: 8 MB each at any size.
+SIGNATURE_BITS, FILTER_BITS = 26, 26
+#: Bytes of a signature in the first pass (its bucket adds some bits).
+SHORT = 5
+#: Buckets that the signatures are dealt to, for each default partition of a shuffle.
 BUCKETS = 2
+#: A signature of at most so many classes has all its pairs tried at once.
+FEW = 8
+#: Pairs whose points are compared at once.
+PAIRS = 1 << 15
 
 
 def shingle_sets(w: kit.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,38 +142,157 @@ def signatures(g: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray,
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def _pack_signatures(n: int, t: float, buckets: int):
-    """Signatures of each chunk, packed by bucket: signatures and classes as bytes."""
+def _signed(frames, n: int, t: float):
+    """(hashes, first, classes, signature, set) of each chunk, copies once."""
+    for _, g, first, key in _sets(frames, n):
+        _, one = np.unique(key, return_index=True)
+        one = one[key[one] != 0]
+        if len(one):
+            at = np.concatenate([np.arange(first[i], first[i + 1]) for i in one])
+            g, first, key = g[at], np.concatenate(([0], np.cumsum(np.diff(first)[one]))), key[one]
+            yield g, first, key, *signatures(g, first, t)
+
+
+def _bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return (sig >> np.uint64(8 * SHORT)).astype(np.int64) % buckets
+
+
+def _runs(x: np.ndarray):
+    """(value, first, end) of the runs of equal neighbours."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[at], at, np.append(at[1:], len(x))
+
+
+def _short(sig: np.ndarray) -> bytes:
+    return np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes()
+
+
+def _long(parts) -> np.ndarray:
+    x = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, SHORT)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :SHORT] = x
+    return out.view("<u8").ravel()
+
+
+def _first_pass(n: int, t: float, buckets: int):
+    """Signatures of each chunk by bucket: those of one class, those of more."""
     def run(frames):
-        for _, g, first, key in _sets(frames, n):
-            _, one = np.unique(key, return_index=True)  # copies sign once
-            one = one[key[one] != 0]
-            size = np.diff(first)[one]
-            at = np.concatenate([np.arange(first[i], first[i + 1]) for i in one]) if len(one) else np.zeros(0, np.int64)
-            sub = np.concatenate(([0], np.cumsum(size)))
-            sig, own = signatures(g[at], sub, t)
-            cls = key[one][own] if len(one) else np.zeros(0, np.int64)
-            b = (sig >> np.uint64(40)).astype(np.int64) % buckets
+        for *_, sig, own in _signed(frames, n, t):
+            order = np.lexsort((own, _bucket(sig, buckets), sig))
+            sig, own = sig[order], own[order]
+            value, lo, hi = _runs(sig)
+            more = own[lo] != own[hi - 1]
+            b = _bucket(value, buckets)
             order = np.argsort(b, kind="stable")
-            b, sig, cls = b[order], sig[order], cls[order]
-            where, lo = np.unique(b, return_index=True)
-            hi = np.append(lo[1:], len(b))
-            yield pd.DataFrame({"bucket": where, "sig": [sig[x:y].tobytes() for x, y in zip(lo, hi)],
-                                "cls": [cls[x:y].tobytes() for x, y in zip(lo, hi)]})
+            value, more, b = value[order], more[order], b[order]
+            yield pd.DataFrame([(int(q), _short(value[x:y][~more[x:y]]), _short(value[x:y][more[x:y]])) for q, x, y in zip(*_runs(b))],
+                               columns=["bucket", "one", "more"])
     return run
 
 
-def _star_edges(f: pd.DataFrame) -> pd.DataFrame:
-    """Each class of a signature to the smallest class of it, once for the bucket."""
-    sig = np.frombuffer(b"".join(f["sig"]), np.uint64)
-    cls = np.frombuffer(b"".join(f["cls"]), np.int64)
-    order = np.lexsort((cls, sig))
-    sig, cls = sig[order], cls[order]
-    new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    head = cls[np.flatnonzero(new)][np.cumsum(new) - 1]
-    e = np.unique(np.column_stack((head, cls))[head != cls], axis=0)
-    return pd.DataFrame({"a": e[:, 0], "b": e[:, 1]})
+def _twice(f: pd.DataFrame) -> pd.DataFrame:
+    """Places in the filter of the signatures that occur twice."""
+    sig = np.concatenate((_long(f["one"]), np.repeat(_long(f["more"]), 2)))
+    sig.sort()
+    x = np.unique(sig[1:][sig[1:] == sig[:-1]] & np.uint64((1 << SIGNATURE_BITS) - 1))
+    return pd.DataFrame({"x": x.astype(np.int64)})
+
+
+def count_vectors(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The point of each set: how many of its shingles fall into each group."""
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cell = own * GROUPS + (kit.mix(g) % np.uint64(GROUPS)).astype(np.int64)
+    return np.bincount(cell, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS)
+
+
+def _second_pass(n: int, t: float, buckets: int, maps):
+    """The repeated signatures of each chunk by bucket, with the classes, sizes and
+    points of the sets that have one there."""
+    def run(frames):
+        table = _bits(maps.value, SIGNATURE_BITS)
+        for g, first, key, sig, own in _signed(frames, n, t):
+            ok = _has(table, sig, SIGNATURE_BITS)
+            sig, own = sig[ok], own[ok]
+            size, points = np.diff(first), count_vectors(g, first)
+            b = _bucket(sig, buckets)
+            order = np.argsort(b, kind="stable")
+            b, sig, own = b[order], sig[order], own[order]
+            rows = []
+            for q, x, y in zip(*_runs(b)):
+                used, index = np.unique(own[x:y], return_inverse=True)
+                rows.append((int(q), sig[x:y].tobytes(), index.astype(np.int32).tobytes(), key[used].tobytes(),
+                             size[used].tobytes(), points[used].astype(np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["bucket", "sig", "own", "cls", "size", "points"])
+    return run
+
+
+def _candidate_edges(t: float):
+    """Edges that connect, within a bucket, the sets that share a signature and whose
+    points allow a link."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        cls, size = (np.frombuffer(b"".join(f[c]), np.int64) for c in ("cls", "size"))
+        points = np.frombuffer(b"".join(f["points"]), np.int32).reshape(-1, GROUPS)
+        base = np.cumsum([0] + [len(b) // 8 for b in f["cls"]])
+        own = np.concatenate([np.frombuffer(b, np.int32) + base[i] for i, b in enumerate(f["own"])])
+        sig = np.frombuffer(b"".join(f["sig"]), np.uint64)
+        cls, at, back = np.unique(cls, return_index=True, return_inverse=True)  # copies of different chunks
+        size, points, own = size[at], points[at], back[own]
+        order = np.lexsort((own, sig))
+        sig, own = sig[order], own[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
+        sig, own = sig[new], own[new]
+        _, lo, hi = _runs(sig)
+        many = hi - lo
+        pairs = []
+        for k in range(2, FEW + 1):
+            at = lo[many == k]
+            pairs += [np.column_stack((own[at + i], own[at + j])) for i in range(k) for j in range(i + 1, k)]
+        pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+        pairs = np.unique(pairs[:, 0] * len(cls) + pairs[:, 1])
+        groups, edges = Groups(len(cls)), []
+        for k in range(0, len(pairs), PAIRS):
+            i, j = np.divmod(pairs[k:k + PAIRS], len(cls))
+            ok = np.minimum(points[i], points[j]).sum(axis=1) >= least_overlap(size[i], size[j], t)
+            edges += [(a, b) for a, b in zip(i[ok].tolist(), j[ok].tolist()) if groups.join(a, b)]
+        for x, y in zip(lo[many > FEW].tolist(), hi[many > FEW].tolist()):
+            members = own[x:y]
+            left = {groups.find(i) for i in members.tolist()}
+            if len(left) == 1:
+                continue
+            tree = RTree(points[members], size[members])
+            for i in members.tolist():
+                for j in members[tree.search(points[i], int(size[i]), t)].tolist():
+                    a, b = groups.find(i), groups.find(j)
+                    if groups.join(i, j):
+                        edges.append((i, j))
+                        left -= {a, b}
+                        left.add(groups.find(i))
+                if len(left) == 1:
+                    break
+        e = np.array(edges, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": cls[e[:, 0]], "b": cls[e[:, 1]]})
+    return run
+
+
+class Groups:
+    """Union and find."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.find(i), self.find(j)
+        self.up[b] = a
+        return a != b
 
 
 def least_overlap(a, b, t: float):
@@ -223,29 +350,18 @@ def page_links(left: list[np.ndarray], right: list[np.ndarray] | None, t: float)
         return []
     flat = np.concatenate(sets)
     first = np.concatenate(([0], np.cumsum(size)))
-    own = np.repeat(np.arange(len(sets)), size)
-    points = np.zeros((len(sets), GROUPS), np.int32)
-    np.add.at(points, (own, (kit.mix(flat) % np.uint64(GROUPS)).astype(np.int64)), 1)
+    points = count_vectors(flat, first)
     ids = np.unique(flat, return_inverse=True)[1]
     mark = np.zeros(ids.max() + 1, bool)
     base = 0 if right is None else len(left)
     tree = RTree(points[base:], size[base:])
-    queries = range(len(left))
-    up = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for i in queries:
+    groups, out = Groups(len(sets)), []
+    for i in range(len(left)):
         near = tree.search(points[i], int(size[i]), t) + base
         if right is None:
             near = near[near > i]
-        mine = find(i)
-        near = np.array([j for j in near.tolist() if find(j) != mine], np.int64)
+        mine = groups.find(i)
+        near = np.array([j for j in near.tolist() if groups.find(j) != mine], np.int64)
         if not len(near):
             continue
         mark[ids[first[i]:first[i + 1]]] = True
@@ -253,9 +369,7 @@ def page_links(left: list[np.ndarray], right: list[np.ndarray] | None, t: float)
         hits = np.add.reduceat(mark[ids[at]], np.concatenate(([0], np.cumsum(size[near])[:-1])), dtype=np.int64)
         mark[ids[first[i]:first[i + 1]]] = False
         for j in near[hits >= least_overlap(size[near], size[i], t)].tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                up[b] = a
+            if groups.join(i, j):
                 out.append((i, j))
     return out
 
@@ -277,34 +391,42 @@ def _page(t: float):
     return run
 
 
-def _buckets(spark) -> int:
-    return BUCKETS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def _bitmap(places: DataFrame) -> list[tuple[int, bytes]]:
+    """Bitmap of the places x: 4 KB rows, 2^(bits - 15) of them at most."""
+    rows = (places.select(F.shiftright("x", 15).alias("k"), F.col("x").bitwiseAND((1 << 15) - 1).alias("p"))
+            .groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect())
+    return [(r["k"], bytes(r["bits"])) for r in rows]
 
 
-def candidate_graph(texts: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b): classes that share a signature, each to the smallest of the signature."""
-    buckets = _buckets(texts.sparkSession)
-    packed = texts.mapInPandas(_pack_signatures(n, t, buckets), "bucket long, sig binary, cls binary")
-    return packed.groupBy("bucket").applyInPandas(_star_edges, "a long, b long")
+def _bits(maps, bits: int) -> np.ndarray:
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for k, b in maps:
+        table[k << 12:(k + 1) << 12] = np.frombuffer(b, np.uint8)
+    return table
 
 
-def _filter(nodes: DataFrame) -> dict[int, bytes]:
-    """Bitmap of the low ``FILTER_BITS`` bits of the nodes: 2^(bits - 15) rows of 4 KB at most."""
-    x = F.col("node").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = (nodes.select(F.shiftright(x, 15).alias("k"), x.bitwiseAND((1 << 15) - 1).alias("p"))
-            .groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect())
-    return {r["k"]: bytes(r["bits"]) for r in rows}
+def _has(table: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    x = (x.view(np.int64) & ((1 << bits) - 1))
+    return (table[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+
+
+def candidate_graph(texts: DataFrame, n: int, t: float) -> DataFrame:
+    """(a, b): edges that connect all classes that may be linked."""
+    spark = texts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    short = kit.map_texts(texts, _first_pass(n, t, BUCKETS * parts), "bucket long, one binary, more binary")
+    maps = spark.sparkContext.broadcast(_bitmap(short.groupBy("bucket").applyInPandas(_twice, "x long")))
+    signed = kit.map_texts(texts, _second_pass(n, t, max(parts // 2, 1), maps),
+                               "bucket long, sig binary, own binary, cls binary, size binary, points binary")
+    return signed.groupBy("bucket").applyInPandas(_candidate_edges(t), "a long, b long")
 
 
-def _candidate_sets(bits: dict[int, bytes], n: int):
+def _candidate_sets(maps, n: int):
     """(cls, grams) of the classes that the filter may hold, once per chunk."""
     def run(frames):
-        table = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-        for k, b in bits.items():
-            table[k << 12:(k + 1) << 12] = np.frombuffer(b, np.uint8)
+        table = _bits(maps.value, FILTER_BITS)
         for _, g, first, key in _sets(frames, n):
-            x = key & ((1 << FILTER_BITS) - 1)
-            ok = np.flatnonzero((table[x >> 3] >> (x & 7).astype(np.uint8)) & 1 & (key != 0))
+            ok = np.flatnonzero(_has(table, key, FILTER_BITS) & (key != 0))
             _, one = np.unique(key[ok], return_index=True)
             ok = ok[one]
             yield pd.DataFrame({"cls": key[ok], "grams": [g[first[i]:first[i + 1]].tobytes() for i in ok]})
@@ -318,7 +440,7 @@ def links(texts: DataFrame, n: int, t: float) -> DataFrame:
     sizes = cand.groupBy("comp").agg(F.count("*").alias("m"))
     total = cand.count()
     pages = max(1, -(-total // PAGE))
-    cand = cand.join(sizes, "comp")
+    cand = cand.join(sizes.hint("merge"), "comp")
     # A hot component is dealt by the hash of the class into m / PAGE blocks; block
     # i meets block j on the page (i, j), so each row goes to as many pages as blocks.
     blocks = F.greatest(F.ceil(F.col("m") / PAGE), F.lit(1)).cast("int")
@@ -331,7 +453,8 @@ def links(texts: DataFrame, n: int, t: float) -> DataFrame:
     page = page.otherwise(F.struct(F.col("comp").alias("c"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
     side = F.when(small | (F.col("block") == F.col("other")), F.lit(-1)).otherwise((F.col("block") > F.col("other")).cast("int"))
     cand = cand.select(F.col("node").alias("cls"), page.alias("page"), side.alias("side"))
-    sets = texts.mapInPandas(_candidate_sets(_filter(cand.select(F.col("cls").alias("node"))), n), "cls long, grams binary")
+    maps = spark.sparkContext.broadcast(_bitmap(cand.select(F.col("cls").bitwiseAND((1 << FILTER_BITS) - 1).alias("x"))))
+    sets = kit.map_texts(texts, _candidate_sets(maps, n), "cls long, grams binary")
     # Copies in different chunks bring the same set: the first one serves.
     sets = sets.groupBy("cls").agg(F.first("grams").alias("grams"))
     dealt = sets.join(cand, "cls")
@@ -352,14 +475,14 @@ def near_groups(docs: DataFrame, n: int, t: float) -> DataFrame:
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = docs.mapInPandas(_doc_classes(n), "doc_id long, n_shingles long, cls long").checkpoint()
+    rows = kit.map_texts(docs, _doc_classes(n), "doc_id long, n_shingles long, cls long").checkpoint()
     found = kit.components(links(texts, n, t))
     # A class's smallest id, then that of its component: min is combined map-side.
     mins = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
-    mins = mins.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mins = mins.join(found.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     best = mins.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = mins.join(best, "comp").select("cls", "component_id")
-    out = rows.join(by_class, "cls", "left")
+    by_class = mins.join(best.hint("merge"), "comp").select("cls", "component_id")
+    out = rows.join(by_class.hint("merge"), "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

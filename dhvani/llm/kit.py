@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass handles.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that one numpy pass handles; its arrays take about forty times as much.
+CHUNK_BYTES = 3 << 19
 #: Words longer than this many bytes are hashed by a digest of the whole word.
 LONG_WORD = 64
 
@@ -121,6 +121,38 @@ class Words:
         return mix(g), at
 
 
+def map_texts(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInPandas(run, schema)`` for rows with a column text, whose frames hold
+    ``CHUNK_BYTES`` of text (or one text) at most: an Arrow batch is cut before any of
+    it becomes Python objects.  Whole numbers keep their value beside nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches):
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = {pa.int64(): pd.Int64Dtype()}.get
+        for b in batches:
+            total = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < b.num_rows:
+                before = total[first - 1] if first else 0
+                last = max(int(np.searchsorted(total, before + CHUNK_BYTES, side="right")), first + 1)
+                yield b.slice(first, last - first).to_pandas(types_mapper=whole)
+                first = last
+
+    def arrow(batches):
+        import pyarrow as pa
+
+        for f in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(f, schema=out, preserve_index=False)
+    return df.mapInArrow(arrow, schema)
+
+
 def keep_rows(docs: DataFrame, judge) -> DataFrame:
     """The rows of ``docs`` that pass, with every column as it is.  ``judge()`` is
     called once in a task and returns a function texts -> mask of those that pass;
@@ -146,11 +178,11 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): (node, comp), comp being
     the smallest node.  Nodes without an edge are not listed.
 
-    Each round points every node at its smallest neighbour, halves the paths
-    twice, and renames the edges by what they point at; loops and repeats go.
-    The number of edges falls by a factor each round.  Both tables are cut by
-    ``checkpoint()`` into the shared folder.  Hot nodes are combined map-side
-    (min) or split by AQE (joins with a unique side)."""
+    Each round points every node at its smallest neighbour, halves the paths once, and
+    renames the edges by what they point at; loops and repeats go.  The number of
+    edges falls by a factor each round.  The tables are cut by ``checkpoint()`` into the
+    shared folder.  Hot nodes are combined map-side (min) or split by AQE (joins with a
+    unique side); nothing is broadcast."""
     from ..session import ensure_checkpoint_dir  # the tasks that carry this module don't have the package
 
     ensure_checkpoint_dir(edges.sparkSession)
@@ -159,38 +191,15 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        p = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
-        p = p.checkpoint()
-        for _ in range(2):
-            q = p.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            p = p.join(q, "to").select("node", F.col("next").alias("to"))
-        p = p.checkpoint()
+        p = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")).checkpoint()
+        q = p.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        p = p.join(q.hint("merge"), "to").select("node", F.col("next").alias("to")).checkpoint()
         if nodes is None:
             nodes = p.select("node", F.col("to").alias("comp"))
         else:
             step = p.select(F.col("node").alias("comp"), "to")
-            nodes = nodes.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-        nodes = nodes.checkpoint()
-        pa, pb = (p.select(F.col("node").alias(c), F.col("to").alias("t" + c)) for c in "ab")
+            nodes = nodes.join(step.hint("merge"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).checkpoint()
+        pa, pb = (p.select(F.col("node").alias(c), F.col("to").alias("t" + c)).hint("merge") for c in "ab")
         edges = edges.join(pa, "a").join(pb, "b").where("ta <> tb")
         edges = edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct().checkpoint()
     return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
-
-
-def first_edges(n: int, pairs) -> list[tuple[int, int]]:
-    """The pairs (of 0 .. n - 1) that join two groups not joined before."""
-    up = list(range(n))
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((i, j))
-    return out

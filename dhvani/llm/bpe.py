@@ -372,7 +372,7 @@ def encode(docs: DataFrame, path: str | None = None, make=TOKENS) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     piece_schema = "row string, seg int, k int, special int, piece string, ended boolean"
-    both = docs.mapInPandas(whole, f"doc_id long, {schema}, {piece_schema}").checkpoint()
+    both = kit.map_texts(docs, whole, f"doc_id long, {schema}, {piece_schema}").checkpoint()
     short = both.where("row is null").select("doc_id", *names)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     long = both.where("row is not null").select("doc_id", *piece_names).repartition(n, "row", "seg", "k")

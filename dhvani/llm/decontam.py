@@ -225,7 +225,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                          1 - dist / len(index.items[i][1]), a, b) for d, i, dist, a, b in index.matches(texts)]
                 got = pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "similarity", "first_word", "end_word"])
                 yield got.astype({"doc_id": "Int64", "item_id": "Int64"})
-        part = docs.mapInPandas(run, schema)
+        part = kit.map_texts(docs, run, schema)
         out = part if out is None else out.unionAll(part)
     return out
 

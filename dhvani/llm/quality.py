@@ -214,7 +214,7 @@ def _training(frames):
 def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = TRAIN_ROWS) -> Model:
     """Learn from at most ``rows`` labelled documents whose id passes ``keep``."""
     ids = training_rows(labels, "quality", F.lit(True) if keep is None else keep, rows)
-    got = only(docs, ids).mapInPandas(_training, "doc_id long, y int, x array<double>").toPandas()
+    got = kit.map_texts(only(docs, ids), _training, "doc_id long, y int, x array<double>").toPandas()
     got = got.sort_values("doc_id", kind="stable")  # the same sums in the same order, whatever the partitions
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, got["doc_id"].to_numpy())) if len(x) else []
@@ -228,7 +228,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             p = model.score(x)
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "score": p, "predicted": (p >= THRESHOLD).astype(np.int32)})
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInPandas(run, "doc_id long, score double, predicted int")
+    return kit.map_texts(d, run, "doc_id long, score double, predicted int")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

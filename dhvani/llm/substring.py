@@ -45,8 +45,8 @@ from . import kit
 WINDOW = 50
 #: Words of an anchor run.
 RUN = 16
-#: Bits of the anchors' filter: 16 MB at any size.
-FILTER_BITS = 27
+#: Bits of the anchors' filter: 8 MB at any size.
+FILTER_BITS = 26
 #: Lengths of the prefixes that suffixes are dealt by; the last is the whole window.
 PREFIXES = (1, 2, 4, 8)
 #: Buckets of a prefix length, as bits.
@@ -177,7 +177,7 @@ def _repeated(f: pd.DataFrame) -> pd.DataFrame:
 def repeated_anchors(docs: DataFrame, window: int) -> list[tuple[int, bytes]]:
     """The filter: 2^(FILTER_BITS - 15) bitmaps of 4 KB at most."""
     n = 2 * max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = docs.mapInPandas(_anchor_rows(window, n), "bucket long, one binary, more binary")
+    rows = kit.map_texts(docs, _anchor_rows(window, n), "bucket long, one binary, more binary")
     places = rows.groupBy("bucket").applyInPandas(_repeated, "x long")
     maps = (places.select(F.shiftright("x", 15).alias("k"), F.col("x").bitwiseAND((1 << 15) - 1).alias("p"))
             .groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect())
@@ -330,9 +330,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, subtree: int = SUBTREE) -> Da
         raise ValueError(f"a window has {RUN} words at least")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     maps = spark.sparkContext.broadcast(repeated_anchors(docs, window))
-    counts = docs.mapInPandas(_counts(window, maps), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
+    counts = kit.map_texts(docs, _counts(window, maps), "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
     group = spark.sparkContext.broadcast(partition([tuple(r) for r in counts.collect()], subtree))
-    leaves = docs.mapInPandas(_leaves(window, maps, group), "g long, key binary, ids binary, cls binary, own binary, place binary")
+    leaves = kit.map_texts(docs, _leaves(window, maps, group), "g long, key binary, ids binary, cls binary, own binary, place binary")
     n = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # Marks of copies need no subtree: they are dealt freely.
     dealt = leaves.groupBy("g", F.when(F.col("g") < 0, F.pmod(F.xxhash64("ids"), F.lit(n))).otherwise(0).alias("free"))
@@ -382,7 +382,7 @@ def _digest(window: int):
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """50-word windows over all documents."""
     docs = kit.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return judged(docs, repeats(docs), "_spans").mapInPandas(_digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return kit.map_texts(judged(docs, repeats(docs), "_spans"), _digest(WINDOW), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

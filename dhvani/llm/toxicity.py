@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = TRAIN_ROWS) -
     none = Model(np.zeros(0, np.uint64), np.zeros(0), -1.0, 1.0, 1.0, (-30.0, 0.0, 0.0))
     if not toxic or not clean:
         return none
-    counts = train.mapInPandas(_count, "tok long, t long, c long")
+    counts = kit.map_texts(train, _count, "tok long, t long, c long")
     counts = counts.groupBy("tok").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     sums = counts.agg(F.sum("t"), F.sum("c")).first()
     if not sums[0] or not sums[1]:
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep=None, rows: int = TRAIN_ROWS) -
     p = np.append(c / nc, max(rest_c, 1e-6))
     s = np.append(score, rest)
     model = Model(tok[order], score, rest, _lambda(p / p.sum(), s), 1.0, (0.0, 0.0, 0.0))
-    got = train.mapInPandas(_histogram(model), "y int, n long, best double").toPandas()
+    got = kit.map_texts(train, _histogram(model), "y int, n long, best double").toPandas()
     return _calibrate(model, got["y"].to_numpy(), got["n"].to_numpy(), got["best"].to_numpy())
 
 
@@ -242,7 +242,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "n_tokens": size, "score": p,
                                 "predicted": (p >= THRESHOLD).astype(np.int32), "passages": rows})
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.mapInPandas(run, "doc_id long, n_tokens long, score double, predicted int, "
+    return kit.map_texts(d, run, "doc_id long, n_tokens long, score double, predicted int, "
                               "passages array<struct<start: long, end: long, score: double>>")
 
 

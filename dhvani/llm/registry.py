@@ -17,4 +17,9 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {"op2_exact_topk": topk.SQL, "op6_chat_formatting": chat.SQL}
+ORACLE: dict[str, str] = {
+    "op2_exact_topk": topk.SQL,
+    "op3_ngram_jaccard_join": jaccard.SQL,
+    "op4_substring_dedup": substring.SQL,
+    "op6_chat_formatting": chat.SQL,
+}

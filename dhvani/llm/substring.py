@@ -418,3 +418,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
                 columns[c] = values
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
     return judged(docs, repeats(docs), name).mapInArrow(run, schema)
+
+
+#: The query by its definition: every window of every document.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p, w FROM d WHERE len(w) >= 50),
+x AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM k),
+m AS (SELECT h, min(doc_id) AS low FROM x GROUP BY h),
+g AS (SELECT DISTINCT x.doc_id, x.p + o.i AS spot FROM x JOIN m USING (h), (SELECT unnest(range(50)) AS i) o WHERE m.low < x.doc_id),
+r AS (SELECT doc_id, list(spot) AS gone, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN r.n IS NULL THEN w ELSE list_filter(w, lambda v, i: NOT list_contains(r.gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""

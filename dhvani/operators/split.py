@@ -148,9 +148,11 @@ def random_split(df: DataFrame, val_frac: float = 0.05, test_frac: float = 0.05,
     """Unstratified three-way split with the same sizes."""
     cols = df.columns
     if unique_key:
+        # One group for all rows, as a column (0: hex digits hold no x) so that joins have a key.
+        x = df.withColumn("_all", F.instr(seed_hash(key_cols, seed), "x"))
         rest, test = split_sizes(F.count(F.lit(1)), val_frac, test_frac)
-        quotas = df.agg(test.alias("_q1"), rest.alias("_q2")).withColumn("_all", F.lit(0))
-        return _label_by_cutoffs(df.withColumn("_all", F.lit(0)), quotas, key_cols, seed, "_all", split_col).select(*cols, split_col)
+        quotas = x.groupBy("_all").agg(test.alias("_q1"), rest.alias("_q2"))
+        return _label_by_cutoffs(x, quotas, key_cols, seed, "_all", split_col).select(*cols, split_col)
     n = df.select(F.count(F.lit(1))).scalar()
     rest, test = split_sizes(n, val_frac, test_frac)
     ranked = seeded_rank(df, key_cols, seed, rank_col="_rank")

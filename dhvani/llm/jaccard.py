@@ -9,7 +9,10 @@ works on one representative of each class.
     than D groups and at least one group has the same content in both sets.  The
     number of groups follows from the size class of the pair (sizes whose ratio
     is t or more lie in one class or in neighbours), so a set signs its groups
-    for its own class and for the one below.  A first pass over the texts finds
+    for its own class and for the one below.  The group may be empty in both
+    sets; as the pair then touches every group that holds a shingle, a set with no
+    more of those than a pair may differ in also signs its |A| - ceil(t |A|) + 1
+    smallest shingles, of which linked sets share one.  A first pass over the texts finds
     the signatures that occur twice; a bitmap of fixed size holds them (it may
     pass more, never fewer), and only those travel with their sets' points.
     Sets that share a signature and whose points allow a link (see 3) are
@@ -119,9 +122,22 @@ def groups_of(cls: np.ndarray, t: float) -> np.ndarray:
     return np.floor((1 - t) / (1 + t) * (top + low)).astype(np.int64) + 1
 
 
+def most_apart(size: np.ndarray, cls: np.ndarray, below: int, t: float) -> np.ndarray:
+    """Shingles that a set and one that it links with may differ in at most: sets of
+    class ``cls`` when ``below``, else any."""
+    top = size / t
+    if below:
+        top = np.minimum(top, np.exp((cls + 1) * -math.log(t)) + 1)
+    return np.floor((1 - t) / (1 + t) * (size + top) + 1e-6).astype(np.int64)
+
+
 def signatures(g: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set) of all groups that hold a shingle, for both size classes."""
+    """(signature, set) of all groups that hold a shingle, for both size classes, and of
+    the smallest shingles of the sets whose groups may all be touched."""
     size = np.diff(first)
+    num = round(t * 100)
+    place = np.arange(len(g)) - np.repeat(first[:-1], size)
+    small = place <= np.repeat(size - -(-num * size // 100), size)
     own = np.repeat(np.arange(len(size)), size)
     cls = size_class(size, t)
     out = []
@@ -139,6 +155,10 @@ def signatures(g: np.ndarray, first: np.ndarray, t: float) -> tuple[np.ndarray,
         content = total[end] - total[at]
         tag = q[at] + (c[o[at]] + 1).astype(np.uint64) * np.uint64(1 << 32)
         out.append((kit.mix(kit.mix(content) ^ tag), o[at]))
+        short = np.bincount(o[at], minlength=len(size)) <= most_apart(size, c, below, t)
+        at = np.flatnonzero(small & short[own])
+        tag = (c[own[at]] + 1).astype(np.uint64) * np.uint64(1 << 32) ^ np.uint64(0x5A5A << 16)
+        out.append((kit.mix(kit.mix(g[at]) ^ tag), own[at]))
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 

@@ -74,3 +74,24 @@ def test_tree_finds_what_a_scan_finds():
     for i in range(0, 700, 13):
         want = np.flatnonzero(np.minimum(p, p[i]).sum(axis=1) >= jaccard.least_overlap(size, size[i], 0.9))
         assert sorted(tree.search(p[i], int(size[i]), 0.9)) == want.tolist()
+
+
+@pytest.mark.parametrize("t", [0.8, 0.9])
+def test_linked_pairs_share_a_signature(t):
+    import numpy as np
+    r, sets = np.random.default_rng(3), []
+    num = round(100 * t)
+    for _ in range(12_000):
+        a = int(r.integers(4, 31))
+        b = int(r.integers(-(-a * num // 100), a + 1))
+        shared = int(jaccard.least_overlap(a, b, t))
+        if shared > b or shared == a:
+            continue
+        x = r.integers(0, 2 ** 64, a + b - shared, dtype=np.uint64)
+        sets += [np.sort(x[:a]), np.sort(x[a - shared:])]
+    first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    sig, own = jaccard.signatures(np.concatenate(sets), first, t)
+    side = [set(), set()]
+    for s, o in zip(sig.tolist(), own.tolist()):
+        side[o % 2].add((o // 2, s))
+    assert len({p for p, _ in side[0] & side[1]}) == len(sets) // 2 > 3000

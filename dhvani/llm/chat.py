@@ -102,35 +102,41 @@ def _conversations(frames):
         row = box[0]
 
 
+def _formatted(source: str):
+    """Parts of sorted rows, each handed on as soon as it is cut."""
+    def parts(frames):
+        render = template.compile_template(source, FILTERS, stream=True)
+        for conv, turns in _conversations(frames):
+            sink, n = Sink(), 0
+            # The template stops between turns, so what the sink has are whole turns.
+            for _ in render({"messages": turns}, sink):
+                if sink.size - sink.base >= PART_CHARS:
+                    yield conv, n, *sink.part()
+                    n += 1
+            yield conv, n, *sink.part()
+            for _ in turns:  # what the template hasn't asked for
+                pass
+
+    def run(frames):
+        out, size = [], 0
+        for r in parts(frames):
+            out.append(r)
+            size += len(r[3])
+            if size > kit.CHUNK_BYTES:
+                yield _parts(out)
+                out, size = [], 0
+        yield _parts(out)
+    return run
+
+
 def format_conversations(rows: DataFrame, source: str = TEMPLATE) -> DataFrame:
     """(conv_id, part, start, text, spans) of each conversation: the formatted text in
     parts of whole turns; spans: the places (of the whole text) under the mask."""
     template.compile_template(source, FILTERS)  # a wrong template fails here
 
-    def run(frames):
-        render = template.compile_template(source, FILTERS)
-        out = []
-        for conv, turns in _conversations(frames):
-            sink, done = Sink(), []
-
-            def watched(turns=turns, sink=sink, done=done, conv=conv):
-                # A loop asks for the turn after next before it writes one, so what the
-                # sink has when a turn is asked for are whole turns.
-                for t in turns:
-                    if sink.size - sink.base >= PART_CHARS:
-                        done.append((conv, len(done), *sink.part()))
-                    yield t
-            scope = {"messages": watched()}
-            render(scope, sink)
-            done.append((conv, len(done), *sink.part()))
-            out += done
-            if sum(len(r[3]) for r in out) > kit.CHUNK_BYTES:
-                yield _parts(out)
-                out = []
-        yield _parts(out)
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"]
     dealt = rows.select(*cols).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInPandas(run, "conv_id long, part long, start long, text string, spans array<struct<a: long, b: long>>")
+    return dealt.mapInPandas(_formatted(source), "conv_id long, part long, start long, text string, spans array<struct<a: long, b: long>>")
 
 
 def _parts(rows) -> pd.DataFrame:

@@ -14,7 +14,8 @@ imports, and a template can't loop but over what it is given.
 texts), and turns each node into a closure ``run(scope, out)``.  ``out`` receives
 ``text(s)`` and ``mark(begins)`` at the edges of a generation block.  A loop
 draws its items one by one with one item ahead, so a conversation may be an
-iterator of any length.
+iterator of any length.  With ``stream`` the template is a generator that stops
+before each further item of its outermost loops.
 """
 
 from __future__ import annotations
@@ -302,17 +303,71 @@ def _step(node: tuple, filters: dict):
     items, inner, name = expr(node[2], filters), block(node[3], filters), node[1]
 
     def loop(scope, out):
-        it = iter(items(scope) or ())
-        scope, i, end = dict(scope), 0, object()
-        item = next(it, end)
-        while item is not end:
-            after = next(it, end)
-            scope[name], scope["loop"] = item, {"first": i == 0, "last": after is end, "index0": i}
-            inner(scope, out)
-            item, i = after, i + 1
+        for inside in _items(items(scope), name, scope):
+            inner(inside, out)
     return loop
 
 
-def compile_template(source: str, filters: dict):
-    """A function render(scope, out) of the template."""
-    return block(fold(parse(source), filters), filters)
+def _loops(node: tuple) -> bool:
+    if node[0] == "if":
+        return any(_loops(n) for _, b in node[1] for n in b)
+    return node[0] == "for" or node[0] == "generation" and any(map(_loops, node[1]))
+
+
+def streamed(body: list[tuple], filters: dict):
+    """As ``block``, a generator that stops before each further item of an outermost loop."""
+    steps = [(_streamed_step(n, filters), True) if _loops(n) else (_step(n, filters), False) for n in body]
+
+    def run(scope, out):
+        for s, stops in steps:
+            if stops:
+                yield from s(scope, out)
+            else:
+                s(scope, out)
+    return run
+
+
+def _streamed_step(node: tuple, filters: dict):
+    kind = node[0]
+    if kind == "generation":
+        body = streamed(node[1], filters)
+
+        def marked(scope, out):
+            out.mark(True)
+            yield from body(scope, out)
+            out.mark(False)
+        return marked
+    if kind == "if":
+        arms = [(expr(c, filters), streamed(b, filters)) for c, b in node[1]]
+
+        def choose(scope, out):
+            for c, b in arms:
+                if c(scope):
+                    yield from b(scope, out)
+                    return
+        return choose
+    items, inner, name = expr(node[2], filters), block(node[3], filters), node[1]
+
+    def loop(scope, out):
+        for i, inside in enumerate(_items(items(scope), name, scope)):
+            if i:
+                yield
+            inner(inside, out)
+    return loop
+
+
+def _items(values, name: str, scope: dict):
+    """The scope of each item of a loop, drawn with one item ahead."""
+    it = iter(values or ())
+    scope, i, end = dict(scope), 0, object()
+    item = next(it, end)
+    while item is not end:
+        after = next(it, end)
+        scope[name], scope["loop"] = item, {"first": i == 0, "last": after is end, "index0": i}
+        yield scope
+        item, i = after, i + 1
+
+
+def compile_template(source: str, filters: dict, stream: bool = False):
+    """A function render(scope, out) of the template; with ``stream`` a generator."""
+    return (streamed if stream else block)(fold(parse(source), filters), filters)

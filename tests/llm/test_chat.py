@@ -91,3 +91,34 @@ def test_against_sql(spark):
 
 def test_empty_table(spark, tmp_path):
     assert [r["conv_id"] for r in chat.op6_chat_formatting(spark, C.write(str(tmp_path), conversations=([], SCHEMA))).collect()] == [-1]
+
+
+def test_parts_are_handed_on(monkeypatch):
+    """A conversation's first parts leave before its last rows are read."""
+    import pandas as pd
+
+    monkeypatch.setattr(chat, "PART_CHARS", 1000)
+    monkeypatch.setattr(chat.kit, "CHUNK_BYTES", 3000)
+    drawn = []
+
+    def frames():
+        for k in range(60):
+            drawn.append(k)
+            yield pd.DataFrame({"conv_id": [None] * 4, "role": ["user", "assistant"] * 2, "text": [f"turn {k} " * 20] * 4})
+    got = chat._formatted(chat.TEMPLATE)(frames())
+    first = next(got)
+    assert len(drawn) < 10
+    rows = pd.concat([first, *got])
+    assert len(drawn) == 60 and rows["text"].str.len().max() < 1500 and rows["part"].tolist() == list(range(len(rows)))
+    turns = [t for text in rows["text"] for t in chat.turns_of(text)]
+    assert turns == [(r, f"turn {k} " * 20) for k in range(60) for r in ("user", "assistant") * 2]
+
+
+def test_stream_writes_what_a_render_writes():
+    source = ("{% if a %}{% generation %}{% for t in m %}{{ t }}{% for u in m %}{{ loop.index0 }}{% endfor %}{% endfor %}{% endgeneration %}"
+              "{% else %}-{% endif %}{% set b = 1 %}{{ b }}{% for t in m %}{% if not loop.last %}{{ t }}, {% endif %}{% endfor %}.")
+    for a in (0, 1):
+        out, stops = Out(), 0
+        for _ in template.compile_template(source, chat.FILTERS, stream=True)({"a": a, "m": ["x", "y", "z"]}, out):
+            stops += 1
+        assert out.said == render(source, a=a, m=["x", "y", "z"]) and stops == 2 + 2 * a

@@ -484,26 +484,32 @@ def links(texts: DataFrame, n: int, t: float) -> DataFrame:
 def _doc_classes(n: int):
     def run(frames):
         for f, _, first, key in _sets(frames, n):
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "n_shingles": np.diff(first), "cls": key})
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64").array, "row": f["row"].array, "n_shingles": np.diff(first), "cls": key})
     return run
 
 
-def near_groups(docs: DataFrame, n: int, t: float) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _grouped(docs: DataFrame, n: int, t: float, row) -> DataFrame:
+    """(doc_id, row, n_shingles, cls, comp, component_id) per row of ``docs`` (doc_id, text):
+    ``row`` tells rows apart, comp is the component itself (null for an empty set)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text")
     texts = docs.select("text")
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(docs.sparkSession)
-    rows = kit.map_texts(docs, _doc_classes(n), "doc_id long, n_shingles long, cls long").checkpoint()
+    rows = kit.map_texts(docs, _doc_classes(n), "doc_id long, row long, n_shingles long, cls long").checkpoint()
     found = kit.components(links(texts, n, t))
     # A class's smallest id, then that of its component: min is combined map-side.
     mins = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
     mins = mins.join(found.withColumnRenamed("node", "cls").hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     best = mins.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = mins.join(best.hint("merge"), "comp").select("cls", "component_id")
+    by_class = mins.join(best.hint("merge"), "comp").select("cls", "comp", "component_id")
     out = rows.join(by_class.hint("merge"), "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("component_id", F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def near_groups(docs: DataFrame, n: int, t: float) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
+    return _grouped(docs, n, t, F.lit(0).cast("long")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -512,10 +518,25 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five words, similarity 0.8): the
-    one with the smallest id.  Rows without an id stay."""
-    got = near_groups(docs, 5, 0.8).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(got, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group (five words, similarity 0.8): of those with
+    the smallest id the one with the smallest hash.  Rows without an id stay.
+
+    Rows are known by id and a hash of all their columns, so what becomes of one
+    text doesn't touch another text of the same id."""
+    id_, row = kit.free_name(docs, "id"), kit.free_name(docs, "row")
+    key = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = _grouped(docs, 5, 0.8, key).where("doc_id is not null and comp is not null")
+    rows = rows.groupBy("comp", "doc_id", "row").agg(F.count("*").alias("copies")).checkpoint()
+    best = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "row", "copies")).alias("best"))
+    gone = rows.join(best.hint("merge"), "comp").where("doc_id <> best.doc_id or row <> best.row")
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("row").alias(row))
+    copies = best.where("best.copies > 1").select(F.col("best.doc_id").alias(id_), F.col("best.row").alias(row))
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(row, key)
+    if copies.isEmpty():
+        return keyed.join(gone, [id_, row], "left_anti").select(*docs.columns)
+    # Copies of a whole row are combined map-side.
+    one = keyed.join(copies, [id_, row], "left_semi").dropDuplicates([id_, row])
+    return keyed.join(gone.unionAll(copies), [id_, row], "left_anti").unionByName(one).select(*docs.columns)
 
 
 #: The query by its definition: all pairs that share a shingle, and reachability.

@@ -95,3 +95,18 @@ def test_linked_pairs_share_a_signature(t):
     for s, o in zip(sig.tolist(), own.tolist()):
         side[o % 2].add((o // 2, s))
     assert len({p for p, _ in side[0] & side[1]}) == len(sets) // 2 > 3000
+
+
+def test_stage_decides_by_row(spark, tmp_path):
+    """An id with two texts, and copies that carry the same id."""
+    r = random.Random(5)
+    text = lambda: " ".join(f"u{r.randrange(10 ** 6)}" for _ in range(40))
+    x, y, z = text(), text(), text()
+    rows = [(1, x), (2, x), (2, y), (3, z), (3, z), (3, z), (4, z + " end"), (5, text()), (None, y)]
+    rows += [(6, ""), (6, ""), (7, y)]
+    d = C.write(str(tmp_path), documents=C.docs_of(rows))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = [(q["doc_id"], q["text"]) for q in jaccard.stage(spark, docs.drop("row", "s"), d).collect()]
+    assert sorted(kept, key=str) == sorted([(1, x), (2, y), (3, z), (5, rows[7][1]), (None, y), (6, ""), (6, "")], key=str)
+    kept = sorted(q["row"] for q in jaccard.stage(spark, docs, d).collect())
+    assert len(kept) == 7 and len({3, 4, 5} & set(kept)) == 1

@@ -10,7 +10,9 @@ import numpy as np
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = ("script", "style", "head", "noscript", "template", "svg", "iframe", "textarea", "select", "math", "object")
+SKIPPED = ("script", "style", "head", "title", "noscript", "template", "svg", "iframe", "textarea", "select", "math", "object")
+#: Of these all is raw text, to the page's end if need be.
+RAW = frozenset("script style textarea iframe".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
                    "sub sup time tt u var acronym nobr blink center_ picture".split())
 KINDS = ("p", "heading", "list", "item", "table", "cell", "nav", "header", "footer", "aside", "form", "article", "main",
@@ -41,10 +43,22 @@ for _k, (_, _words) in enumerate(LEXICON):
         WORD_OF[_w] = WORD_OF.get(_w, 0) | 1 << _k
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*+>|\Z)"
+    r"|<(?P<raw>" + "|".join(SKIPPED) + r")(?=[\s/>])(?P<rawattrs>[^>]*+)>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<[!?][^>]*+>"
     r"|(?P<text>[^<]++|<)", re.S | re.I)
+#: What can stand in a head, and its end.
+HEAD = re.compile(
+    r"(?:\s++|<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</?(?:meta|link|base|basefont|bgsound)(?=[\s/>])[^>]*+>"
+    r"|<title(?=[\s/>])[^>]*+>.*?(?:</title\s*+>|(?=</head|<body)|\Z)"
+    + "".join(rf"|<{t}(?=[\s/>])[^>]*+>.*?(?:</{t}\s*+>|\Z)" for t in ("script", "style"))
+    + "".join(rf"|<{t}(?=[\s/>])[^>]*+>.*?</{t}\s*+>" for t in ("noscript", "template"))
+    + r")*+(?:</head\s*+>)?", re.S | re.I)
+ENDS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in SKIPPED} | {"title": re.compile(r"</title\s*+>|(?=</head|<body)", re.I)}
+#: Elements that end an open svg or math, but for those in elements that hold HTML.
+BREAKS = re.compile(r"<(?:article|aside|b|blockquote|body|br|center|code|dd|div|dl|dt|em|footer|form|h[1-6]|header|hr|i|img|li|main|menu|nav"
+                    r"|ol|p|pre|section|small|span|strong|sub|sup|table|u|ul)(?=[\s/>])", re.I)
+HOLDS = re.compile(r"<(?:foreignobject|desc|title|annotation-xml|m[inos]|mtext)(?=[\s>])", re.I)
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -61,6 +75,42 @@ def attribute_words(attrs: str) -> int:
     return bits
 
 
+def _after(source: str, m: re.Match, none: set[str]) -> int | None:
+    """Where the page goes on after a skipped element's start tag ``m``; None: it isn't
+    closed, and what follows it counts.  ``none``: elements that aren't closed from here on."""
+    tag, at = m["raw"].lower(), m.end()
+    if tag == "head":
+        return HEAD.match(source, at).end()
+    foreign = tag in ("svg", "math")
+    if foreign and m["rawattrs"].endswith("/"):
+        return at
+    end = None if tag in none else ENDS[tag].search(source, at)
+    if end is None:
+        none.add(tag)
+        if tag in RAW:
+            return len(source)
+    if foreign and (end or tag + " breaks" not in none):
+        out = BREAKS.search(source, at, end.start() if end else len(source))
+        if out and not HOLDS.search(source, at, out.start()):
+            return out.start()
+        if not end and not out:
+            none.add(tag + " breaks")
+    return end.end() if end else None
+
+
+def _tokens(source: str):
+    """Tokens of the page, but for what stands in skipped elements."""
+    at, none = 0, set()
+    while at is not None:
+        tokens, at = TOKEN.finditer(source, at), None
+        for m in tokens:
+            if m["raw"]:
+                at = _after(source, m, none)
+                if at is not None:
+                    break
+            yield m
+
+
 class Page:
     """Block nodes in page order (node 0 is the page itself): ``parent``, ``end`` (one
     past its last descendant), ``kind``, ``bits`` of its own names and ``above`` of its
@@ -74,8 +124,7 @@ class Page:
         stack = [("", 0)]  # (element, node); inline elements have their block's node
         links = block = 0
         opened: dict[str, int] = {}
-        for m in TOKEN.finditer(source):
-            kind = m.lastgroup
+        for m in _tokens(source):
             if m["text"] is not None:
                 text, node = m["text"], stack[-1][1]
                 if text.isspace():
@@ -89,9 +138,10 @@ class Page:
                 self.linked[node] += n if links else 0
                 self.stops[node] += text.count(".") + text.count(",") + text.count("?")
                 continue
-            if kind is None or m["tag"] is None:
+            tag = m["tag"] or m["raw"]
+            if tag is None:
                 continue
-            tag = m["tag"].lower()
+            tag = tag.lower()
             node = stack[-1][1]
             self.tags[node] += 1
             if tag == "br":
@@ -123,7 +173,7 @@ class Page:
                         break
             up = stack[-1][1]
             kind_no = KINDS.index(KIND_OF.get(tag, "other"))
-            attrs = m["attrs"]
+            attrs = m["attrs"] or m["rawattrs"]
             self.parent.append(up)
             self.end.append(0)
             self.kind.append(kind_no)
@@ -132,7 +182,7 @@ class Page:
             self.depth.append(self.depth[up] + 1)
             for x in (self.chars, self.linked, self.stops, self.tags):
                 x.append(0)
-            y = re.search(r"data-y=(\w)", attrs) if "data-y" in attrs else None
+            y = re.search(r"data-y=(\w)", attrs) if attrs and "data-y" in attrs else None
             self.marks.append(y[1] if y else "")
             stack.append((tag, len(self.parent) - 1))
             opened[tag] = opened.get(tag, 0) + 1

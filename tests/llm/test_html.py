@@ -72,3 +72,31 @@ def test_cases(spark, tmp_path):
     text = {r["page_id"]: r["text"] for r in got}
     assert text[1] == text[2] == text[4] == "" and text[3].count("\n\n") == 19_999
     assert html_main.op5_html_extraction(spark, C.write(str(tmp_path), pages=([], SCHEMA))).count() == 0
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><meta charset=x><body><p>a</p>", ["a"]),
+    ("<head><title>t</title><link rel=x><script>if (a<b) x</script><p>a<p>b", ["a", "b"]),
+    ("<head><title>t</title><style>s</style><noscript><p>no</noscript></head><p>a", ["a"]),
+    ("<head><title>t<body><p>a", ["a"]),
+    ("<header>h</header><head><div>d</div><title>t</title></head><p>a", ["h", "d", "a"]),
+    ("<p>a<svg width=1 /> b</p><p>c <math/> d</p><svg><text>no</text></svg><p>e", ["a b", "c d", "e"]),
+    ("<svg><path d=x><p>a</p><svg><circle></svg><p>b", ["a", "b"]),
+    ("<svg><foreignObject><p>no</p></foreignObject></svg><p>b", ["b"]),
+    ("<object data=x><p>a</p><p>b", ["a", "b"]), ("<select><option>o<p>a", ["o", "a"]), ("<p>a</p><noscript><p>b", ["a", "b"]),
+    ("<p>a</p><template><p>b", ["a", "b"]), ("<p>a</p><math><mi>x</mi>", ["a", "x"]),
+    ("<p>a</p><script>b", ["a"]), ("<p>a</p><style>b<p>c", ["a"]), ("<p>a</p><textarea>b<p>c", ["a"]), ("<p>a</p><iframe>b<p>c", ["a"]),
+    ("<object><p>no</p></object><select><option>no</select><p>a", ["a"]),
+])
+def test_elements_without_an_end(source, want):
+    p = dom.Page(source)
+    assert p.text([True] * len(p.parent)).split("\n\n") == want
+
+
+def test_elements_without_an_end_are_read_in_linear_time():
+    import time
+
+    for source in ("<select>a" * 40_000, "<svg>a" * 40_000, "<svg><text>" * 40_000 + "</svg>", "<svg/><math/>" * 40_000):
+        start = time.process_time()
+        dom.Page(source)
+        assert time.process_time() - start < 10

@@ -21,8 +21,13 @@ The items are worked in blocks of ``BLOCK_ITEMS`` rows and ``BLOCK_BYTES`` bytes
 what tasks hold is bounded whatever the size of the benchmark.  Documents are
 not shuffled.
 
-Recall: an unspoilt stretch of the words that a walk passes always meets its
-window; longer strides also meet passages with edits between the sampled places.  Measured against brute force in tests/llm.
+Besides, each item is cut into one run of words more than a fifth of its words (one
+word at least), and a window that holds a whole run proposes its item, too.
+
+Recall: if at most one word in five (one at least) was replaced, dropped or added, one
+of the runs is unspoilt, so the passage is always met, whatever the item's length; the
+walks meet most of those with more such words.  An item of one word is met as it is.
+Measured against brute force in tests/llm.
 
 Cases: null or empty documents and items match nothing; an item of fewer words
 than a sample is compared by the words it has; repeated rows are judged alike; a
@@ -77,8 +82,15 @@ def walk(h: np.ndarray, at: np.ndarray, end: np.ndarray, rep: int):
         at = at + move
 
 
+def run_lengths(offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the run that starts at word ``offset`` of an item of ``size`` words, or 0."""
+    runs = np.where(size > 1, np.maximum(size // 5, 1) + 1, 1)
+    k = -(-offset * runs // size)
+    return np.where(k * size // runs == offset, (k + 1) * size // runs - offset, 0)
+
+
 class Index:
-    """Tries of the items' samples, a level for each sample.
+    """Tries of the items' samples, a level for each sample, and the items' runs.
 
     A path ends where it has sampled the words it needs, or leaves its item (then
     only if it began at the item's first word, for items of few words), or at the
@@ -90,6 +102,14 @@ class Index:
         own = w.owner()
         self.offset = np.arange(len(own)) - w.first[own]
         self.own, self.size = own, np.diff(w.first)
+        length, self.runs = run_lengths(self.offset, self.size[own]), []  # by length: (length, table of the keys, keys, first words)
+        for n in np.unique(length[length > 0]).tolist():
+            key, at = w.grams(n)
+            key, at = key[length[at] == n], at[length[at] == n]
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[(key & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)] = True
+            order = np.argsort(key, kind="stable")
+            self.runs.append((n, table, key[order], at[order]))
         self.tries = []  # by repetition: (table of the paths that go on, ends, their words, ended inside) of each level
         for rep, (_, need) in enumerate(REPETITIONS):
             walker, keep, trie = walk(w.hash, np.arange(len(own)), w.first[own + 1], rep), None, []
@@ -122,17 +142,24 @@ class Index:
         end = w.first[own + 1]
         mask = np.uint64((1 << TABLE_BITS) - 1)
         found = []
+
+        def propose(p, key, keys, places, inside=True):
+            lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            n = np.where(inside, hi - lo, 0)
+            hit = np.repeat(np.arange(len(p)), n)
+            which = places[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]]
+            p = p[hit]
+            found.append(np.column_stack((own[p], self.own[which], p - w.first[own[p]] - self.offset[which])))
+        for n, table, keys, places in self.runs:
+            key, p = w.grams(n)
+            ok = np.flatnonzero(table[(key & mask).astype(np.int64)])
+            propose(p[ok], key[ok], keys, places)
         for rep, trie in enumerate(self.tries):
             walker, keep = walk(w.hash, np.arange(len(own)), end, rep), None
             for table, keys, places in trie:
                 rows, key, _, inside = next(walker) if keep is None else walker.send(keep)
                 if len(keys):
-                    lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                    n = np.where(inside, hi - lo, 0)
-                    hit = np.repeat(np.arange(len(rows)), n)
-                    which = places[np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + lo[hit]]
-                    p = rows[hit]
-                    found.append(np.column_stack((own[p], self.own[which], p - w.first[own[p]] - self.offset[which])))
+                    propose(rows, key, keys, places, inside)
                 keep = np.flatnonzero(inside & table[(key & mask).astype(np.int64)])
                 if not len(keep):
                     break

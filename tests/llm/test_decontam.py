@@ -80,3 +80,32 @@ def test_short_items_and_empty_tables(spark, tmp_path):
     pq.write_table(pq.read_table(f"{d}/benchmark.parquet").slice(0, 0), f"{d}/benchmark.parquet")
     assert decontam.op8_benchmark_decontamination(spark, d).count() == 0
     assert decontam.stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).count() == 2
+
+
+def test_recall_by_item_length():
+    """All items of 2 words or more with one word in five changed (one at least) are met."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9)))
+    items, texts, want = [], [], set()
+    for n in [*range(2, 31)] * 12:
+        item = [word() for _ in range(n)]
+        body = list(item)
+        for k in r.sample(range(n), max(1, n // 5)):
+            w = body[k]
+            at = r.randrange(len(w))
+            body[k] = r.choice((w[:at] + "z" + w[at + 1:], w[:at] + w[at + 1:], w + " zq", "zz" + w[2:]))
+        item, body = " ".join(item), " ".join(body)
+        if distance(item, body) <= 0.2 * len(item) + 1e-9:
+            want.add((len(texts), len(items)))
+        items.append((len(items), item))
+        texts.append(" ".join(word() for _ in range(20)) + f" {body} " + " ".join(word() for _ in range(20)))
+    got = {m[:2] for m in decontam.Index(items).matches(texts)}
+    assert len(want) > 300 and want <= got
+
+
+def test_runs_cover_items():
+    import numpy as np
+
+    for n in range(1, 200):
+        runs = decontam.run_lengths(np.arange(n), np.full(n, n))
+        assert runs.sum() == n and np.count_nonzero(runs) == (max(1, n // 5) + 1 if n > 1 else 1)

@@ -21,12 +21,11 @@ from .q_ingest import FLAT_SQL, _PARSE_SQL
 def q_stream_last_wins(spark, d):
     folder = scratch_path(spark, "stream-in")
     doc = read_table(spark, d, "documents")
-    lines = doc.select("doc_id", "source", F.concat(F.col("source"), F.lit(".wav\t"),
-                                                    F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).alias("value"))
-    # one file per source, lines in doc_id order: the arrival order of a key's
-    # entries is then its position in that file
-    (lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value")
-     .write.partitionBy("source").text(folder))
+    line = F.concat(F.col("source"), F.lit(".wav\t"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    # the files are cut as the table is scanned; the arrival order of a key's entries
+    # is the number of the line, so a hot source is spread over files and tasks
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    doc.select(F.concat(number, F.lit("\t"), line).alias("value")).write.text(folder)
     table = scratch_path(spark, "stream-out")
-    start_transcript_ingest(spark, folder, table, "en", trigger_once=True).awaitTermination()
+    start_transcript_ingest(spark, folder, table, "en", trigger_once=True, numbered=True).awaitTermination()
     return latest_transcripts(spark, table).filter(F.col("key").isNotNull()).select("key", "text")

@@ -6,6 +6,7 @@ expressions, so they run unchanged on the stream, which appends the entries to a
 Parquet table (exactly once, by the file sink's log).  "Later entries win" is decided
 when the table is read: ``max_by`` over the arrival order (file modification time,
 file path, line number), combined map-side.  No entry passes through the driver.
+Files of numbered lines are read line by line, so no file is one row or one task.
 """
 
 from __future__ import annotations
@@ -18,16 +19,24 @@ from ..session import scratch_path
 from ..sources.transcripts import last_wins, parse_transcript_lines
 
 
-def line_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def line_stream(spark: SparkSession, folder: str, max_files_per_trigger: int | None = None, numbered: bool = False) -> DataFrame:
     """New text files in ``folder`` -> ``(src_path, line_ord, line)``.
 
     Each arriving file is read whole and split into numbered lines (row ids
     are not available on streams); a transcript file is one unit of work and
-    many files spread over many tasks."""
-    r = spark.readStream.format("text").option("wholetext", "true")
+    many files spread over many tasks.
+
+    ``numbered``: each line begins with its number in the folder and a tab.  The numbers
+    are the arrival order, and files of any size are split into lines by many tasks."""
+    r = spark.readStream.format("text")
+    r = r.option("lineSep", "\n") if numbered else r.option("wholetext", "true")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     df = r.load(folder)
+    if numbered:
+        order = F.struct(F.substring_index("value", "\t", 1).cast("long").alias("i"))
+        line = F.substr("value", F.instr("value", "\t") + F.lit(1))
+        return df.select(F.col("_metadata.file_path").alias("src_path"), order.alias("line_ord"), F.regexp_replace(line, "\ufffd", "").alias("line"))
     x = df.select(F.col("_metadata.file_path").alias("src_path"),
                   F.col("_metadata.file_modification_time").alias("t"),
                   F.posexplode(F.split(F.col("value"), "\n")).alias("pos", "line"))
@@ -42,10 +51,10 @@ def normalized_entries(lines: DataFrame, lang: Column | str = "en") -> DataFrame
 
 
 def start_transcript_ingest(spark: SparkSession, folder: str, table: str, lang: str = "en",
-                            checkpoint: str | None = None, trigger_once: bool = False):
+                            checkpoint: str | None = None, trigger_once: bool = False, numbered: bool = False):
     """Append the entries of new files to the Parquet table at path ``table``; returns
     the ``StreamingQuery``."""
-    entries = normalized_entries(line_stream(spark, folder), lang)
+    entries = normalized_entries(line_stream(spark, folder, numbered=numbered), lang)
     w = (entries.writeStream.outputMode("append").format("parquet").option("path", table)
          .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-log")))
     return (w.trigger(availableNow=True) if trigger_once else w).start()

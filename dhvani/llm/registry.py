@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, html_main, jaccard, licenses, quality, substring, topk, toxicity
+from . import bpe, chat, decontam, html_main, jaccard, licenses, quality, runs, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_periodic_runs": runs.op11_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, html_main, jaccard, licenses, quality, runs, substring, topk, toxicity
+from . import bpe, chat, decontam, factors, html_main, jaccard, licenses, negatives, quality, runs, substring, topk, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_periodic_runs": runs.op11_periodic_runs,
+    "op12_first_copies": factors.op12_first_copies,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE: dict[str, str] = {
@@ -23,4 +25,6 @@ ORACLE: dict[str, str] = {
     "op3_ngram_jaccard_join": jaccard.SQL,
     "op4_substring_dedup": substring.SQL,
     "op6_chat_formatting": chat.SQL,
+    "op12_first_copies": factors.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }

@@ -8,24 +8,27 @@ that can share ``length`` bytes have to meet, cut off at that length:
 1.  *Anchors.*  Of the 16-byte grams of a window of ``length`` bytes, the one with the
     smallest hash is its anchor; grams that are very common in the corpus come last, as
     told by a counter array of fixed size.  Equal windows have equal anchors.  Windows that
-    follow each other mostly share theirs (about 43 do), so they travel as one
-    *segment* of about 142 bytes, to the group of their anchor's hash.
-2.  *Suffix order.*  A group's suffixes at the anchors are sorted by their bytes, with
+    follow each other mostly share theirs (about 43 do) and are a *segment* of about 142 bytes.
+2.  *Candidates.*  The anchors' hashes meet in groups, which tell the documents which of their
+    segments have an anchor that occurs again.  Only those segments' bytes are sent, to the
+    groups of their anchors.
+3.  *Suffix order.*  A group's suffixes at the anchors are sorted by their bytes, with
     their common prefixes.  The suffixes one byte before are induced from that: a stable
     sort by that byte, and a common prefix one longer than the least between.  So
     it goes to the windows that begin furthest before their anchors.
-3.  *LPF.*  In each of these orders the previous and the next smaller place are found by
+4.  *LPF.*  In each of these orders the previous and the next smaller place are found by
     doubling jumps that carry the least common prefix on the way; the greater of the two
     is LPF.  Jumps end where it falls below ``length``.
-4.  The windows found, as byte ranges, are gathered by document, merged, and joined
+5.  The windows found, as byte ranges, are gathered by document, merged, and joined
     with the texts.
 
-The same steps run before the shuffle, over the segments of ``FLUSH`` bytes of text:
-a segment all of whose windows occur earlier there has been judged and isn't sent.  So a
+Steps 3 and 4 also run before each shuffle, over the segments of ``FLUSH`` bytes of text: a
+segment all of whose windows occur earlier there has been judged and isn't sent.  So a
 passage that a third of the documents share is sent once for each ``FLUSH`` bytes, and its
 common grams go through ``SALTS`` groups first, of which each passes on what is new
 to it.  A phrase that is common in different contexts is seldom an anchor, because
-common grams come last.
+common grams come last.  The texts are shuffled once, for the join with the candidates and the
+one with the ranges.
 
 Cases: null or empty text: no bytes; fewer than ``length`` bytes: nothing goes; a null doc_id
 comes after all others; rows that repeat a doc_id are one document whose texts all begin
@@ -295,35 +298,126 @@ def sent(segs: Segments, at: np.ndarray, groups: int, salt: int) -> pd.DataFrame
     return pd.DataFrame({"g": first // 2, "salt": (first % 2 * salt).astype(np.int32), "data": np.array(rows, object)})
 
 
-def _sent(length: int, groups: int, common):
+def asked(segs: Segments, at: np.ndarray, groups: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Of the segments ``at``: the places (as ranges that stop at -1) of those whose anchors occur twice among
+    them, and rows that ask about the others, by the group of the hash: hash, text and place, and the
+    texts.  A hash that occurs twice is in the rows once, without a text."""
+    _, first, which, n = np.unique(segs.hash[at], return_index=True, return_inverse=True, return_counts=True)
+    twice = at[n[which] > 1]
+    known = pd.DataFrame({"id": segs.id[twice], "none": segs.none[twice], "cls": segs.cls[twice], "start": segs.place[twice], "stop": np.full(len(twice), -1)})
+    at, witness = at[first], n > 1
+    g = (segs.hash[at] % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((segs.cls[at], segs.id[at], g))
+    at, witness, g = at[order], witness[order], g[order]
+    cut = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else g
+    rows = [packed(segs, at[x:y], witness[x:y]) for x, y in zip(cut, np.append(cut[1:], len(g)))]
+    return known, pd.DataFrame({"g": g[cut], "salt": np.zeros(len(cut), np.int32), "data": np.array(rows, object)})
+
+
+def packed(segs: Segments, at: np.ndarray, witness: np.ndarray) -> bytes:
+    """Hashes, text numbers (-1: none) and places of the segments ``at``, ordered by text, and a table of the texts."""
+    import pyarrow as pa
+
+    own = at[~witness]
+    keys = [getattr(segs, c)[own] for c in ("id", "none", "cls")]
+    new = np.ones(len(own), bool)
+    new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
+    text = np.full(len(at), -1, "<i4")
+    text[~witness] = np.cumsum(new) - 1
+    parts = [segs.hash[at].astype("<u8"), text, segs.place[at].astype("<i8"), *(k[new].astype(t) for k, t in zip(keys, ("<i8", "?", "<i8")))]
+    raw = len(at).to_bytes(8, "little") + b"".join(x.tobytes() for x in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes):
+    """(hash, text number, place, id, none, cls) of ``packed``."""
+    import pyarrow as pa
+
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    m, out, at = (len(raw) - 8 - 20 * n) // 17, [], 8
+    for t, k in (("<u8", n), ("<i4", n), ("<i8", n), ("<i8", m), ("?", m), ("<i8", m)):
+        out.append(np.frombuffer(raw, t, k, at))
+        at += k * np.dtype(t).itemsize
+    return out
+
+
+class Flush:
+    """Segments of the texts of a task, gathered until they are of ``FLUSH`` bytes of text."""
+
+    def __init__(self, length: int, common: np.ndarray):
+        self.length, self.common, self.held, self.size = length, common, [], 0
+
+    def add(self, f: pd.DataFrame):
+        """Full flushes of the frame's texts (id, none, cls, text), those with ``places`` by these anchors only."""
+        id, none, cls = f["id"].to_numpy(np.int64), f["none"].to_numpy(bool), f["cls"].to_numpy(np.int64)
+        for part in pieces(kit.to_bytes(f["text"].tolist()), self.length):
+            buf, columns = segments(part, self.length, self.common)
+            if "places" in f:
+                keep = np.zeros(len(columns["own"]), bool)
+                cut = np.searchsorted(columns["own"], [p[0] for p in part] + [part[-1][0] + 1])
+                for (k, _, _), x, y in zip(part, cut, cut[1:]):
+                    for places in f["places"].iat[k]:
+                        keep[x:y] |= np.isin(columns["place"][x:y], places)
+                columns = {c: v[keep] for c, v in columns.items()}
+            own = columns.pop("own")
+            self.held.append((buf, columns | {"id": id[own], "none": none[own], "cls": cls[own]}))
+            self.size += len(buf)
+            if self.size >= FLUSH:
+                yield self.end()
+
+    def end(self) -> Segments:
+        bufs, parts = zip(*self.held)
+        self.held, self.size = [], 0
+        shift = np.cumsum([0, *map(len, bufs)])[:-1]
+        columns = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+        columns["size"] = columns["hi"] - columns["lo"] + self.length
+        out = Segments(*(columns[c] for c, _ in Segments.COLUMNS), np.concatenate(bufs))
+        out.begin = np.concatenate([p["begin"] + s for p, s in zip(parts, shift)])
+        return out
+
+    def all(self, frames):
+        for f in frames:
+            yield from self.add(f)
+        if self.held:
+            yield self.end()
+
+
+def _candidates(length: int, groups: int, common):
+    """What a flush finds by itself, and the questions that it has."""
     def run(frames):
-        def flush(held):
-            bufs, parts = zip(*held)
-            shift = np.cumsum([0, *map(len, bufs)])[:-1]
-            columns = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
-            begin = np.concatenate([p["begin"] + s for p, s in zip(parts, shift)])
-            size = columns["hi"] - columns["lo"] + length
-            segs = Segments(columns["id"], columns["none"], columns["cls"], columns["place"], columns["lo"], columns["hi"], columns["hash"],
-                            columns["hot"], size, np.concatenate(bufs))
-            segs.begin = begin
+        for segs in Flush(length, common.value).all(frames):
             spans, left = segs.judged(length)
-            yield sent_spans(spans, groups)
-            salt = 1 + int(columns["hash"][0] % np.uint64(SALTS))
-            yield sent(segs, left, groups, salt)
+            known, rows = asked(segs, left, groups)
+            yield sent_spans(pd.concat([spans, known]), groups)
+            yield rows
+    return run
 
-        held, size = [], 0
-        for f in frames:
-            id, none, cls = f["id"].to_numpy(np.int64), f["none"].to_numpy(bool), f["cls"].to_numpy(np.int64)
-            for part in pieces(kit.to_bytes(f["text"].tolist()), length):
-                buf, columns = segments(part, length, common.value)
-                own = columns.pop("own")
-                held.append((buf, columns | {"id": id[own], "none": none[own], "cls": cls[own]}))
-                size += len(buf)
-                if size >= FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
+
+def _answered(groups: int):
+    """Places of the segments whose anchors occur twice."""
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return f
+        parts = [unpacked(b) for b in f["data"]]
+        shift = np.cumsum([0, *(len(p[3]) for p in parts)])
+        hash, place = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+        id, none, cls = (np.concatenate([p[k] for p in parts]) for k in (3, 4, 5))
+        text = np.concatenate([np.where(p[1] < 0, -1, p[1] + s) for p, s in zip(parts, shift)])
+        _, which, n = np.unique(hash, return_inverse=True, return_counts=True)
+        some = np.flatnonzero((n[which] > 1) & (text >= 0))
+        t = text[some]
+        return sent_spans(pd.DataFrame({"id": id[t], "none": none[t], "cls": cls[t], "start": place[some], "stop": np.full(len(some), -1)}), groups)
+    return run
+
+
+def _sent(length: int, groups: int, common):
+    def run(frames):
+        for segs in Flush(length, common.value).all(f[f["places"].notna()] for f in frames):
+            if len(segs.id):
+                spans, left = segs.judged(length)
+                yield sent_spans(spans, groups)
+                yield sent(segs, left, groups, 1 + int(segs.hash[0] % np.uint64(SALTS)))
     return run
 
 
@@ -342,25 +436,30 @@ def _judged(length: int, groups: int):
 
 
 def _gathered(length: int):
+    """Disjoint ranges of each text, in order, and the places of its candidates."""
     def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             spans = read_spans(f["data"])
         else:
             spans, _ = Segments.unpack(f["data"]).judged(length)
         if not len(spans):
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "none": np.zeros(0, bool), "cls": np.zeros(0, np.int64), "spans": np.zeros(0, object)})
-        # Disjoint ranges of each text, in order.
+            return pd.DataFrame({"id": np.zeros(0, np.int64), "none": np.zeros(0, bool), "cls": np.zeros(0, np.int64),
+                                 "spans": np.zeros(0, object), "places": np.zeros(0, object)})
         id, none, cls, start, stop = (spans[c].to_numpy() for c, _ in SPAN)
         order = np.lexsort((start, cls, none, id))
         id, none, cls, start, stop = (c[order] for c in (id, none, cls, start, stop))
-        text = np.append(0, np.cumsum((id[1:] != id[:-1]) | (none[1:] != none[:-1]) | (cls[1:] != cls[:-1])))
-        far = np.maximum.accumulate(text * (1 << 40) + stop)  # each text in a stretch of its own
-        new = np.flatnonzero(np.append(True, text[1:] * (1 << 40) + start[1:] > far[:-1]))
-        stop = far[np.append(new[1:], len(far)) - 1] - (text[new] << 40)
-        ends = np.column_stack((start[new], stop)).ravel()
-        cut = np.flatnonzero(np.append(True, text[new][1:] != text[new][:-1]))
-        lists = np.split(ends, 2 * cut[1:])
-        return pd.DataFrame({"id": id[new[cut]], "none": none[new[cut]], "cls": cls[new[cut]], "spans": lists})
+        first = np.append(True, (id[1:] != id[:-1]) | (none[1:] != none[:-1]) | (cls[1:] != cls[:-1]))
+        text, texts = np.cumsum(first) - 1, int(first.sum())
+        place = stop < 0
+        places = np.split(start[place], np.searchsorted(text[place], np.arange(1, texts)))
+        t, start, stop = text[~place], start[~place], stop[~place]
+        ranges: list = [np.zeros(0, np.int64)] * texts
+        if len(t):
+            far = np.maximum.accumulate((t << 40) + stop)  # each text in a stretch of its own
+            new = np.flatnonzero(np.append(True, (t[1:] << 40) + start[1:] > far[:-1]))
+            stop = far[np.append(new[1:], len(far)) - 1] - (t[new] << 40)
+            ranges = np.split(np.column_stack((start[new], stop)).ravel(), 2 * np.searchsorted(t[new], np.arange(1, texts)))
+        return pd.DataFrame({"id": id[first], "none": none[first], "cls": cls[first], "spans": ranges, "places": places})
     return run
 
 
@@ -386,8 +485,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), none.alias("none"), F.xxhash64("text").alias("cls"), "text")
 
 
+FOUND = "id long, none boolean, cls long, spans array<long>, places array<long>"
+KEY = ["id", "none", "cls"]
+
+
 def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(id, none, cls, spans) of the ``keyed`` texts: disjoint byte ranges start, stop, start, stop ..."""
+    """(id, none, cls, spans) of the ``keyed`` texts, in one row or more for a text: byte ranges start, stop, start, stop ..."""
     if length < GRAM or length > 255:
         raise ValueError(f"a string has {GRAM} to 255 bytes")
     spark = texts.sparkSession
@@ -398,10 +501,17 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     common = np.zeros(1 << COUNTER_BITS, bool)
     common[counts["k"][counts["n"] > COMMON * max(size >> COUNTER_BITS, 1)]] = True
     common = spark.sparkContext.broadcast(common)
-    groups = max(-(-4 * size // GROUP), 1)
-    rows = kit.map_texts(long, _sent(length, groups, common), SENT)
+    groups = max(-(-size // GROUP), 1)
+    # What the texts ask for, and what they know already.
+    rows = kit.map_texts(long, _candidates(length, groups, common), SENT)
+    rows = rows.groupBy("g").applyInPandas(_answered(groups), SENT)
+    found = rows.groupBy("g").applyInPandas(_gathered(length), FOUND).checkpoint()
+    wanted = found.where(F.size("places") > 0).groupBy(*KEY).agg(F.collect_list("places").alias("places"))
+    # The join's exchange of the texts is the same as that of the ranges' join, and is made once.
+    rows = kit.map_texts(texts.join(wanted.hint("shuffle_hash"), KEY, "left"), _sent(length, groups, common), SENT)
     rows = rows.groupBy("g", "salt").applyInPandas(_judged(length, groups), SENT)
-    return rows.groupBy("g").applyInPandas(_gathered(length), "id long, none boolean, cls long, spans array<long>")
+    rest = rows.groupBy("g").applyInPandas(_gathered(length), FOUND)
+    return found.unionAll(rest).where(F.size("spans") > 0).select(*KEY, "spans")
 
 
 def _kept(frames):
@@ -427,9 +537,8 @@ def first_copies(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each row: the byte ranges that go, maximal and in order, and the bytes
     that stay."""
     texts = keyed(docs)
-    key = ["id", "none", "cls"]
-    spans = repeats(texts, length).groupBy(*key).agg(F.collect_list("spans").alias("lists"))
-    return kit.map_texts(texts.join(spans, key, "left"), _kept, "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    spans = repeats(texts, length).groupBy(*KEY).agg(F.collect_list("spans").alias("lists"))
+    return kit.map_texts(texts.join(spans.hint("shuffle_hash"), KEY, "left"), _kept, "doc_id long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def op12_first_copies(spark, sf_dir: str) -> DataFrame:

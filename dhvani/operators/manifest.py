@@ -59,7 +59,7 @@ def union_inputs(inputs: Sequence[tuple[DataFrame, str, Column]]) -> DataFrame:
     """Outer union by name of ``(df, path, row_order)`` inputs.
 
     Adds ``src_ord`` (input position) and ``row_ord`` (row position within the
-    input: a number, or the struct that ``sources.transcripts.csv_order`` gives
+    input: a number, or the struct that ``sources.transcripts.read_csv`` gives
     the rows of a file scan, the same kind for all inputs) so later steps can
     honour input order.  Missing columns are null.
     """

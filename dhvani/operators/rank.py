@@ -152,7 +152,7 @@ def rank_within(df: DataFrame, by: Sequence[str], key_cols: Sequence, seed: int
 def dense_row_ids(df: DataFrame, order: str = "line_ord", out: str = "row_id") -> DataFrame:
     """Row ids 0, 1, 2 ... of a file scan, in the order of its files and of the rows in
     them; ``order`` is the struct (file f, split b, increasing number i) that
-    ``sources.transcripts.csv_order`` attaches.
+    ``sources.transcripts.read_csv`` attaches.
 
     The numbers of a split are consecutive, so a row's place in it is i minus the
     split's smallest; the splits' counts (a row a split) are summed up and joined

@@ -232,7 +232,7 @@ def q_dense_row_ids(spark, d):
     path = scratch_path(spark, "rows_csv")
     parts = max(1, spark.sparkContext.defaultParallelism)
     _write_csv(_docs(spark, d).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").select("doc_id", "text"), path)
-    rows = S.csv_order(S.read_csv(spark, path, "doc_id long, text string"))
+    rows = S.read_csv(spark, path, "doc_id long, text string", order=True)
     return dense_row_ids(rows).select("doc_id", "row_id")
 
 

@@ -9,7 +9,6 @@ from ..operators import split as S
 from ..session import scratch_path
 from ..sources import views as V
 from ..sources.manifests import read_manifest, write_manifest_table
-from ..sources.transcripts import csv_order
 from .catalog import r6, register
 from .combine_split import combine_filter_split, split_report
 
@@ -132,7 +131,7 @@ def q_combine_from_csv(spark, d):
     for df, path, order in _combine_inputs(spark, d):
         out = scratch_path(spark, "combine-csv")
         write_manifest_table(df.orderBy(order), out, "csv")
-        scan = csv_order(read_manifest(spark, out, df.schema))
+        scan = read_manifest(spark, out, df.schema, order=True)
         inputs.append((scan, path, F.col("line_ord")))
     c = M.combine(inputs)
     return c.select("src_ord", "id", "wav_path", "lang", F.md5(F.col("transcript").cast("binary")).alias("transcript_md5"))

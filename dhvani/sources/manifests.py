@@ -15,12 +15,11 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("lang", T.StringType())])
 
 
-def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST_SCHEMA) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, schema: T.StructType | None = MANIFEST_SCHEMA, order: bool = False) -> DataFrame:
     """Manifest CSV with a header.  With ``schema=None`` column types are
-    inferred (one extra pass), for manifests whose columns vary."""
-    if schema is None:
-        return spark.read.options(**CSV_OPTS).option("inferSchema", "true").csv(path)
-    return read_csv(spark, path, schema)
+    inferred (one extra pass), for manifests whose columns vary; with ``order`` the
+    column ``line_ord`` gives the place of each row."""
+    return read_csv(spark, path, schema, order, infer=schema is None)
 
 
 def write_manifest_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -17,9 +17,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import path_stem
 from ..functions.text import ustrip
+from .csv_records import fields, first_header, parsed, read_quoted_csv, read_records, unclosed
 
 WS_SPLIT = r"(?U)\s+"
 
@@ -73,6 +75,7 @@ def parse_tab_map(lines: DataFrame, line: str = "line", order: str = "line_ord")
                     F.col(order).alias("line_ord")))
 
 
+# Fixed value: the form of a Festival entry.
 FESTIVAL_RE = r'(?dU)^\(\s*(\S+)\s+"(.+?)"\s*\)'
 
 
@@ -93,26 +96,19 @@ def last_wins(entries: DataFrame, key: str = "key", value: str = "text", order:
     return entries.groupBy(key).agg(F.max_by(F.col(value), F.col(order)).alias(value))
 
 
+# The column names that are tried, in order.
 FILE_COLS = ("file", "wav", "path", "audio")
 TEXT_COLS = ("transcript", "text", "caption")
 
-CSV_OPTS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"',
+CSV_OPTS = {"header": "true", "escape": '"', "quote": '"',
             "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Header CSV as the reference writes it (RFC 4180 quoting, multi-line fields)."""
-    r = spark.read.options(**CSV_OPTS)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
-
-
-def csv_order(df: DataFrame) -> DataFrame:
-    """Attach ``line_ord`` (file, split, position) to a CSV scan."""
-    return df.withColumn("line_ord", F.struct(
-        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i")))
+def read_csv(spark: SparkSession, path: str, schema=None, order: bool = False, infer: bool = False) -> DataFrame:
+    """Header CSV (RFC 4180 quoting, fields may hold line ends), read in splits; with ``order``
+    the column ``line_ord`` (file, split, position) is added."""
+    df = read_quoted_csv(spark, path, schema, infer)
+    return df if order else df.drop("line_ord")
 
 
 def transcript_map_from_csv(df: DataFrame) -> DataFrame | None:
@@ -127,15 +123,25 @@ def transcript_map_from_csv(df: DataFrame) -> DataFrame | None:
                      F.col(tcol).cast("string").alias("text"), F.col("line_ord"))
 
 
+def csv_entries(spark: SparkSession, path: str) -> DataFrame | None:
+    """Entries ``(key, text, line_ord)`` of a transcript CSV; ``None`` where it isn't one, which
+    its rows tell too: one has more fields than the header, or a quote is never closed."""
+    records = read_records(spark, path)
+    names = first_header(records)
+    if not names:
+        return None
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    entries = transcript_map_from_csv(parsed(records, schema))
+    if entries is None:
+        return None
+    wide = records.agg(F.max(fields(F.col("record"))).alias("n"), F.bool_or(unclosed(F.col("record"))).alias("open")).first()
+    return None if wide["n"] > len(names) or wide["open"] else entries
+
+
 def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Transcript map ``(key, text)`` from a CSV (when it has the columns) or a
-    free-form text file; later entries win."""
-    entries = None
-    if path.lower().endswith(".csv"):
-        try:
-            entries = transcript_map_from_csv(csv_order(read_csv(spark, path)))
-        except Exception:  # unreadable as CSV: parse as text, as the reference does
-            entries = None
+    """Transcript map ``(key, text)`` from a CSV (when it has the columns and can be
+    read) or a free-form text file; later entries win."""
+    entries = csv_entries(spark, path) if path.lower().endswith(".csv") else None
     if entries is None:
         entries = parse_transcript_lines(read_lines(spark, path))
     return last_wins(entries)
@@ -151,4 +157,4 @@ def read_sidecars(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 __all__ = ["read_lines", "parse_transcript_lines", "parse_tab_map", "parse_festival", "last_wins",
-           "read_csv", "csv_order", "transcript_map_from_csv", "load_transcripts", "read_sidecars"]
+           "read_csv", "csv_entries", "transcript_map_from_csv", "load_transcripts", "read_sidecars"]

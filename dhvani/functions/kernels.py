@@ -8,11 +8,13 @@ returns a fixed-size array per row that Spark sums with a partial aggregate
 (no n-gram is ever shuffled).
 
 Edit distance: Spark's ``levenshtein`` fills the full n*m table one cell at a
-time.  Myers' bit-parallel algorithm (Myers 1999; Hyyro 2001) processes a
-whole column of the table per token of the second sequence with a few
-word-wide integer operations, i.e. n*m/64 machine steps, and works on any
-token alphabet, so words need no recoding to characters.  The kernel runs
-inside Spark tasks on Arrow batches; Spark partitions the pairs.
+time.  The bit-parallel algorithms (Myers 1999; Hyyro 2003) process a whole column
+of the table with a few wide integer operations and work on any token
+alphabet, so words need no recoding to characters.  Only a band around the
+diagonal is filled, which grows until it proves its result, so the cost
+follows n times the distance.  The kernel runs inside Spark tasks on Arrow batches; Spark
+partitions the pairs.  ``block_distance`` is the step of :mod:`dhvani.operators.edit`,
+which cuts very long pairs into blocks.
 
 This module is pickled by value, so executors need no installed package.
 """
@@ -49,8 +51,120 @@ def _common_suffix(a, b) -> int:
     return lo
 
 
+def _masks(tokens, wanted) -> dict:
+    """For each token of ``wanted`` the places where it stands in ``tokens``, as bits."""
+    if len(tokens) < 256:
+        out: dict = {}
+        for i, tok in enumerate(tokens):
+            out[tok] = out.get(tok, 0) | (1 << i)
+        return out
+    import numpy as np
+    ids = {tok: k for k, tok in enumerate(wanted)}
+    at = np.fromiter((ids.get(tok, -1) for tok in tokens), np.int64, len(tokens))
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(len(ids) + 1))
+    out = {}
+    for tok, k in ids.items():
+        if cut[k + 1] > cut[k]:
+            bits = np.zeros(len(tokens), np.uint8)
+            bits[order[cut[k]:cut[k + 1]]] = 1
+            out[tok] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
+
+#: Columns that share a cut-out of the row masks.
+STRIPE = 1024
+
+
+def banded_distance(a, b, e: int, masks: dict | None = None) -> int | None:
+    """Distance of a and b (a not shorter), if it is at most ``len(a) - len(b) + 2 e + 1``, else None.
+
+    Such a distance is reached by paths that leave the two corner diagonals by ``e`` cells at
+    most, so only that band is filled, a column for each token of b.  The band is a bit
+    vector that moves down one row with each column (Hyyro 2003): its cost is
+    len(b) * (len(a) - len(b) + 2 e) / 64."""
+    m, n = len(a), len(b)
+    bound = m - n + 2 * e + 1
+    low = min(m - n + e, m)          # rows below the main diagonal
+    up = min(e, n)                   # rows above it
+    width = low + up + 1
+    mask, last = (1 << width) - 1, 1 << (width - 1)
+    rows = masks if masks is not None else _masks(a, set(b))
+    vp, vn = mask & ~((1 << up) - 1), 0
+    score, limit = low, bound + e
+    wide = (1 << (width + STRIPE)) - 1
+    cut: dict = {}
+    for j in range(n):
+        k = j % STRIPE
+        if not k:
+            cut = {}
+        tok = b[j]
+        eq = cut.get(tok)
+        if eq is None:
+            eq = rows.get(tok, 0)
+            base = j - k - up        # row of the lowest bit
+            eq = cut[tok] = ((eq >> base) if base >= 0 else (eq << -base)) & wide
+        eq = (eq >> k) & mask
+        d0 = ((((eq & vp) + vp) ^ vp) | eq | vn) & mask
+        hp = vn | (mask ^ (d0 | vp))
+        hn = d0 & vp
+        if j < m - low:              # along the lowest diagonal ...
+            if not d0 & last:
+                score += 1
+                if score > limit:
+                    return None
+        else:                        # ... then along the last row
+            bit = 1 << (m - 1 - j + up)
+            if hp & bit:
+                score += 1
+            elif hn & bit:
+                score -= 1
+        d1 = d0 >> 1
+        vp = hn | (mask ^ (d1 | hp))
+        vn = d1 & hp
+    return score if score <= bound else None
+
+
+def block_distance(masks: dict, size: int, columns, vp: int, vn: int, hp: int, hn: int):
+    """One block of the table: ``size`` rows given by their masks, one column for each of
+    ``columns``.  (vp, vn) are the differences down its left border and (hp, hn) those along its upper
+    border, as bits of +1 and -1; returns those of the right and the lower border (Myers 1999)."""
+    mask, top = (1 << size) - 1, 1 << (size - 1)
+    get = masks.get
+    plus, minus = bytearray((len(columns) + 7) // 8), bytearray((len(columns) + 7) // 8)
+    up = hp.to_bytes(len(plus), "little")
+    down = hn.to_bytes(len(plus), "little")
+    for j, tok in enumerate(columns):
+        byte, bit = j >> 3, 1 << (j & 7)
+        eq = get(tok, 0)
+        xv = eq | vn
+        less = down[byte] & bit
+        if less:
+            eq |= 1
+        xh = (((eq & vp) + vp) ^ vp) | eq
+        ph = vn | (mask ^ (mask & (xh | vp)))
+        mh = vp & xh
+        if ph & top:
+            plus[byte] |= bit
+        elif mh & top:
+            minus[byte] |= bit
+        ph, mh = (ph << 1) & mask, (mh << 1) & mask
+        if less:
+            mh |= 1
+        elif up[byte] & bit:
+            ph |= 1
+        vp = mh | (mask ^ (mask & (xv | ph)))
+        vn = ph & xv
+    return vp, vn, int.from_bytes(plus, "little"), int.from_bytes(minus, "little")
+
+
+#: First half-width of the band beyond the difference of the lengths, and its growth.
+BAND, GROWTH = 32, 4
+
+
 def edit_distance_seq(a, b) -> int:
-    """Levenshtein distance between two sequences of hashable tokens."""
+    """Levenshtein distance between two sequences of hashable tokens: bands of growing
+    width until one proves its result, so the cost follows the distance."""
     # a common prefix or suffix never changes the distance
     k = _common_prefix(a, b)
     a, b = a[k:], b[k:]
@@ -59,31 +173,14 @@ def edit_distance_seq(a, b) -> int:
         a, b = a[:len(a) - k], b[:len(b) - k]
     if len(a) < len(b):
         a, b = b, a
-    m = len(b)
-    if m == 0:
+    if not len(b):
         return len(a)
-    peq: dict = {}
-    for i, tok in enumerate(b):
-        peq[tok] = peq.get(tok, 0) | (1 << i)
-    get = peq.get
-    mask = (1 << m) - 1
-    top = 1 << (m - 1)
-    pv, mv, score = mask, 0, m
-    for tok in a:
-        eq = get(tok, 0)
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | (mask ^ (xh | pv))
-        mh = pv & xh
-        if ph & top:
-            score += 1
-        elif mh & top:
-            score -= 1
-        ph = ((ph << 1) | 1) & mask
-        mh = (mh << 1) & mask
-        pv = mh | (mask ^ (xv | ph))
-        mv = ph & xv
-    return score
+    masks, e = _masks(a, set(b)), BAND
+    while True:
+        got = banded_distance(a, b, min(e, len(b)), masks)
+        if got is not None:
+            return got
+        e *= GROWTH
 
 
 @F.pandas_udf(LongType())
@@ -110,6 +207,20 @@ def word_edit_distance(a: Column, b: Column) -> Column:
     return _word_distance(a, b)
 
 
+def facing_counts(frames):
+    """(t, p, n) of frames of equally placed texts (rc, hc): how often character t stands
+    over p, up to the end of the shorter one; one row for each pair of characters and frame."""
+    import numpy as np
+    for f in frames:
+        parts = []
+        for rc, hc in zip(f["rc"], f["hc"]):
+            n = min(len(rc), len(hc))
+            t, p = (np.frombuffer(x[:n].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for x in (rc, hc))
+            parts.append((t << 21) | p)
+        pair, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pd.DataFrame({"t": [chr(x) for x in (pair >> 21).tolist()], "p": [chr(x) for x in (pair & 0x1FFFFF).tolist()], "n": n})
+
+
 def ngram_stats(ref, hyp, orders: int) -> list[int]:
     """[hyp_total, ref_total, matches] for n = 1..orders, flattened; ``ref``
     and ``hyp`` are strings (character n-grams) or token lists (word n-grams).

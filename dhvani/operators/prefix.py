@@ -4,15 +4,24 @@ Only the key and the values to sum are windowed; whatever else the rows carry is
 joined back by key at the end, so no text is ever sorted.  Keys fall into buckets of
 65,536 neighbouring values (``key >> 16``), buckets into larger ones (``>> 32``,
 ``>> 48``); each window sees one bucket's rows, at most 65,536, for any 64-bit key.
+
+``text_blocks`` cuts concatenated texts into blocks without knowing any row's offset
+beforehand: rows are put into ranges of the key, the ranges' lengths are summed up, and the
+task that holds a range goes through it from its start.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SHIFT = 16
 LEVELS = 64 // SHIFT
 
@@ -47,3 +56,46 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str], outs: Sequence[s
 def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Single-column form of :func:`prefix_sums`."""
     return prefix_sums(df, key, [value], [out])
+
+
+def _cut(size: int):
+    def run(frames):
+        now, at = None, [0, 0]
+        for f in frames:
+            out = []
+            for part, sa, sb, a, b in zip(f["part"], f["s0"], f["s1"], f["t0"], f["t1"]):
+                if part != now:
+                    now, at = part, [sa, sb]
+                for side, text in ((0, a), (1, b)):
+                    k = 0
+                    while k < len(text):
+                        s = at[side] + k
+                        n = size - s % size
+                        out.append((s // size, side, s, text[k:k + n]))
+                        k += n
+                    at[side] += len(text)
+            yield pd.DataFrame(out, columns=["blk", "side", "s", "piece"])
+    return run
+
+
+#: Neighbouring keys of a range, as bits.
+RANGE_BITS = 7
+
+
+def text_blocks(df: DataFrame, key: str, texts: tuple[str, str], size: int) -> DataFrame:
+    """``(blk, side, s, piece)``: both text columns, each concatenated in the order of the
+    unique whole-number ``key``, cut at every multiple of ``size`` characters; ``s`` is the
+    piece's place in its corpus, ``blk`` is s div size.
+
+    ``df`` is read once and its texts are shuffled once before they are cut: dealt by ranges
+    of the key they are written (``checkpoint``), and both the ranges' lengths and the pieces
+    come from there."""
+    x = df.select(F.col(key).cast("long").alias("k"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
+    x = cut_lineage(x.withColumn("part", F.shiftright("k", RANGE_BITS)).repartition("part"))
+    total = cut_lineage(x.groupBy("part").agg(*[F.sum(F.length(f"t{i}")).cast("long").alias(f"n{i}") for i in (0, 1)]))
+    start = prefix_sums(total, "part", ["n0", "n1"], ["s0", "s1"]).select("part", "s0", "s1")
+    x = x.join(start, "part").sortWithinPartitions("part", "k")
+    return x.select("part", "s0", "s1", "t0", "t1").mapInPandas(_cut(size), "blk long, side int, s long, piece string")
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

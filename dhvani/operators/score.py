@@ -7,11 +7,11 @@ Scale notes
   see :mod:`dhvani.functions.kernels`) and a global sum: partial aggregation
   only, no shuffle of the texts.
 * Character accuracy / macro scores compare the concatenated corpora position
-  by position.  Offsets come from :func:`prefix_sum`; each side is cut into
-  fixed blocks of ``BLOCK`` characters (a block gathers at most ``BLOCK``
-  characters from the rows overlapping it); blocks of the two sides are joined
-  on the block id and compared; only the (true, predicted, count) confusion
-  table (at most alphabet^2 rows) leaves the tasks.
+  by position.  :func:`~dhvani.operators.prefix.text_blocks` reads the pairs once, puts
+  them into ranges of the row id, and cuts both sides into blocks of ``BLOCK``
+  characters in the task that holds the range; a block gathers at most ``BLOCK``
+  characters of each side and is compared; only the (true, predicted, count)
+  confusion table (at most alphabet^2 rows) leaves the tasks.
 * BLEU/chrF: clipped n-gram matches are per-row statistics (sentence-level
   clipping), counted by a linear kernel per row and summed over the corpus
   with a partial aggregate: no n-gram is shuffled, so frequent n-grams cannot
@@ -20,13 +20,17 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import char_edit_distance, char_ngram_stats, word_ngram_stats
+from ..functions.kernels import char_edit_distance, char_ngram_stats, facing_counts, word_ngram_stats
 from ..functions.kernels import word_edit_distance as _word_distance
 from ..functions.text import urstrip, ustrip
-from .prefix import prefix_sum, prefix_sums
+from ..session import cut_lineage
+from . import edit
+from .prefix import prefix_sum, text_blocks
 
 BLOCK = 4096
 
@@ -61,43 +65,64 @@ def guard(n_rows: Column, value: Column) -> Column:
         F.raise_error(F.lit("all references are empty: cannot compute metrics")))
 
 
-def error_counts(pairs: DataFrame) -> DataFrame:
-    """Per pair: word edits, reference words, character edits, reference characters."""
-    r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
-    return pairs.select("*", _word_distance(r, h).alias("w_edits"), F.size(_words(r)).alias("w_ref"),
-                        char_edit_distance(r, h).alias("c_edits"), F.length(r).alias("c_ref"))
+def edits(pairs: DataFrame, units: Sequence[str] = ("word", "char")) -> DataFrame:
+    """Per prepared pair and unit: its edits and reference tokens (``w_edits``, ``w_ref``, ``c_edits``, ``c_ref``).
+
+    One pass writes these numbers.  Pairs whose sides both have more than ``edit.HUGE``
+    tokens have none there yet; if there are any, they are cut into blocks that many
+    tasks share (:mod:`dhvani.operators.edit`)."""
+    names = {"word": ("w_edits", "w_ref"), "char": ("c_edits", "c_ref")}
+    distance = {"word": _word_distance, "char": char_edit_distance}
+    rows = pairs.select(_collapse(F.col("ref")).alias("ref"), _collapse(F.col("hyp")).alias("hyp"))
+    small, size = {}, {}
+    for u in units:
+        small[u] = F.least(edit.token_count(F.col("ref"), u), edit.token_count(F.col("hyp"), u)) <= edit.HUGE
+        size[u] = edit.token_count(F.col("ref"), u).cast("long").alias(names[u][1])
+    found = []
+    for u in units:
+        found += [distance[u](F.col("ref"), F.when(small[u], F.col("hyp"))).alias(names[u][0]), size[u]]
+    out = cut_lineage(rows.select(*found))
+    for u in units:
+        if out.where(F.col(names[u][0]).isNull()).isEmpty():
+            continue
+        huge = cut_lineage(rows.where(~small[u]).withColumn("h", F.monotonically_increasing_id()))
+        late = huge.join(edit.block_distances(huge, u), "h").select(F.col("distance").alias(names[u][0]), size[u])
+        # The rows without a number count nothing; the late ones bring it and their length.
+        known = F.col(names[u][0]).isNotNull()
+        out = out.withColumn(names[u][1], F.when(known, F.col(names[u][1]))).unionByName(late, allowMissingColumns=True)
+    return out
+
+
+def error_rates(pairs: DataFrame, guarded: bool = True) -> DataFrame:
+    """One row of prepared pairs: ``wer``, ``cer`` and their number ``n``."""
+    n = F.count("c_ref")
+    rates = [F.sum(f"{u}_edits") / F.sum(f"{u}_ref") for u in "wc"]
+    return edits(pairs).agg(*[(guard(n, r) if guarded else r).alias(c) for r, c in zip(rates, ("wer", "cer"))], n.alias("n"))
 
 
 def wer(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """Corpus WER = sum of word edits / sum of reference words (one row)."""
-    p = prepare(pairs, lowercase=lowercase)
-    r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
-    e = p.select(_word_distance(r, h).alias("w_edits"), F.size(_words(r)).alias("w_ref"))
-    n = F.count(F.lit(1))
+    e = edits(prepare(pairs, lowercase=lowercase), ["word"])
+    n = F.count("w_ref")
     return e.agg(guard(n, F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
                  F.sum("w_edits").alias("edits"), F.sum("w_ref").alias("ref_words"), n.alias("n_pairs"))
 
 
 def cer(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """Corpus CER = sum of character edits / sum of reference characters (one row)."""
-    p = prepare(pairs, lowercase=lowercase)
-    r, h = _collapse(F.col("ref")), _collapse(F.col("hyp"))
-    e = p.select(char_edit_distance(r, h).alias("c_edits"), F.length(r).alias("c_ref"))
-    n = F.count(F.lit(1))
+    e = edits(prepare(pairs, lowercase=lowercase), ["char"])
+    n = F.count("c_ref")
     return e.agg(guard(n, F.sum("c_edits") / F.sum("c_ref")).alias("cer"),
                  F.sum("c_edits").alias("edits"), F.sum("c_ref").alias("ref_chars"), n.alias("n_pairs"))
 
 
 def error_rates_percent_safe(pairs: DataFrame, lowercase: bool = False) -> DataFrame:
     """WER and CER in percent; 100.0 for both when any hypothesis is missing
-    (undecodable), mirroring the training-time metric's fallback."""
-    any_null = F.max(F.col("hyp").isNull().cast("int"))
-    p = pairs.withColumn("_null", F.col("hyp").isNull())
-    flagged = p.agg(any_null.alias("_any")).scalar()
-    e = error_counts(prepare(p, lowercase=lowercase))
-    return e.agg(
-        F.when(flagged == 1, F.lit(100.0)).otherwise(100.0 * F.sum("w_edits") / F.sum("w_ref")).alias("wer"),
-        F.when(flagged == 1, F.lit(100.0)).otherwise(100.0 * F.sum("c_edits") / F.sum("c_ref")).alias("cer"))
+    (undecodable), mirroring the training-time metric's fallback.  Then no distance is computed.
+    Without a missing one, references that are all blank are an error."""
+    missing = pairs.agg(F.coalesce(F.max(F.col("hyp").isNull().cast("int")), F.lit(0)).alias("m")).scalar()
+    e = error_rates(prepare(pairs.where(missing == 0), lowercase=lowercase), guarded=False)
+    return e.select(*[F.when(missing == 1, F.lit(100.0)).otherwise(guard(F.col("n"), 100.0 * F.col(c))).alias(c) for c in ("wer", "cer")])
 
 
 # ---- character accuracy and macro scores over the concatenated corpora ----------
@@ -109,40 +134,18 @@ def char_offsets(df: DataFrame, row: str = "row_id", text: str = "text") -> Data
     return prefix_sum(x, "row_id", "len", "offset")
 
 
-def _blocks(side: DataFrame) -> DataFrame:
-    """Offsets table -> ``(blk, chunk)``: the corpus characters of block blk.
-
-    A text is cut once: up to the first block boundary, then every ``BLOCK`` characters."""
-    x = side.filter(F.col("len") > 0)
-    head = (BLOCK - F.col("offset") % BLOCK).cast("int")
-    rest = F.regexp_extract_all(F.substring(F.col("text"), head + 1, F.length("text")), F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
-    pieces = F.concat(F.array(F.substring(F.col("text"), F.lit(1), head)), rest)
-    x = x.select("offset", F.posexplode(pieces).alias("k", "piece"))
-    x = x.select((F.floor(F.col("offset") / BLOCK) + F.col("k")).alias("blk"), F.col("offset").alias("s"), "piece")
-    return x.groupBy("blk").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("s", "piece"))), lambda t: t["piece"]), "").alias("chunk"))
-
-
 def char_confusion(pairs: DataFrame, lowercase: bool = True) -> DataFrame:
     """``(t, p, n)``: how often reference character t faces hypothesis
     character p at the same position of the concatenated corpora (cut to the
     shorter one), in ``row_id`` order."""
-    p = prepare(pairs, lowercase=lowercase).select(
-        "row_id", "ref", "hyp", F.length("ref").cast("long").alias("lr"), F.length("hyp").cast("long").alias("lh"))
-    # one prefix-sum pass for both sides; the text projections run once, below
-    # the shared exchange
-    o = prefix_sums(p, "row_id", ["lr", "lh"], ["or", "oh"])
-    ro = o.select("row_id", F.col("lr").alias("len"), F.col("ref").alias("text"), F.col("or").alias("offset"))
-    ho = o.select("row_id", F.col("lh").alias("len"), F.col("hyp").alias("text"), F.col("oh").alias("offset"))
-    rb = _blocks(ro).withColumnRenamed("chunk", "rc")
-    hb = _blocks(ho).withColumnRenamed("chunk", "hc")
+    pieces = text_blocks(prepare(pairs, lowercase=lowercase), "row_id", ("ref", "hyp"), BLOCK)
+    parts = F.array_sort(F.collect_list(F.struct("side", "s", "piece")))
+    blocks = pieces.groupBy("blk").agg(parts.alias("x"))
+    text = [F.array_join(F.transform(F.filter("x", on), lambda t: t["piece"]), "") for on in (lambda t: t["side"] == 0, lambda t: t["side"] == 1)]
     # Both corpora start at position 0, so a position survives the cut to the
-    # shorter corpus exactly when both blocks hold a character there.
-    lim = F.least(F.length("rc"), F.length("hc"))
-    j = rb.join(hb, "blk").withColumn("lim", lim).filter(F.col("lim") > 0)
-    z = j.select(F.explode(F.arrays_zip(F.split(F.substring("rc", 1, F.col("lim")), ""),
-                                        F.split(F.substring("hc", 1, F.col("lim")), ""))).alias("z"))
-    return z.groupBy(F.col("z.0").alias("t"), F.col("z.1").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    # shorter corpus exactly when the block holds a character of both there.
+    facing = blocks.select(text[0].alias("rc"), text[1].alias("hc")).where("rc <> '' and hc <> ''")
+    return facing.mapInPandas(facing_counts, "t string, p string, n long").groupBy("t", "p").agg(F.sum("n").alias("n"))
 
 
 def char_accuracy(conf: DataFrame) -> DataFrame:
@@ -203,16 +206,12 @@ def tokenize_13a(c: Column) -> Column:
     return _u_strip(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
-def _ngram_stats(pairs: DataFrame, stats: Column, orders: int) -> DataFrame:
-    """Corpus ``(n, hyp_total, ref_total, matches)``: per-row statistics
-    summed over the corpus (partial aggregation; nothing is shuffled but the
-    sums)."""
-    x = pairs.select(stats.alias("_s"))
-    sums = x.agg(*[F.sum(F.col("_s")[i]).alias(f"_{i}") for i in range(3 * orders)])
-    rows = [F.struct(F.lit(n).alias("n"), F.col(f"_{3 * (n - 1)}").alias("hyp_total"),
-                     F.col(f"_{3 * (n - 1) + 1}").alias("ref_total"), F.col(f"_{3 * (n - 1) + 2}").alias("matches"))
-            for n in range(1, orders + 1)]
-    return sums.select(F.inline(F.array(*rows)))
+def _ngram_sums(pairs: DataFrame, stats: Column, orders: int) -> DataFrame:
+    """One row, ``hyp_total_n``, ``ref_total_n``, ``matches_n`` for n = 1..orders: per-row
+    statistics summed over the corpus (partial aggregation; nothing is shuffled but the
+    sums, and the corpus is read once)."""
+    names = [f"{c}_{n}" for n in range(1, orders + 1) for c in ("hyp_total", "ref_total", "matches")]
+    return pairs.select(stats.alias("_s")).agg(*[F.sum(F.col("_s")[i]).alias(c) for i, c in enumerate(names)])
 
 
 def bleu(pairs: DataFrame) -> DataFrame:
@@ -220,10 +219,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
     reference), 0-100 scale, with its parts."""
     p = pairs.select("row_id", tokenize_13a(F.coalesce("ref", F.lit(""))).alias("rt"),
                      tokenize_13a(F.coalesce("hyp", F.lit(""))).alias("ht"))
-    st = _ngram_stats(p, word_ngram_stats(F.col("rt"), F.col("ht"), MAX_ORDER), MAX_ORDER)
-    lens = st.filter(F.col("n") == 1).select(F.col("hyp_total").alias("sys_len"), F.col("ref_total").alias("ref_len"))
-    w = st.agg(*[F.max(F.when(F.col("n") == k, F.col(c))).alias(f"{c}_{k}")
-                 for k in range(1, MAX_ORDER + 1) for c in ("hyp_total", "matches")])
+    w = _ngram_sums(p, word_ngram_stats(F.col("rt"), F.col("ht"), MAX_ORDER), MAX_ORDER)
     # sequential precision rule: a zero count doubles the smoothing divisor;
     # an order with no n-grams (and all above it) scores 0
     precs = []
@@ -238,7 +234,7 @@ def bleu(pairs: DataFrame) -> DataFrame:
                      .otherwise(F.lit(100.0) * cor / tot))
     logs = [F.when(pr > 0, F.log(pr)).otherwise(F.lit(-9999999999.0)) for pr in precs]
     mean_log = sum(logs[1:], logs[0]) / MAX_ORDER
-    sys_len, ref_len = lens.select("sys_len").scalar(), lens.select("ref_len").scalar()
+    sys_len, ref_len = F.col("hyp_total_1"), F.col("ref_total_1")
     bp = (F.when(sys_len >= ref_len, F.lit(1.0))
           .when(sys_len > 0, F.exp(F.lit(1.0) - ref_len / sys_len)).otherwise(F.lit(0.0)))
     return w.select((bp * F.exp(mean_log)).alias("bleu"), bp.alias("bp"),
@@ -250,7 +246,9 @@ def chrf(pairs: DataFrame) -> DataFrame:
     """Corpus chrF (character 1..6-grams, whitespace removed, beta 2), 0-100 scale."""
     nows = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
     p = pairs.select("row_id", nows(F.col("ref")).alias("rs"), nows(F.col("hyp")).alias("hs"))
-    st = _ngram_stats(p, char_ngram_stats(F.col("rs"), F.col("hs"), CHAR_ORDER), CHAR_ORDER)
+    sums = _ngram_sums(p, char_ngram_stats(F.col("rs"), F.col("hs"), CHAR_ORDER), CHAR_ORDER)
+    rows = [F.struct(*[F.col(f"{c}_{n}").alias(c) for c in ("hyp_total", "ref_total", "matches")]) for n in range(1, CHAR_ORDER + 1)]
+    st = sums.select(F.inline(F.array(*rows)))
     ok = (F.col("hyp_total") > 0) & (F.col("ref_total") > 0)
     agg = st.agg(F.sum(F.when(ok, F.col("matches") / F.col("hyp_total"))).alias("_p"),
                  F.sum(F.when(ok, F.col("matches") / F.col("ref_total"))).alias("_r"),

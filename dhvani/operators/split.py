@@ -21,22 +21,13 @@ from .rank import SEED, seed_hash, seeded_rank
 QUANTILES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 
-def duration_edges(df: DataFrame, min_dur: float = MIN_DUR, col: str = "duration_sec",
-                   method: str = "aggregate") -> DataFrame:
+def duration_edges(df: DataFrame, min_dur: float = MIN_DUR, col: str = "duration_sec") -> DataFrame:
     """One row, ``edges ARRAY<DOUBLE>``: exact 0/20/.../100 % quantiles
-    (linear interpolation) of ``max(duration, min_dur)``, duplicates dropped.
-
-    ``method='aggregate'``: one ``percentile`` aggregate; its buffer holds one
-    entry per distinct duration, which the manifest bounds (durations are
-    rounded to milliseconds and filtered to [min_dur, max_dur]: at most
-    19,501 values).  ``method='distributed'``: :func:`exact_quantiles`, for
-    value domains without such a bound (more stages, no single-task merge)."""
+    (linear interpolation) of ``max(duration, min_dur)``, duplicates dropped, found by
+    radix selection (:mod:`dhvani.operators.quantile`): no task merges the values."""
     d = F.greatest(F.col(col), F.lit(float(min_dur)))
-    if method == "distributed":
-        q = exact_quantiles(df.select(d.alias("_d")), "_d", QUANTILES)
-        return q.select(F.array_distinct("quantiles").alias("edges"))
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    return df.agg(F.array_distinct(F.percentile(d, qs)).alias("edges"))
+    q = exact_quantiles(df.select(d.alias("_d")), "_d", QUANTILES)
+    return q.select(F.array_distinct("quantiles").alias("edges"))
 
 
 def bin_of(x: Column, edges: Column) -> Column:

@@ -101,12 +101,43 @@ def test_exact_quantiles_match_numpy(spark):
         assert by[g][0] == pytest.approx(float(np.quantile(vals[g::3], 0.5)), rel=1e-12)
 
 
-def test_duration_edges_methods_agree(spark):
-    from dhvani.operators.split import duration_edges
-    df = spark.range(5000).select(((F.col("id") * 7919 % 10007) / 500.0 + 0.5).alias("duration_sec"))
-    a = duration_edges(df).first().edges
-    b = duration_edges(df, method="distributed").first().edges
-    assert a == pytest.approx(b, rel=1e-12)
+def test_edges_are_percentiles(spark):
+    from dhvani.operators.split import QUANTILES, duration_edges
+    df = spark.range(5000).select(((F.col("id") * 7919) % 20011 / 1000.0).alias("duration_sec"))
+    want = df.select(F.array_distinct(F.percentile(F.greatest("duration_sec", F.lit(0.5)), F.array(*[F.lit(q) for q in QUANTILES])))).first()[0]
+    assert duration_edges(df).first().edges == pytest.approx(want, rel=1e-12)
+
+
+def test_quantiles_of_any_distribution(spark):
+    """An outlier, a crowded range, both signs, zeros, infinity, ties, nulls and NaN; groups with a null key."""
+    import numpy as np
+
+    from dhvani.operators.quantile import exact_quantiles
+    r = np.random.default_rng(3)
+    groups = {"outlier": [*r.normal(size=300), 1e300], "crowd": [*(1 + 1e-13 * r.integers(0, 50, 400)), 5e-324, -1e9], "ties": [2.5] * 90 + [-0.0, 0.0] * 7,
+              "inf": [float("inf"), 1.0, 2.0, 3.0], "one": [7.25], None: [*r.exponential(size=99)]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ties", None), ("one", float("nan")), ("empty", None)]
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {x.g: x.quantiles for x in exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", qs, by=["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        if g != "inf":
+            assert got[g] == pytest.approx(list(np.quantile(vs, qs)), rel=1e-12, abs=1e-15), g
+    assert got["inf"][0] == 1.0 and got["inf"][-1] == float("inf")
+
+
+def test_quantiles_windows_stay_small(spark):
+    """A million different values: no window sees more than the 65,536 buckets of a prefix."""
+    import numpy as np
+
+    from dhvani.operators import quantile as Q
+    df = spark.range(1_000_000).select((F.sin("id") * F.exp(F.col("id") % 40)).alias("v"))
+    got = Q.exact_quantiles(df, "v", [0.01, 0.5, 0.99]).first().quantiles
+    i = np.arange(1_000_000)
+    assert got == pytest.approx(list(np.quantile(np.sin(i) * np.exp(i % 40), [0.01, 0.5, 0.99])), rel=1e-9)
+    keys = df.select(Q.order_key("v").alias("k"))
+    buckets = keys.groupBy(F.shiftright("k", 32).alias("b")).count().groupBy(F.shiftright("b", 16).alias("p")).count()
+    assert buckets.agg(F.max("count")).first()[0] <= 65_536 and buckets.count() <= 65_536
 
 
 def test_pairs_and_rest_lose_no_row(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_by_lang
@@ -37,13 +37,25 @@ def semi_existing(df: DataFrame, inventory: DataFrame, path_col: str = "file",
 
 
 def route(df: DataFrame, error: Column):
-    """Split one pass into (good rows, error rows ``(input_path, error)``)."""
+    """(good rows, error rows) as two tables of one tagged plan: each evaluates ``df`` when it
+    is used.  ``write_routed`` writes both in one pass."""
     tagged = df.withColumn("error", error)
     good = tagged.filter(F.col("error").isNull()).drop("error")
     bad = tagged.filter(F.col("error").isNotNull())
     return good, bad
 
 
+def write_routed(df: DataFrame, error: Column, out: str, good: str = "manifest", bad: str = "errors") -> tuple[int, int]:
+    """Write good and error rows in one job, to ``out/kind=manifest`` and ``out/kind=errors``
+    (a kind without rows has no folder); returns how many there are of each, counted on the way."""
+    seen = Observation()
+    x = df.withColumn("error", error)
+    is_bad = F.col("error").isNotNull()
+    x = x.observe(seen, F.count_if(~is_bad).alias("good"), F.count_if(is_bad).alias("bad"))
+    x.withColumn("kind", F.when(is_bad, bad).otherwise(good)).write.mode("overwrite").partitionBy("kind").parquet(out)
+    return seen.get["good"], seen.get["bad"]
+
+
 def error_sample(errors: DataFrame, n: int = 5, order: str = "input_path") -> DataFrame:
     """The first ``n`` error rows in an explicit order (a top-k, no full sort)."""
     return errors.orderBy(order).limit(n)

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from dhvani.plans.build_manifest import process_clips, write_manifest
+from dhvani.plans.build_manifest import clip_rows, process_clips, write_manifest, write_run
 from dhvani.plans.evaluate import eval_pairs, evaluate
 from dhvani.plans.parallel_corpus import build_parallel, write_parallel
 
@@ -33,6 +33,29 @@ def test_write_manifest_skips_empty(spark):
     assert not os.path.exists(os.path.join(out, "manifest")) and os.path.exists(os.path.join(out, "errors"))
 
 
+def test_write_run_is_one_pass(spark):
+    """Both outputs and their counts come from one evaluation of the clips."""
+    clips = spark.createDataFrame([
+        ("/in/a/x.wav", [0.5] * 5000, 16000), ("/in/y.flac", [0.25] * 100, 16000), ("/elsewhere/z.wav", [0.1] * 9000, 16000)],
+        "path string, samples array<float>, sr int")
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+    tmap = spark.createDataFrame([("x", "Hello 2 you")], "key string, text string")
+    out = tempfile.mkdtemp(prefix="dhvani-run-")
+    assert write_run(clip_rows(clips.mapInPandas(watched, clips.schema), "/in", "/out", "en", tmap), out) == (1, 2)
+    assert seen.value == 3
+    back = {(r.kind, r.input_path, r.error, r.transcript if r.kind == "manifest" else None) for r in spark.read.parquet(out).collect()}
+    assert back == {("manifest", "/in/a/x.wav", None, "hello two you"), ("errors", "/in/y.flac", "too_short", None),
+                    ("errors", "/elsewhere/z.wav", "outside input_dir", None)}
+    out = tempfile.mkdtemp(prefix="dhvani-run-")
+    assert write_run(clip_rows(clips.where("path = '/in/y.flac'"), "/in", "/out"), out) == (0, 1)
+    assert not os.path.exists(os.path.join(out, "kind=manifest"))
+
+
 def test_evaluate_plan(spark):
     test = spark.createDataFrame([(0, "/a/1.wav", "The cat"), (1, "rel/2.wav", " dog "), (2, "/a/3.wav", "  ")],
                                  "row_id long, wav_path string, transcript string")

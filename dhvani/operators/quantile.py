@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import LongType
 
 from ..session import cut_lineage
 
@@ -36,13 +36,6 @@ def order_key(v: pd.Series) -> pd.Series:
     return pd.Series(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))
 
 
-@F.pandas_udf(DoubleType())
-def key_value(k: pd.Series) -> pd.Series:
-    """The double of an ``order_key``."""
-    bits = k.to_numpy(np.int64)
-    return pd.Series((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
-
-
 def order_statistics(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``wanted`` (keys, _r) with ``_p``, the key of the row of rank ``_r`` (from 0) in its group of
     ``counts`` (keys, _k, _c), by descent through four digits."""
@@ -73,14 +66,14 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     groups = [F.struct(F.col(c).alias("v")).alias(k) for c, k in zip(by, keys[1:])]
     vals = df.where(v.isNotNull() & ~F.isnan(v)).select(F.lit(0).alias("_g"), *groups, v.alias("_v"))
     counts = vals.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    counts = cut_lineage(counts.select(*keys, order_key("_v").alias("_k"), "_c"))
+    counts = cut_lineage(counts.select(*keys, order_key("_v").alias("_k"), "_v", "_c"))
 
     stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     pos = [F.lit(float(q)) * (F.col("_n") - 1) for q in qs]
     ranks = F.array(*[F.struct(F.lit(i).alias("qi"), (p - F.floor(p)).alias("frac"), F.lit(w).alias("w"), (F.floor(p) if w == 0 else F.ceil(p)).cast("long").alias("r"))
                       for i, p in enumerate(pos) for w in (0, 1)])
     wanted = stats.select(*keys, F.explode(ranks).alias("_t")).select(*keys, "_t.qi", "_t.frac", "_t.w", F.col("_t.r").alias("_r"))
-    x = order_statistics(counts, wanted, keys).select(*keys, "qi", "frac", "w", key_value("_p").alias("x"))
+    x = order_statistics(counts, wanted, keys).withColumnRenamed("_p", "_k").join(counts.select(*keys, "_k", F.col("_v").alias("x")), [*keys, "_k"])
     x = x.groupBy(*keys, "qi", "frac").agg(F.max(F.when(F.col("w") == 0, F.col("x"))).alias("x0"), F.max(F.when(F.col("w") == 1, F.col("x"))).alias("x1"))
     value = F.when(F.col("x0") == F.col("x1"), F.col("x0")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("frac"))
     res = x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", value.alias("val")))), lambda t: t["val"]).alias(out))

@@ -134,6 +134,25 @@ def align(hi_df: DataFrame, en_df: DataFrame, fallback: str = "random", seed: in
     return drop_blank(basename_join(hi, en, seed))
 
 
+def without_partner(hi_df: DataFrame, en_df: DataFrame, seed: int = SEED) -> DataFrame:
+    """``(basename, side, text)``: the rows with a stem and a text that :func:`basename_join` pairs with nothing:
+    stems that the other side lacks, and what is left of repeated ones.  Slim semi-joins on the stems."""
+    hi, en = keyed_side(hi_df, "hi_text").dropna(), keyed_side(en_df, "en_text").dropna()
+    rest = basename_pairs(hi, en, seed)[1]
+    for x, other, side in ((hi, en, "hi"), (en, hi, "en")):
+        alone = x.join(other.select("basename").distinct(), "basename", "left_anti")
+        rest = rest.unionByName(alone.select("basename", F.lit(side).alias("side"), F.col(f"{side}_text").alias("text")))
+    return rest
+
+
+def align_report(hi_df: DataFrame, en_df: DataFrame, seed: int = SEED) -> DataFrame:
+    """Per side: its rows with a stem and a text (``n_rows``), and those that found no partner (``n_rest``)."""
+    rest = without_partner(hi_df, en_df, seed).groupBy("side").agg(F.count(F.lit(1)).alias("n_rest"))
+    rows = [keyed_side(df, "text").dropna().agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(side).alias("side"), "n_rows")
+            for df, side in ((hi_df, "hi"), (en_df, "en"))]
+    return rows[0].unionByName(rows[1]).join(rest, "side", "left").select("side", "n_rows", F.coalesce("n_rest", F.lit(0)).cast("long").alias("n_rest"))
+
+
 def seq2seq_examples(pairs: DataFrame, direction: str = "hi-en") -> DataFrame:
     """``(source, target)`` for a translation direction; null pairs dropped."""
     src, tgt = ("hi_text", "en_text") if direction == "hi-en" else ("en_text", "hi_text")

@@ -55,6 +55,18 @@ def q_parallel_repeated(spark, d):
     return p.unionByName(r)
 
 
+# ---- C1 in the whole alignment: rows and rows without a partner, by side ------------
+
+@register("align_report", """with n as (select cast(conv_id as varchar) as b, count(*) filter (where role = 'user' and text is not null) as h,
+  count(*) filter (where role = 'assistant' and text is not null and conv_id % 3 <> 0) as e from conversations group by b)
+select 'hi' as side, cast(sum(h) as bigint) as n_rows, cast(sum(greatest(h - e, 0)) as bigint) as n_rest from n
+union all select 'en', cast(sum(e) as bigint), cast(sum(greatest(e - h, 0)) as bigint) from n""")
+def q_align_report(spark, d):
+    c = read_table(spark, d, "conversations").select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit(".wav")).alias("file"), "text", "role", "conv_id")
+    hi, en = c.where("role = 'user'"), c.where("role = 'assistant' and conv_id % 3 <> 0")
+    return A.align_report(hi.select("file", "text"), en.select("file", "text"))
+
+
 # ---- C4 random pairing (sides share no basename) --------------------------------
 
 def _conv_side(spark, d):

@@ -78,3 +78,12 @@ def test_parallel_corpus_written(spark):
     c = {r.split: r["count"] for r in back.groupBy("split").count().collect()}
     assert c == {"val": 100, "test": 50} and set(back.columns) == {"src", "tgt", "basename", "split"}
     assert back.filter(F.col("src").substr(2, 10) != F.col("tgt").substr(2, 10)).count() == 0
+
+
+def test_rows_without_a_partner(spark):
+    from dhvani.operators.align import align_report, without_partner
+    hi = spark.createDataFrame([("a.wav", "h1"), ("a.wav", "h2"), ("b.wav", "h3"), ("c.wav", None), ("d.wav", "h4")], "file string, text string")
+    en = spark.createDataFrame([("x/a.wav", "e1"), ("d.wav", "e2"), ("e.wav", "e3"), ("c.wav", "e4")], "file string, text string")
+    rest = {(r.basename, r.side) for r in without_partner(hi, en).collect()}
+    assert rest == {("a", "hi"), ("b", "hi"), ("e", "en"), ("c", "en")}
+    assert {tuple(r) for r in align_report(hi, en).collect()} == {("hi", 4, 2), ("en", 4, 2)}

@@ -87,14 +87,14 @@ def text_blocks(df: DataFrame, key: str, texts: tuple[str, str], size: int) -> D
     unique whole-number ``key``, cut at every multiple of ``size`` characters; ``s`` is the
     piece's place in its corpus, ``blk`` is s div size.
 
-    ``df`` is read once and its texts are shuffled once before they are cut: dealt by ranges
-    of the key they are written (``checkpoint``), and both the ranges' lengths and the pieces
-    come from there."""
+    ``df`` is read twice, for the ranges' lengths (written, a row a range) and for the pieces, and
+    its texts are shuffled once before they are cut."""
     x = df.select(F.col(key).cast("long").alias("k"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(texts)])
-    x = cut_lineage(x.withColumn("part", F.shiftright("k", RANGE_BITS)).repartition("part"))
+    x = x.withColumn("part", F.shiftright("k", RANGE_BITS))
     total = cut_lineage(x.groupBy("part").agg(*[F.sum(F.length(f"t{i}")).cast("long").alias(f"n{i}") for i in (0, 1)]))
     start = prefix_sums(total, "part", ["n0", "n1"], ["s0", "s1"]).select("part", "s0", "s1")
-    x = x.join(start, "part").sortWithinPartitions("part", "k")
+    # Not a broadcast: the ranges grow with the rows, and the join deals the texts by range.
+    x = x.join(start.hint("shuffle_hash"), "part").sortWithinPartitions("part", "k")
     return x.select("part", "s0", "s1", "t0", "t1").mapInPandas(_cut(size), "blk long, side int, s long, piece string")
 
 

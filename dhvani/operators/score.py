@@ -7,8 +7,8 @@ Scale notes
   see :mod:`dhvani.functions.kernels`) and a global sum: partial aggregation
   only, no shuffle of the texts.
 * Character accuracy / macro scores compare the concatenated corpora position
-  by position.  :func:`~dhvani.operators.prefix.text_blocks` reads the pairs once, puts
-  them into ranges of the row id, and cuts both sides into blocks of ``BLOCK``
+  by position.  :func:`~dhvani.operators.prefix.text_blocks` puts the pairs into
+  ranges of the row id and cuts both sides into blocks of ``BLOCK``
   characters in the task that holds the range; a block gathers at most ``BLOCK``
   characters of each side and is compared; only the (true, predicted, count)
   confusion table (at most alphabet^2 rows) leaves the tasks.

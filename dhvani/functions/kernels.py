@@ -207,17 +207,29 @@ def word_edit_distance(a: Column, b: Column) -> Column:
     return _word_distance(a, b)
 
 
+#: Blocks whose characters are counted together.
+FACING = 128
+
+
 def facing_counts(frames):
     """(t, p, n) of frames of equally placed texts (rc, hc): how often character t stands
     over p, up to the end of the shorter one; one row for each pair of characters and frame."""
     import numpy as np
+
+    def codes(text):
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     for f in frames:
-        parts = []
-        for rc, hc in zip(f["rc"], f["hc"]):
-            n = min(len(rc), len(hc))
-            t, p = (np.frombuffer(x[:n].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for x in (rc, hc))
-            parts.append((t << 21) | p)
-        pair, n = np.unique(np.concatenate(parts), return_counts=True)
+        seen, counts = [], []
+        for a in range(0, len(f), FACING):
+            parts = []
+            for rc, hc in zip(f["rc"].iloc[a:a + FACING], f["hc"].iloc[a:a + FACING]):
+                n = min(len(rc), len(hc))
+                parts.append((codes(rc[:n]) << 21) | codes(hc[:n]))
+            pair, n = np.unique(np.concatenate(parts), return_counts=True)
+            seen.append(pair)
+            counts.append(n)
+        pair, which = np.unique(np.concatenate(seen), return_inverse=True)
+        n = np.bincount(which, np.concatenate(counts)).astype(np.int64)
         yield pd.DataFrame({"t": [chr(x) for x in (pair >> 21).tolist()], "p": [chr(x) for x in (pair & 0x1FFFFF).tolist()], "n": n})
 
 

@@ -16,7 +16,9 @@ works on one representative of each class.
     the signatures that occur twice; a bitmap of fixed size holds them (it may
     pass more, never fewer), and only those travel with their sets' points.
     Sets that share a signature and whose points allow a link (see 3) are
-    connected in a graph of candidates; texts that share a passage are not.
+    connected in a graph of candidates; texts that share a passage are not.  The
+    points of this step have more groups the larger a set is, as minima of large
+    counts tell unrelated sets no longer apart.
 2.  *Pages.*  The candidates' sets are dealt to pages of about ``PAGE`` sets, a
     candidate component to one page.  A component of more than ``PAGE`` sets is
     cut into blocks, and each pair of blocks is a page, so a large group of near
@@ -41,6 +43,7 @@ equal, or shingles of one pair confused, with a chance of about pairs / 2^64.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -53,6 +56,11 @@ from . import kit
 PAGE = 512
 #: Coordinates of a point.
 GROUPS = 64
+#: Shingles a coordinate of the points that travel with signatures, at most: larger sets
+#: have twice as many coordinates, and so on.
+LOAD = 12
+#: Counts from here on are kept as this one, and bound nothing.
+MOST = 255
 #: Entries of an R-tree node.
 FANOUT = 16
 #: Bits of the filters that hold repeated signatures and candidate classes: 8 MB each at any size.
@@ -225,6 +233,61 @@ def count_vectors(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bincount(cell, minlength=(len(first) - 1) * GROUPS).reshape(-1, GROUPS)
 
 
+def levels(size: np.ndarray) -> np.ndarray:
+    """How often the coordinates of each set's fine point are doubled."""
+    return np.ceil(np.log2(np.maximum(size / (GROUPS * LOAD), 1))).astype(np.int64)
+
+
+def fine_points(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, start): the fine point of set i is ``counts[start[i]:start[i + 1]]``, a byte a
+    coordinate.  Those of sets of another level are compared by adding up its halves."""
+    size = np.diff(first)
+    width = GROUPS << levels(size)
+    start = np.concatenate(([0], np.cumsum(width)))
+    cell = np.repeat(start[:-1], size) + (kit.mix(g) & np.repeat(width - 1, size).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=start[-1]), MOST).astype(np.uint8), start
+
+
+class FinePoints:
+    """The fine points of sets of given sizes, one after the other in ``counts``."""
+
+    def __init__(self, size: np.ndarray, counts: np.ndarray):
+        self.size, self.level = size, levels(size)
+        start = np.cumsum(GROUPS << self.level) - (GROUPS << self.level)
+        self.place, self.rows = np.zeros(len(size), np.int64), {}
+        for k in np.unique(self.level).tolist():
+            at = np.flatnonzero(self.level == k)
+            self.place[at] = np.arange(len(at))
+            self.rows[k] = counts[start[at][:, None] + np.arange(GROUPS << k)]
+
+    def folded(self, who: np.ndarray, level: int, to: int) -> np.ndarray:
+        """Points of the sets ``who`` of one level with as few coordinates as level ``to``."""
+        x = self.rows[level][self.place[who]].astype(np.int32)
+        x[x == MOST] = 1 << 20
+        return x.reshape(len(who), -1, GROUPS << to).sum(axis=1)
+
+    def coarse(self, who: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(who), GROUPS), np.int64)
+        for k in np.unique(self.level[who]).tolist():
+            at = np.flatnonzero(self.level[who] == k)
+            out[at] = self.folded(who[at], k, 0)
+        return out
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
+        """Whether the summed minima of each pair reach the overlap of a link."""
+        ok = np.zeros(len(i), bool)
+        kind = self.level[i] * 64 + self.level[j]
+        for k in np.unique(kind).tolist():
+            a, b = divmod(k, 64)
+            all_, to = np.flatnonzero(kind == k), min(a, b)
+            step = max(PAIRS >> max(a, b), 1)
+            for x in range(0, len(all_), step):
+                at = all_[x:x + step]
+                shared = np.minimum(self.folded(i[at], a, to), self.folded(j[at], b, to)).sum(axis=1)
+                ok[at] = shared >= least_overlap(self.size[i[at]], self.size[j[at]], t)
+        return ok
+
+
 def _second_pass(n: int, t: float, buckets: int, maps):
     """The repeated signatures of each chunk by bucket, with the classes, sizes and
     points of the sets that have one there."""
@@ -233,15 +296,16 @@ def _second_pass(n: int, t: float, buckets: int, maps):
         for g, first, key, sig, own in _signed(frames, n, t):
             ok = _has(table, sig, SIGNATURE_BITS)
             sig, own = sig[ok], own[ok]
-            size, points = np.diff(first), count_vectors(g, first)
+            size, (counts, start) = np.diff(first), fine_points(g, first)
             b = _bucket(sig, buckets)
             order = np.argsort(b, kind="stable")
             b, sig, own = b[order], sig[order], own[order]
             rows = []
             for q, x, y in zip(*_runs(b)):
                 used, index = np.unique(own[x:y], return_inverse=True)
+                points = b"".join(counts[start[i]:start[i + 1]].tobytes() for i in used)
                 rows.append((int(q), sig[x:y].tobytes(), index.astype(np.int32).tobytes(), key[used].tobytes(),
-                             size[used].tobytes(), points[used].astype(np.int32).tobytes()))
+                             size[used].tobytes(), zlib.compress(points, 1)))
             yield pd.DataFrame(rows, columns=["bucket", "sig", "own", "cls", "size", "points"])
     return run
 
@@ -251,12 +315,12 @@ def _candidate_edges(t: float):
     points allow a link."""
     def run(f: pd.DataFrame) -> pd.DataFrame:
         cls, size = (np.frombuffer(b"".join(f[c]), np.int64) for c in ("cls", "size"))
-        points = np.frombuffer(b"".join(f["points"]), np.int32).reshape(-1, GROUPS)
+        points = FinePoints(size, np.frombuffer(b"".join(map(zlib.decompress, f["points"])), np.uint8))
         base = np.cumsum([0] + [len(b) // 8 for b in f["cls"]])
         own = np.concatenate([np.frombuffer(b, np.int32) + base[i] for i, b in enumerate(f["own"])])
         sig = np.frombuffer(b"".join(f["sig"]), np.uint64)
         cls, at, back = np.unique(cls, return_index=True, return_inverse=True)  # copies of different chunks
-        size, points, own = size[at], points[at], back[own]
+        size, who, own = size[at], at, back[own]  # who: the place of a class's point
         order = np.lexsort((own, sig))
         sig, own = sig[order], own[order]
         new = np.ones(len(sig), bool)
@@ -273,16 +337,20 @@ def _candidate_edges(t: float):
         groups, edges = Groups(len(cls)), []
         for k in range(0, len(pairs), PAIRS):
             i, j = np.divmod(pairs[k:k + PAIRS], len(cls))
-            ok = np.minimum(points[i], points[j]).sum(axis=1) >= least_overlap(size[i], size[j], t)
+            ok = points.may_link(who[i], who[j], t)
             edges += [(a, b) for a, b in zip(i[ok].tolist(), j[ok].tolist()) if groups.join(a, b)]
         for x, y in zip(lo[many > FEW].tolist(), hi[many > FEW].tolist()):
             members = own[x:y]
             left = {groups.find(i) for i in members.tolist()}
             if len(left) == 1:
                 continue
-            tree = RTree(points[members], size[members])
-            for i in members.tolist():
-                for j in members[tree.search(points[i], int(size[i]), t)].tolist():
+            coarse = points.coarse(who[members])
+            tree = RTree(coarse, size[members])
+            for i, q in zip(members.tolist(), coarse):
+                near = members[tree.search(q, int(size[i]), t)]
+                mine = groups.find(i)
+                near = np.array([j for j in near.tolist() if groups.find(j) != mine], np.int64)
+                for j in near[points.may_link(np.full(len(near), who[i]), who[near], t)].tolist():
                     a, b = groups.find(i), groups.find(j)
                     if groups.join(i, j):
                         edges.append((i, j))
@@ -517,6 +585,20 @@ def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_groups(kit.table(spark, sf_dir, "documents"), 3, 0.9)
 
 
+def _held(docs: DataFrame, place: str, maps, want: bool) -> DataFrame:
+    """Rows whose ``place`` is in the filter, or those without (null places are not in it)."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = _bits(maps.value, FILTER_BITS)
+        for b in batches:
+            x = b.column(b.schema.get_field_index(place))
+            has = _has(table, pc.fill_null(x, 0).to_numpy(zero_copy_only=False), FILTER_BITS) & x.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(has == want))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (five words, similarity 0.8): of those with
     the smallest id the one with the smallest hash.  Rows without an id stay.
@@ -532,11 +614,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = gone.select(F.col("doc_id").alias(id_), F.col("row").alias(row))
     copies = best.where("best.copies > 1").select(F.col("best.doc_id").alias(id_), F.col("best.row").alias(row))
     keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(row, key)
-    if copies.isEmpty():
-        return keyed.join(gone, [id_, row], "left_anti").select(*docs.columns)
-    # Copies of a whole row are combined map-side.
-    one = keyed.join(copies, [id_, row], "left_semi").dropDuplicates([id_, row])
-    return keyed.join(gone.unionAll(copies), [id_, row], "left_anti").unionByName(one).select(*docs.columns)
+    # Only rows that a filter of fixed size holds are shuffled; it may hold more than are asked for, never fewer.
+    touched = gone.unionAll(copies).checkpoint()
+    place = F.xxhash64(id_, row).bitwiseAND((1 << FILTER_BITS) - 1)
+    maps = spark.sparkContext.broadcast(_bitmap(touched.select(place.alias("x"))))
+    named = kit.free_name(keyed, "place")
+    keyed = keyed.withColumn(named, F.when(F.col(id_).isNotNull(), place))
+    free, held = (_held(keyed, named, maps, want).drop(named) for want in (False, True))
+    out = free.unionByName(held.join(touched.hint("merge"), [id_, row], "left_anti"))
+    if not copies.isEmpty():  # copies of a whole row are combined map-side
+        out = out.unionByName(held.join(copies.hint("merge"), [id_, row], "left_semi").dropDuplicates([id_, row]))
+    return out.select(*docs.columns)
 
 
 #: The query by its definition: all pairs that share a shingle, and reachability.

@@ -100,3 +100,77 @@ def test_elements_without_an_end_are_read_in_linear_time():
         start = time.process_time()
         dom.Page(source)
         assert time.process_time() - start < 10
+
+
+WORDS = "The committee met on Tuesday to discuss the new bridge, which has been closed since spring. Members heard from engineers and residents."
+PARA = f"<p>{WORDS}</p>"
+#: What stands between two paragraphs of an article, and its blocks.
+SHAPES = [
+    ("", []),
+    ('<p>See <a href="/r">the full report</a> of the committee.</p>', ["See the full report of the committee."]),
+    ('<p><a href="/r">Read the full report of the committee here</a></p>', ["Read the full report of the committee here"]),
+    ("<ul><li>closed since spring</li><li>engineers were heard</li></ul>", ["closed since spring", "engineers were heard"]),
+    ("<ol><li>Mix the flour with water.</li><li>Bake for an hour.</li></ol>", ["Mix the flour with water.", "Bake for an hour."]),
+    ('<ul><li>by <a href="#">the engineers</a> in May</li><li>by residents</li></ul>', ["by the engineers in May", "by residents"]),
+    ("<blockquote>We can not wait for another year, the mayor said.</blockquote>", ["We can not wait for another year, the mayor said."]),
+    ("<blockquote><p>We can not wait for another year.</p></blockquote>", ["We can not wait for another year."]),
+    ("<table><tr><th>Year</th><th>Cost</th></tr><tr><td>2019</td><td>two million</td></tr></table>", ["Year", "Cost", "2019", "two million"]),
+    ("<table><tbody><tr><td>steel</td><td>40 tons</td></tr></tbody></table>", ["steel", "40 tons"]),
+    ("<pre>for x in rows: print(x)</pre>", ["for x in rows: print(x)"]),
+    ("<pre><code>select a from b</code></pre>", ["select a from b"]),
+    ('<figure><img src="b.png"><figcaption>The bridge in spring</figcaption></figure>', ["The bridge in spring"]),
+    ("<h2>What comes next</h2>", ["What comes next"]),
+    ("<section><h3>Costs</h3><p>The work costs two million a year.</p></section>", ["Costs", "The work costs two million a year."]),
+    ("<div>A line that stands in no paragraph, but in a division.</div>", ["A line that stands in no paragraph, but in a division."]),
+    ("<dl><dt>span</dt><dd>the part between two piers</dd></dl>", ["span", "the part between two piers"]),
+    ("<p>Yes.</p>", ["Yes."]),
+]
+LAYOUTS = [
+    '<body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><article>{}</article><footer><p>All rights reserved</p></footer></body>',
+    '<body><div class="navbar"><a href="/">Home</a> <a href="/n">News</a></div><div class="content">{}</div>'
+    '<div class="sidebar"><h3>Popular</h3><ul><li><a href="/a">Ten facts</a></li><li><a href="/b">The weather</a></li></ul></div>'
+    '<div class="footer"><p>All rights reserved</p></div></body>',
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("part, blocks", SHAPES)
+def test_whole_articles(forest, part, blocks, layout):
+    """Written by hand: whatever stands in an article is kept, and nothing else."""
+    body = "<h1>The bridge stays closed</h1>" + PARA * 3 + part + PARA * 3
+    got = html_main.extract([layout.format(body)], forest)[0].split("\n\n")
+    assert got == ["The bridge stays closed"] + [WORDS] * 3 + blocks + [WORDS] * 3
+
+
+def test_best_assignment_of_small_trees():
+    """``decode`` against all assignments that don't contradict themselves."""
+    import itertools
+
+    import numpy as np
+
+    r = random.Random(3)
+    for _ in range(60):
+        source, depth = "", []
+        for _ in range(r.randint(1, 6)):
+            if depth and r.random() < 0.4:
+                source += depth.pop()
+            source += "<div>" + "word " * r.randint(0, 9)
+            depth.append("</div>")
+        page = dom.Page(source)
+        n = len(page.parent)
+        odds = np.array([r.gauss(0, 3) for _ in range(n)])
+        weight = 0.3 + np.sqrt(np.array(page.chars, float))
+        cost = {0: -np.logaddexp(0, odds) * weight, 1: -np.logaddexp(0, -odds) * weight}
+
+        def total(state):
+            out = cost[0][0]
+            for i in range(1, n):
+                a, b = state[page.parent[i]], state[i]
+                if (a, b) in ((1, 0), (2, 0), (2, 1)):
+                    return -np.inf
+                out += cost[int(b == 1)][i] - {(0, 1): html_main.ENTER, (1, 2): html_main.LEAVE}.get((a, b), 0)
+            return out
+        best = max(total((0, *s)) for s in itertools.product((0, 1, 2), repeat=n - 1))
+        kept = html_main.decode(page, odds)
+        same = [s for s in itertools.product((0, 1, 2), repeat=n - 1) if [x == 1 for x in s] == list(kept[1:])]
+        assert max(total((0, *s)) for s in same) == pytest.approx(best)

@@ -52,6 +52,11 @@ LEVELS = 20
 SIMILARITY = 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
+#: Characters whose counts a window is judged by first: no other character's lower case holds
+#: them (i and k have such).
+COUNTED = "abcdefghjlmnopqrstuvwxyz0123456789"
+#: Words whose counts are held at once.
+COUNT_WORDS = 1 << 16
 #: Bits of the table that a partial path is looked up in first.
 TABLE_BITS = 20
 
@@ -98,6 +103,8 @@ class Index:
 
     def __init__(self, items: list[tuple]):
         self.items = [(i, " ".join(t.lower().split())) for i, t in items]
+        self.limit = np.array([int((1 - SIMILARITY) * len(t) + 1e-9) for _, t in self.items], np.int64)
+        self.counts = [np.array([t.count(c) for _, t in self.items], np.int64) for c in COUNTED]
         w = kit.Words(kit.to_bytes([t for _, t in items], lower=True))
         own = w.owner()
         self.offset = np.arange(len(own)) - w.first[own]
@@ -163,24 +170,59 @@ class Index:
                 keep = np.flatnonzero(inside & table[(key & mask).astype(np.int64)])
                 if not len(keep):
                     break
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+        x = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        x = x[np.lexsort((x[:, 2], x[:, 1], x[:, 0]))]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]).any(axis=1)
+        return x[new]
+
+    def windows(self, w: kit.Words, found: np.ndarray) -> np.ndarray:
+        """(text, item, start, first word, end word) of the candidates whose window has the item's
+        characters: an edit supplies one that is missing, so more than the edits that a
+        passage may differ in can't be missing."""
+        d, i, start = found.T
+        size = self.size[i]
+        slack = np.maximum(2, size // 4)
+        a = np.maximum(w.first[d] + start - slack, w.first[d])
+        b = np.minimum(w.first[d] + start + size + slack + slack // 2, w.first[d + 1])
+        ok = np.zeros(len(found), bool)
+        order = np.argsort(a, kind="stable")
+        byte = np.frombuffer(w.buf, np.uint8)
+        x = 0
+        while x < len(order):
+            base = a[order[x]]
+            y = int(np.searchsorted(a[order], base + COUNT_WORDS, side="left"))
+            at = order[x:y]
+            top = b[at].max()
+            edge = np.append(w.start[base:top], w.end[top - 1]) - w.start[base] if top > base else np.zeros(1, np.int64)
+            part = byte[w.start[base]:w.end[top - 1]] if top > base else byte[:0]
+            item, lo, hi = i[at], a[at] - base, b[at] - base
+            left = self.limit[item]  # missing characters that a window may still have
+            for k, c in enumerate(COUNTED):
+                upto = np.searchsorted(np.flatnonzero(part == ord(c)), edge)
+                left = left - np.maximum(self.counts[k][item] - (upto[hi] - upto[lo]), 0)
+                live = left >= 0
+                if 2 * np.count_nonzero(live) < len(live):
+                    at, item, lo, hi, left = at[live], item[live], lo[live], hi[live], left[live]
+            ok[at[left >= 0]] = True
+            x = y
+        return np.column_stack((found, a, b))[ok]
 
     def matches(self, texts: list[str]):
         """(text, item, distance, first word, last word + 1) of the best passage of each pair."""
         w = kit.Words(kit.to_bytes(texts, lower=True))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: tuple[int, int, int] = (-1, -1, 0)
-        for d, i, start in self.candidates(w).tolist():
+        for d, i, start, a, b in self.windows(w, self.candidates(w)).tolist():
             size = int(self.size[i])
             slack = max(2, size // 4)
             if (d, i) == done[:2] and start - done[2] <= slack // 2:
                 continue  # the window just verified holds this one
             done = (d, i, start)
-            first, last = int(w.first[d]), int(w.first[d + 1])
-            a, b = max(first + start - slack, first), min(first + start + size + slack + slack // 2, last)
+            first = int(w.first[d])
             words = [w.buf[w.start[k]:w.end[k]].decode("utf-8", "replace").lower() for k in range(a, b)]
             item = self.items[i][1]
-            limit = int((1 - SIMILARITY) * len(item) + 1e-9)
+            limit = int(self.limit[i])
             dist, at = nearest(item, " ".join(words))
             if dist <= limit and ((d, i) not in best or dist < best[d, i][0]):
                 ends = np.cumsum([len(x) + 1 for x in words])

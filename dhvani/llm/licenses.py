@@ -110,6 +110,10 @@ FORMS = [
 ]
 
 
+#: Entries of a part of a growing list.
+PART = 128
+
+
 def rules() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, pattern) in order: each family in each form.  A
     pattern is bounded by the spaces of the word string; the last isn't consumed."""
@@ -128,19 +132,36 @@ def _spaces(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(" ")))
 
 
+def _grown(done: Column, part: Column, one: Column) -> tuple[Column, Column]:
+    """A list that grows at its end, as full parts and an open one: an array is copied for
+    each entry that is added, so one long array would cost the square of its length."""
+    full = F.size(part) >= PART
+    return (F.when(full, F.concat(done, F.array(part))).otherwise(done),
+            F.when(full, F.array(one)).otherwise(F.concat(part, F.array(one))))
+
+
+def _whole(state: Column) -> Column:
+    return F.flatten(F.concat(state["done"], F.array(state["part"])))
+
+
+def _none(kind: str) -> list[Column]:
+    return [F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("part")]
+
+
 def _hits(s: Column, pattern: Column) -> Column:
     """(a, b) of all matches: the pieces between them and their lengths, added up."""
     gap = F.transform(F.split(s, pattern, -1), F.length)
     hit = F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("got"))
+    start = F.struct(F.lit(0).alias("at"), *_none("struct<a:int,b:int>"))
 
     def add(state, pair):
         a = state["at"] + pair["gap"]
         b = a + pair["hit"]
-        return F.struct(b.alias("at"), F.concat(state["got"], F.array(F.struct(a.alias("a"), b.alias("b")))).alias("got"))
+        done, part = _grown(state["done"], state["part"], F.struct(a.alias("a"), b.alias("b")))
+        return F.struct(b.alias("at"), done.alias("done"), part.alias("part"))
     # The last piece has no match after it.
     pairs = F.zip_with(F.slice(gap, 1, F.size(hit)), hit, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, start, add, lambda state: state["got"])
+    return F.aggregate(pairs, start, add, _whole)
 
 
 def detections(s: Column) -> Column:
@@ -156,16 +177,17 @@ def detections(s: Column) -> Column:
     # an interval stands before it, so the furthest end so far, kept for each priority,
     # tells whether one of the same or a higher priority does.
     state = F.struct(F.lit(-1).alias("e1"), F.lit(-1).alias("e2"), F.lit(-1).alias("e3"),
-                     F.array().cast("array<struct<label:string,level:int,a:int,b:int>>").alias("kept"))
+                     *_none("struct<label:string,level:int,a:int,b:int>"))
 
     def step(st, h):
         level, end = -h["rank"], -h["z"]
         reach = F.when(level == 1, st["e1"]).when(level == 2, st["e2"]).otherwise(st["e3"])
         e = {f"e{k}": F.when((level >= k) & (end > st[f"e{k}"]), end).otherwise(st[f"e{k}"]) for k in (1, 2, 3)}
-        one = F.array(F.struct(h["label"].alias("label"), level.alias("level"), h["a"].alias("a"), end.alias("b")))
-        kept = F.when(end <= reach, st["kept"]).otherwise(F.concat(st["kept"], one))
-        return F.struct(*[v.alias(k) for k, v in e.items()], kept.alias("kept"))
-    return F.aggregate(F.sort_array(found), state, step, lambda st: st["kept"])
+        one = F.struct(h["label"].alias("label"), level.alias("level"), h["a"].alias("a"), end.alias("b"))
+        done, part = _grown(st["done"], st["part"], one)
+        done, part = (F.when(end <= reach, st[k]).otherwise(v).alias(k) for k, v in (("done", done), ("part", part)))
+        return F.struct(*[v.alias(k) for k, v in e.items()], done, part)
+    return F.aggregate(F.sort_array(found), state, step, _whole)
 
 
 # Every name above and every base phrase holds one of these.

@@ -109,3 +109,28 @@ def test_runs_cover_items():
     for n in range(1, 200):
         runs = decontam.run_lengths(np.arange(n), np.full(n, n))
         assert runs.sum() == n and np.count_nonzero(runs) == (max(1, n // 5) + 1 if n > 1 else 1)
+
+
+def test_windows_lose_no_passage():
+    """Windows that are not verified, for want of characters, hold no passage; letters
+    whose lower case is another alphabet's count for nothing."""
+    import random
+
+    import numpy as np
+    from dhvani.llm import decontam, kit
+
+    r = random.Random(4)
+    words = ["the", "bridge", "Kelvin", "İndex", "straße", "naïve", "of", "a1b2", "x", "committee"]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 9)))) for k in range(40)]
+    texts = [" ".join("".join(c for c in r.choice(words) if r.random() > 0.05) for _ in range(200)) for _ in range(10)]
+    index, w = decontam.Index(items), kit.Words(kit.to_bytes(texts, lower=True))
+    found = index.candidates(w)
+    kept = {tuple(x) for x in index.windows(w, found)[:, :3].tolist()}
+    assert 0 < len(kept) < len(found)
+    for d, i, start in found.tolist():
+        if (d, i, start) not in kept:
+            slack, size, first = max(2, index.size[i] // 4), index.size[i], w.first[d]
+            a, b = max(first + start - slack, first), min(first + start + size + slack + slack // 2, w.first[d + 1])
+            text = " ".join(w.buf[w.start[k]:w.end[k]].decode().lower() for k in range(a, b))
+            assert decontam.nearest(index.items[i][1], text)[0] > index.limit[i]
+    assert len(index.windows(w, np.zeros((0, 3), np.int64))) == 0

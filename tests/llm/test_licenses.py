@@ -3,6 +3,7 @@ import re
 
 import llm_cases as C
 from dhvani.llm import licenses as L
+from pyspark.sql import functions as F
 
 
 def brute(t):
@@ -65,3 +66,17 @@ def test_native_plan_and_empty_table(spark, tmp_path):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_cost_follows_the_hits(spark):
+    """Ten times the hits of one text take at most twelve times as long, and none is lost."""
+    import time
+
+    def run(n):
+        d = spark.createDataFrame([(1, "mit license and more " * n)], "doc_id long, text string")
+        start = time.time()
+        got = L.scan(d).select("n_base", F.size("detections").alias("n")).first()
+        assert (got["n_base"], got["n"]) == (n, n)
+        return time.time() - start
+    run(100)
+    assert run(20_000) <= 12 * run(2_000)

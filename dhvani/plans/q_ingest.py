@@ -304,5 +304,5 @@ def q_sidecar_scan(spark, d):
                 f.write(r.text)
 
     doc.foreachPartition(write)
-    side = S.read_sidecars(spark, root + "/*/*.txt")
+    side = S.read_sidecars(spark, root, "*.txt")
     return side.select(F.regexp_extract("clip_base", r"([^/]+)$", 1).alias("stem"), "text")

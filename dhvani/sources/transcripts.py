@@ -147,10 +147,19 @@ def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return last_wins(entries)
 
 
-def read_sidecars(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+#: Tasks that read sidecar files, at most, for each core: a scan gives a task only some 30 small files.
+SIDECAR_TASKS = 16
+
+
+def read_sidecars(spark: SparkSession, paths: str | Sequence[str], names: str | None = None) -> DataFrame:
     """``<clip>.txt`` files -> ``(clip_base, text)``: whole (small) file,
-    stripped; ``clip_base`` is the path without its extension."""
-    df = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    stripped; ``clip_base`` is the path without its extension.
+
+    With a pattern ``names`` the paths are folders, and files of such names anywhere below them are read: folders are
+    listed whole.  A pattern in the paths themselves becomes a path a file, which Spark lists one by one."""
+    read = spark.read if names is None else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names)
+    df = read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    df = df.select("value", "_metadata").coalesce(SIDECAR_TASKS * spark.sparkContext.defaultParallelism)
     p = F.col("_metadata.file_path")
     return df.select(F.regexp_replace(p, r"\.txt$", "").alias("clip_base"),
                      ustrip(F.regexp_replace("value", "�", "")).alias("text"))

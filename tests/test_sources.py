@@ -93,3 +93,21 @@ def test_manifest_csv_roundtrip_and_split_folders(spark):
     write_splits(s, os.path.join(d, "s"), "csv")
     got = read_manifest(spark, os.path.join(d, "s", "split=test")).collect()
     assert [r.id for r in got] == ["2"]
+
+
+def test_sidecar_folders_are_listed_whole(spark):
+    """No task a file before the read begins; the same rows as by paths; other names and none are left out."""
+    d = tempfile.mkdtemp(prefix="dhvani-side-")
+    for k in range(60):
+        os.makedirs(os.path.join(d, str(k % 3)), exist_ok=True)
+        with open(os.path.join(d, str(k % 3), f"{k}.txt"), "w", encoding="utf-8") as f:
+            f.write(f" text {k}\n")
+    with open(os.path.join(d, "0", "x.wav"), "w") as f:
+        f.write("x")
+    spark.sparkContext.setJobGroup("sidecar listing", "")
+    side = S.read_sidecars(spark, d, "*.txt")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("sidecar listing")
+    got = {(os.path.basename(r.clip_base), r.text) for r in side.collect()}
+    assert got == {(str(k), f"text {k}") for k in range(60)}
+    assert sorted(map(tuple, side.collect())) == sorted(map(tuple, S.read_sidecars(spark, d + "/*/*.txt").collect()))
+    spark.sparkContext.setJobGroup("others", "")

@@ -183,6 +183,216 @@ def edit_distance_seq(a, b) -> int:
         e *= GROWTH
 
 
+#: A first band has at least this part of a pair's columns on both sides: a wider band costs less than a second one.
+NEAR = 48
+#: Words of all band vectors of a batch, at most; bits of a pair's token masks and bytes of a batch's, at most.
+BATCH_WORDS, PAIR_BITS, MASK_BYTES = 1 << 14, 1 << 22, 1 << 25
+
+
+def _token_ids(a, b):
+    """Tokens as numbers, those of ``b`` from 0; -1 in a: not in b.  With how many numbers there are."""
+    import numpy as np
+    if isinstance(a, str):
+        a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") for t in (a, b))
+        known, ib = np.unique(b, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, a), len(known) - 1)
+        return np.where(known[at] == a, at, -1), ib, len(known)
+    ids: dict = {}
+    ib = np.fromiter((ids.setdefault(t, len(ids)) for t in b), np.int64, len(b))
+    return np.fromiter((ids.get(t, -1) for t in a), np.int64, len(a)), ib, len(ids)
+
+
+def _carry(total, over):
+    """Add the carries of a sum of many words: ``over`` says which words send one to the next."""
+    import numpy as np
+    while True:
+        upper = total[1:]
+        upper += over
+        over &= upper == 0           # a full word hands its carry on
+        if not over.any():
+            return
+        some = np.argwhere(over[:-1])
+        if len(some) <= 12:
+            for w, p in some.tolist():
+                w += 2
+                while w < len(total):
+                    x = total[w, p] = (int(total[w, p]) + 1) & 0xFFFFFFFFFFFFFFFF
+                    if x:
+                        break
+                    w += 1
+            return
+        over[1:] = over[:-1].copy()
+        over[0] = False
+
+
+def _banded_batch(items, e: int, words: int):
+    """Distances of pairs ``(a's numbers, b's numbers, how many)``, sorted by falling length of b, in one band of
+    ``64 words`` diagonals for all: as :func:`banded_distance`, a column of each pair at a time, the words of the
+    vectors in the first dimension.  The distance is read off along the diagonal of the last cell."""
+    import numpy as np
+    m, n = (np.array([len(x[k]) for x in items]) for k in (0, 1))
+    total = (int(max(m.max() + e, n.max())) >> 6) + words + 2
+    masks, columns, base = [np.zeros((1, total), np.uint64)], np.zeros((int(n[0]), len(items)), np.int64), 1
+    for p, (ia, ib, size) in enumerate(items):
+        bits = np.zeros((size, 64 * total), np.uint8)
+        at = np.flatnonzero(ia >= 0)
+        bits[ia[at], at + e] = 1
+        masks.append(np.packbits(bits, axis=1, bitorder="little").view("<u8"))
+        columns[:len(ib), p] = ib + base
+        base += size
+    rows = np.ascontiguousarray(np.concatenate(masks).T)
+    first = [((1 << 64) - 1) & ~((1 << min(max(e - 64 * w, 0), 64)) - 1) for w in range(words)]
+    vp = np.repeat(np.array(first, np.uint64)[:, None], len(items), axis=1)
+    vn = np.zeros_like(vp)
+    score, done, last = m - n, [], n
+    word, bit = (m - n + e) >> 6, ((m - n + e) & 63).astype(np.uint64)
+    at = word * len(items) + np.arange(len(items))
+    one, high = np.uint64(1), np.uint64(63)
+    space = None
+    for j in range(int(n[0])):
+        if last[-1] <= j:            # the shortest pairs have ended
+            left = int(np.searchsorted(-last, -j))
+            if left <= 0.8 * len(last):
+                done.append(score[left:])
+                score, last, word, bit = score[:left], last[:left], word[:left], bit[:left]
+                vp, vn, columns = vp[:, :left].copy(), vn[:, :left].copy(), columns[:, :left]
+                at, space = word * left + np.arange(left), None
+        if space is None:
+            space = [np.empty_like(vp) for _ in range(6)]
+            eq, total, d0, hp, hn, d1 = space
+            seen = np.empty((words + 1, vp.shape[1]), np.uint64)
+        q, r = j >> 6, j & 63
+        rows[q:q + words + 1].take(columns[j], axis=1, out=seen, mode="clip")
+        np.right_shift(seen[:-1], np.uint64(r), out=eq)
+        if r:
+            np.left_shift(seen[1:], np.uint64(64 - r), out=d0)
+            eq |= d0
+        np.bitwise_and(eq, vp, out=total)
+        total += vp
+        if words > 1:
+            _carry(total, total[:-1] < vp[:-1])
+        np.bitwise_xor(total, vp, out=d0)
+        d0 |= eq
+        d0 |= vn
+        np.bitwise_or(d0, vp, out=hp)
+        np.invert(hp, out=hp)
+        hp |= vn
+        np.bitwise_and(d0, vp, out=hn)
+        score += ((d0.reshape(-1).take(at) >> bit) & one == 0) & (last > j)
+        np.right_shift(d0, one, out=d1)
+        np.left_shift(d0[1:], high, out=eq[1:])
+        d1[:-1] |= eq[1:]
+        np.bitwise_or(d1, hp, out=vp)
+        np.invert(vp, out=vp)
+        vp |= hn
+        np.bitwise_and(d1, hp, out=vn)
+    return np.concatenate([score, *reversed(done)])
+
+
+def _band_words(m: int, n: int, e: int) -> int:
+    return (m - n + 2 * e) // 64 + 1
+
+
+def edit_distances(pairs) -> list[int]:
+    """:func:`edit_distance_seq` of each pair of sequences.
+
+    Pairs of like sizes are filled together, a column of all of them a step, so a step costs little more than
+    for one.  The first band is the narrowest that could prove a distance, as tokens that only one side
+    has set a least one; a pair without a proof gets a wider one.  Pairs that have too few like them go alone."""
+    import numpy as np
+    out, todo = [0] * len(pairs), []
+    for k, (a, b) in enumerate(pairs):
+        i = _common_prefix(a, b)
+        a, b = a[i:], b[i:]
+        i = _common_suffix(a, b)
+        if i:
+            a, b = a[:len(a) - i], b[:len(b) - i]
+        if len(a) < len(b):
+            a, b = b, a
+        if not len(b):
+            out[k] = len(a)
+            continue
+        ia, ib, size = _token_ids(a, b)
+        both = np.minimum(np.bincount(ia[ia >= 0], minlength=size), np.bincount(ib, minlength=size)).sum()
+        m, n = len(a), len(b)
+        e = min(max(BAND, n // NEAR, -(-(n - int(both) - 1) // 2)), n)
+        todo.append((k, a, b, (ia, ib, size), e))
+    while todo:
+        # Bands of like widths, in steps of a quarter or so, then like lengths.
+        def kind(x):
+            return round(4 * np.log(_band_words(len(x[1]), len(x[2]), x[4])))
+        todo.sort(key=lambda x: (kind(x), -len(x[2])))
+        again, start = [], 0
+        while start < len(todo):
+            group, wide, slant, bytes_ = [], 0, 0, 0
+            for x in todo[start:]:
+                m, n, e, size = len(x[1]), len(x[2]), x[4], x[3][2]
+                w, s = max(wide, e), max(slant, m - n)
+                words = (s + 2 * w) // 64 + 1
+                bytes_ += size * (m + w + 64 * words + 128) // 8
+                if group and (words * (len(group) + 1) > max(BATCH_WORDS, 2 * words) or bytes_ > MASK_BYTES or kind(x) != kind(group[0]) or 2 * n < len(group[0][2])):
+                    break
+                group.append(x)
+                wide, slant = w, s
+            start += len(group)
+            words = (slant + 2 * wide) // 64 + 1
+            together = len(group[0][2]) * (40 + 0.02 * words * len(group))    # microseconds, about
+            alone = sum(len(x[2]) * (1.4 + 0.02 * _band_words(len(x[1]), len(x[2]), x[4])) for x in group)
+            if together > alone or any(x[3][2] * (len(x[1]) + wide + 64 * words + 128) > PAIR_BITS for x in group):
+                for k, a, b, _, _ in group:
+                    out[k] = edit_distance_seq(a, b)
+                continue
+            for x, got in zip(group, _banded_batch([x[3] for x in group], wide, words).tolist()):
+                k, a, b, ids, _ = x
+                if got <= len(a) - len(b) + 2 * wide + 1:
+                    out[k] = got
+                else:
+                    again.append((k, a, b, ids, min(GROWTH * wide, max(len(b), wide + 1))))
+        todo = again
+    return out
+
+
+#: Bytes of text whose distances are computed at a time (or one row).
+SLICE = 1 << 25
+
+
+def sliced(batch, limit: int):
+    """An Arrow batch in slices of rows whose strings have ``limit`` bytes at most (or of one row)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, first = np.cumsum(size), 0
+    while first < batch.num_rows:
+        before = upto[first - 1] if first else 0
+        end = max(int(np.searchsorted(upto, before + limit, "right")), first + 1)
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def edit_counts(units, huge: int):
+    """For batches of texts (ref, hyp): of each unit the edits and the reference tokens (w_edits, w_ref, c_edits,
+    c_ref); no edits where both sides have more than ``huge`` tokens."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for part in sliced(batch, SLICE):
+                refs, hyps, columns = part["ref"].to_pylist(), part["hyp"].to_pylist(), {}
+                for u in units:
+                    r, h = ([[w for w in t.split(" ") if w] for t in x] if u == "word" else x for x in (refs, hyps))
+                    found = [None] * len(r)
+                    near = [k for k in range(len(r)) if min(len(r[k]), len(h[k])) <= huge]
+                    for k, d in zip(near, edit_distances([(r[k], h[k]) for k in near])):
+                        found[k] = d
+                    columns[f"{u[0]}_edits"] = pa.array(found, pa.int64())
+                    columns[f"{u[0]}_ref"] = pa.array([len(x) for x in r], pa.int64())
+                yield pa.RecordBatch.from_pydict(columns)
+    return run
+
+
 @F.pandas_udf(LongType())
 def _char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edit_distance_seq(x, y) for x, y in zip(a, b)],
@@ -207,30 +417,36 @@ def word_edit_distance(a: Column, b: Column) -> Column:
     return _word_distance(a, b)
 
 
-#: Blocks whose characters are counted together.
-FACING = 128
+#: Pairs of characters that are kept before their counts go out.
+PAIRS = 1 << 18
 
 
-def facing_counts(frames):
-    """(t, p, n) of frames of equally placed texts (rc, hc): how often character t stands
-    over p, up to the end of the shorter one; one row for each pair of characters and frame."""
+def facing_counts(batches):
+    """(t, p, n) of batches of equally placed texts (rc, hc): how often character t stands
+    over p, up to the end of the shorter one; one row for each pair of characters and task, or ``PAIRS`` of them."""
     import numpy as np
+    import pyarrow as pa
 
     def codes(text):
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    for f in frames:
-        seen, counts = [], []
-        for a in range(0, len(f), FACING):
+
+    def table(pair, n):
+        return pa.RecordBatch.from_pydict({"t": [chr(x) for x in (pair >> 21).tolist()], "p": [chr(x) for x in (pair & 0x1FFFFF).tolist()], "n": n})
+    pair, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        for part in sliced(batch, 1 << 20):
             parts = []
-            for rc, hc in zip(f["rc"].iloc[a:a + FACING], f["hc"].iloc[a:a + FACING]):
-                n = min(len(rc), len(hc))
-                parts.append((codes(rc[:n]) << 21) | codes(hc[:n]))
-            pair, n = np.unique(np.concatenate(parts), return_counts=True)
-            seen.append(pair)
-            counts.append(n)
-        pair, which = np.unique(np.concatenate(seen), return_inverse=True)
-        n = np.bincount(which, np.concatenate(counts)).astype(np.int64)
-        yield pd.DataFrame({"t": [chr(x) for x in (pair >> 21).tolist()], "p": [chr(x) for x in (pair & 0x1FFFFF).tolist()], "n": n})
+            for rc, hc in zip(part["rc"].to_pylist(), part["hc"].to_pylist()):
+                k = min(len(rc), len(hc))
+                parts.append((codes(rc[:k]) << 21) | codes(hc[:k]))
+            more, times = np.unique(np.concatenate(parts), return_counts=True)
+            pair, which = np.unique(np.concatenate([pair, more]), return_inverse=True)
+            n = np.bincount(which, np.concatenate([n, times])).astype(np.int64)
+            if len(pair) > PAIRS:
+                yield table(pair, n)
+                pair, n = pair[:0], n[:0]
+    if len(pair):
+        yield table(pair, n)
 
 
 def ngram_stats(ref, hyp, orders: int) -> list[int]:

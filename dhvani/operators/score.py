@@ -25,10 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import char_edit_distance, char_ngram_stats, facing_counts, word_ngram_stats
-from ..functions.kernels import word_edit_distance as _word_distance
+from ..functions.kernels import char_ngram_stats, edit_counts, facing_counts, word_ngram_stats
 from ..functions.text import urstrip, ustrip
-from ..session import cut_lineage
+from ..session import cut_lineage, settled
 from . import edit
 from .prefix import prefix_sum, text_blocks
 
@@ -47,7 +46,7 @@ def prepare(pairs: DataFrame, ref: str = "ref", hyp: str = "hyp", lowercase: boo
     if lowercase:
         r, h = F.lower(r), F.lower(h)
     cols = [c for c in pairs.columns if c not in (ref, hyp)]
-    return pairs.select(*cols, r.alias("ref"), h.alias("hyp")).filter(F.col("ref") != "")
+    return settled(pairs.select(*cols, r.alias("ref"), h.alias("hyp"))).filter(F.col("ref") != "")
 
 
 def _collapse(c: Column) -> Column:
@@ -72,16 +71,15 @@ def edits(pairs: DataFrame, units: Sequence[str] = ("word", "char")) -> DataFram
     tokens have none there yet; if there are any, they are cut into blocks that many
     tasks share (:mod:`dhvani.operators.edit`)."""
     names = {"word": ("w_edits", "w_ref"), "char": ("c_edits", "c_ref")}
-    distance = {"word": _word_distance, "char": char_edit_distance}
+    if "row_id" in pairs.columns:    # a scan may have few tasks with rows, whatever its splits
+        pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "row_id")
     rows = pairs.select(_collapse(F.col("ref")).alias("ref"), _collapse(F.col("hyp")).alias("hyp"))
     small, size = {}, {}
     for u in units:
         small[u] = F.least(edit.token_count(F.col("ref"), u), edit.token_count(F.col("hyp"), u)) <= edit.HUGE
         size[u] = edit.token_count(F.col("ref"), u).cast("long").alias(names[u][1])
-    found = []
-    for u in units:
-        found += [distance[u](F.col("ref"), F.when(small[u], F.col("hyp"))).alias(names[u][0]), size[u]]
-    out = cut_lineage(rows.select(*found))
+    found = ", ".join(f"{c} long" for u in units for c in names[u])
+    out = cut_lineage(rows.mapInArrow(edit_counts(list(units), edit.HUGE), found))
     for u in units:
         if out.where(F.col(names[u][0]).isNull()).isEmpty():
             continue
@@ -145,7 +143,7 @@ def char_confusion(pairs: DataFrame, lowercase: bool = True) -> DataFrame:
     # Both corpora start at position 0, so a position survives the cut to the
     # shorter corpus exactly when the block holds a character of both there.
     facing = blocks.select(text[0].alias("rc"), text[1].alias("hc")).where("rc <> '' and hc <> ''")
-    return facing.mapInPandas(facing_counts, "t string, p string, n long").groupBy("t", "p").agg(F.sum("n").alias("n"))
+    return facing.mapInArrow(facing_counts, "t string, p string, n long").groupBy("t", "p").agg(F.sum("n").alias("n"))
 
 
 def char_accuracy(conf: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions import paths as P
 from ..functions import signal as SG
 from ..operators import frames as FR
 from ..operators.lookup import attach_transcript, route, write_routed
+from ..session import settled
 
 
 def _processed(clips: DataFrame, input_dir: str, out_dir: str, trim: bool, top_db: float, win: int, hop: int) -> DataFrame:
@@ -38,15 +39,9 @@ def _processed(clips: DataFrame, input_dir: str, out_dir: str, trim: bool, top_d
                         .when(SG.too_short(F.col("s"), F.col("sr")), F.lit("too_short")))
 
 
-def _settled(x: DataFrame) -> DataFrame:
-    """The same rows through a generator.  A filter above isn't pushed below it; pushed down to the scan, a filter
-    on ``error`` would hold the whole signal work, each step as often as the next one names it."""
-    return x.select(F.inline_outer(F.array(F.struct(*x.columns))))
-
-
 def _slim(x: DataFrame) -> DataFrame:
     """What the rest needs of a clip, without its waveform: no array is ever joined."""
-    return _settled(x.select("path", "stem", "clip_base", "wav_path", SG.duration(F.col("s"), F.col("sr")).alias("duration_sec"), "error"))
+    return settled(x.select("path", "stem", "clip_base", "wav_path", SG.duration(F.col("s"), F.col("sr")).alias("duration_sec"), "error"))
 
 
 def clip_rows(clips: DataFrame, input_dir: str, out_dir: str, lang: str = "en",
@@ -74,7 +69,7 @@ def process_clips(clips: DataFrame, input_dir: str, out_dir: str, lang: str = "e
     manifest = attach_transcript(good, tmap, sidecars, lang).select(
         F.col("stem").alias("id"), "wav_path", "duration_sec", "transcript", F.lit(lang).alias("lang"))
     errors = bad.select(F.col("path").alias("input_path"), "error")
-    samples = _settled(x.select("wav_path", "s", "sr", "error")).filter(F.col("error").isNull()).drop("error")
+    samples = settled(x.select("wav_path", "s", "sr", "error")).filter(F.col("error").isNull()).drop("error")
     return manifest, errors, samples
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings a job of this library expects.  AQE re-plans joins and coalesces
 # partitions at run time; skew-join splitting covers hot join keys.
@@ -71,10 +72,16 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def settled(df):
+    """The same rows through a generator.  A filter above isn't pushed below it; pushed down to the scan, it would
+    hold whatever the columns are made by, each step as often as the next one names it."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for local tools (tests only)."""
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "local_path",
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "settled", "local_path",
            "DEFAULT_CONF"]

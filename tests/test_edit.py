@@ -134,3 +134,50 @@ def test_no_distance_where_a_hypothesis_is_missing(spark):
     assert called.value == 0
     with pytest.raises(Exception, match="references are empty"):
         score.error_rates_percent_safe(df.where("hyp is not null").withColumn("ref", F.lit(" "))).collect()
+
+
+@pytest.mark.parametrize("band, words", [(32, 1 << 14), (1, 1 << 14), (3, 40)])
+def test_pairs_filled_together(monkeypatch, band, words):
+    """Many pairs a step: bands of one and of many words, pairs that end early, carries through full words."""
+    monkeypatch.setattr(K, "BAND", band)
+    monkeypatch.setattr(K, "NEAR", 1 << 30)
+    monkeypatch.setattr(K, "BATCH_WORDS", words)
+    together, batch = [0], K._banded_batch
+
+    def counted(items, e, words):
+        together[0] += len(items)
+        return batch(items, e, words)
+    monkeypatch.setattr(K, "_banded_batch", counted)
+    some = list(pairs(600, 12)) + [("x" * 900 + str(k), "y" * k) for k in range(1, 200, 7)] * 2
+    some += [("ab" * 300 + "c" * k, "ba" * 150 + "d" * k) for k in range(60)]
+    assert K.edit_distances(some) == [K.edit_distance_seq(a, b) for a, b in some]
+    assert words == 40 or together[0] > 200
+    split = [(a.split(" "), b.split(" ")) for a, b in some]
+    assert K.edit_distances(split) == [K.edit_distance_seq(a, b) for a, b in split]
+    assert K.edit_distances([]) == []
+
+
+def test_batch_alone_against_the_table():
+    r = random.Random(13)
+    rows = []
+    for _ in range(40):
+        a = [r.randrange(5) for _ in range(r.randint(60, 300))]
+        rows.append((a, [x for x in a if r.random() < 0.8] or [0]))
+    rows.sort(key=lambda x: -len(x[1]))
+    items = [(np.array(a), np.array(b), 5) for a, b in rows]
+    slant = max(len(a) - len(b) for a, b in rows)
+    for e in (40, 300):
+        got = K._banded_batch(items, e, (slant + 2 * e) // 64 + 1).tolist()
+        for (a, b), d in zip(rows, got):
+            want = plain(a, b)
+            assert d == want or (want > len(a) - len(b) + 2 * e + 1 and d > want)
+
+
+def test_batches_are_taken_in_slices():
+    """A kernel holds the strings of a bounded part of a batch, whatever the batch's rows."""
+    import pyarrow as pa
+    texts = ["a" * n for n in (10, 0, 5, 50, 3, 3, 90, 1)] + [None]
+    batch = pa.RecordBatch.from_pydict({"k": list(range(9)), "t": pa.array(texts, pa.string())})
+    parts = [p.to_pydict() for p in K.sliced(batch, 20)]
+    assert [t for p in parts for t in p["t"]] == texts
+    assert all(len(p["t"]) == 1 or sum(len(t or "") for t in p["t"]) <= 20 for p in parts)

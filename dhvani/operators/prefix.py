@@ -15,11 +15,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.kernels import sliced
 from ..session import cut_lineage
 
 SHIFT = 16
@@ -58,23 +59,30 @@ def prefix_sum(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     return prefix_sums(df, key, [value], [out])
 
 
+#: Bytes of text that are cut at a time (or one row).
+SLICE = 1 << 20
+
+
 def _cut(size: int):
-    def run(frames):
+    def run(batches):
         now, at = None, [0, 0]
-        for f in frames:
-            out = []
-            for part, sa, sb, a, b in zip(f["part"], f["s0"], f["s1"], f["t0"], f["t1"]):
-                if part != now:
-                    now, at = part, [sa, sb]
-                for side, text in ((0, a), (1, b)):
-                    k = 0
-                    while k < len(text):
-                        s = at[side] + k
-                        n = size - s % size
-                        out.append((s // size, side, s, text[k:k + n]))
-                        k += n
-                    at[side] += len(text)
-            yield pd.DataFrame(out, columns=["blk", "side", "s", "piece"])
+        for batch in batches:
+            for f in sliced(batch, SLICE):
+                out = []
+                for part, sa, sb, a, b in zip(*(f[c].to_pylist() for c in ("part", "s0", "s1", "t0", "t1"))):
+                    if part != now:
+                        now, at = part, [sa, sb]
+                    for side, text in ((0, a), (1, b)):
+                        k = 0
+                        while k < len(text):
+                            s = at[side] + k
+                            n = size - s % size
+                            out.append((s // size, side, s, text[k:k + n]))
+                            k += n
+                        at[side] += len(text)
+                columns = zip(*out) if out else ((), (), (), ())
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["blk", "side", "s", "piece"])
     return run
 
 
@@ -95,7 +103,7 @@ def text_blocks(df: DataFrame, key: str, texts: tuple[str, str], size: int) -> D
     start = prefix_sums(total, "part", ["n0", "n1"], ["s0", "s1"]).select("part", "s0", "s1")
     # Not a broadcast: the ranges grow with the rows, and the join deals the texts by range.
     x = x.join(start.hint("shuffle_hash"), "part").sortWithinPartitions("part", "k")
-    return x.select("part", "s0", "s1", "t0", "t1").mapInPandas(_cut(size), "blk long, side int, s long, piece string")
+    return x.select("part", "s0", "s1", "t0", "t1").mapInArrow(_cut(size), "blk long, side int, s long, piece string")
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -165,3 +165,21 @@ def test_char_offsets_sparse_keys(spark):
     df = spark.createDataFrame([(5, "ab"), (70000, "c"), (2 ** 33, "def"), (2 ** 33 + 1, "")], "row_id long, text string")
     got = {r.row_id: r.offset for r in SC.char_offsets(df).collect()}
     assert got == {5: 0, 70000: 2, 2 ** 33: 3, 2 ** 33 + 1: 6}
+
+
+def test_texts_are_prepared_once(spark):
+    """No filter holds the expressions that make the texts, and few full scan tasks don't keep the pairs together."""
+    for table in (V.pairs_v(spark, "/root/testdata/sf0.001"), SC.prepare(V.pairs_v(spark, "/root/testdata/sf0.001"))):
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("regexp_replace" in line for line in plan.split("\n") if "Filter" in line.split("(")[0].split())
+    one = pairs(spark, [("a b c", "a b")] * 200).coalesce(1)
+    assert SC.edits(one, ["word"]).rdd.glom().map(len).filter(lambda n: n > 0).count() > 4
+
+
+def test_facing_counts_of_a_task_are_one_table():
+    import pyarrow as pa
+
+    from dhvani.functions.kernels import facing_counts
+    batch = pa.RecordBatch.from_pydict({"rc": ["abc" * 200_000] * 6, "hc": ["abd" * 200_000 + "x"] * 6})
+    out = [b.to_pydict() for b in facing_counts([batch, batch])]
+    assert len(out) == 1 and dict(zip(zip(out[0]["t"], out[0]["p"]), out[0]["n"])) == {("a", "a"): 2_400_000, ("b", "b"): 2_400_000, ("c", "d"): 2_400_000}

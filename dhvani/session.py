@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -78,10 +79,23 @@ def settled(df):
     return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict):
+    """Settings of the session that hold inside, and as they were after it."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def local_path(p: str) -> str:
     """Strip a ``file:`` scheme for local tools (tests only)."""
     return p[5:] if p.startswith("file:") else p
 
 
-__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "settled", "local_path",
+__all__ = ["get_spark", "ensure_checkpoint_dir", "scratch_path", "cut_lineage", "settled", "settings", "local_path",
            "DEFAULT_CONF"]

@@ -14,6 +14,7 @@ the same order and therefore yields the same values.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain, islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,9 @@ from pyspark.sql import types as T
 
 from ..functions.paths import path_stem
 from ..functions.text import ustrip
+from ..session import scratch_path, settings
 from .csv_records import fields, first_header, parsed, read_quoted_csv, read_records, unclosed
+from .listing import batches, files_below
 
 WS_SPLIT = r"(?U)\s+"
 
@@ -149,6 +152,17 @@ def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 #: Tasks that read sidecar files, at most, for each core: a scan gives a task only some 30 small files.
 SIDECAR_TASKS = 16
+#: Sidecar files that the driver holds at a time, at most, and those a task reads of so many.
+SIDECAR_BATCH = 25_000
+SIDECAR_TASK_FILES = 1_000
+
+
+def _sidecar_texts(df: DataFrame, tasks: int) -> DataFrame:
+    """Whole files -> ``(clip_base, text)``."""
+    df = df.select("value", "_metadata").coalesce(tasks)
+    p = F.col("_metadata.file_path")
+    return df.select(F.regexp_replace(p, r"\.txt$", "").alias("clip_base"),
+                     ustrip(F.regexp_replace("value", "�", "")).alias("text"))
 
 
 def read_sidecars(spark: SparkSession, paths: str | Sequence[str], names: str | None = None) -> DataFrame:
@@ -156,13 +170,31 @@ def read_sidecars(spark: SparkSession, paths: str | Sequence[str], names: str |
     stripped; ``clip_base`` is the path without its extension.
 
     With a pattern ``names`` the paths are folders, and files of such names anywhere below them are read: folders are
-    listed whole.  A pattern in the paths themselves becomes a path a file, which Spark lists one by one."""
-    read = spark.read if names is None else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names)
-    df = read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    df = df.select("value", "_metadata").coalesce(SIDECAR_TASKS * spark.sparkContext.defaultParallelism)
-    p = F.col("_metadata.file_path")
-    return df.select(F.regexp_replace(p, r"\.txt$", "").alias("clip_base"),
-                     ustrip(F.regexp_replace("value", "�", "")).alias("text"))
+    listed whole.  A pattern in the paths themselves becomes a path a file, which Spark lists one by one.
+
+    A scan keeps all its files in the driver.  Where folders have over ``SIDECAR_BATCH`` files, as many at a time are
+    read and their rows written to the shared folder; what is returned reads those."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    tasks = SIDECAR_TASKS * spark.sparkContext.defaultParallelism
+    if names is None:
+        return _sidecar_texts(spark.read.text(paths, wholetext=True), tasks)
+
+    def scan(paths: list[str], **options) -> DataFrame:
+        return spark.read.options(recursiveFileLookup="true", pathGlobFilter=names, **options).text(paths, wholetext=True)
+
+    found = batches(files_below(spark, paths, names) or iter(()), SIDECAR_BATCH)
+    first = list(islice(found, 2))
+    if len(first) < 2:
+        return _sidecar_texts(scan(paths), tasks)
+    out = scratch_path(spark, "sidecar-texts")
+    tasks = min(tasks, -(-SIDECAR_BATCH // SIDECAR_TASK_FILES))
+    # else Spark lists by a task a file, and keeps what it listed for later reads
+    with settings(spark, {"spark.sql.sources.parallelPartitionDiscovery.parallelism": tasks,
+                          "spark.sql.hive.filesourcePartitionFileCacheSize": 0}):
+        for files in chain(first, found):
+            texts = _sidecar_texts(scan(files, __globPaths__="false"), tasks)
+            texts.write.mode("append").parquet(out, compression="zstd")
+    return spark.read.schema("clip_base string, text string").parquet(out)
 
 
 __all__ = ["read_lines", "parse_transcript_lines", "parse_tab_map", "parse_festival", "last_wins",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dhvani.operators.lookup import attach_transcript, route, semi_existing
 from dhvani.sources import transcripts as S
 from dhvani.sources.inventory import audio_inventory
+from dhvani.sources.listing import files_below
 
 
 def lines_df(spark, lines):
@@ -111,3 +112,59 @@ def test_sidecar_folders_are_listed_whole(spark):
     assert got == {(str(k), f"text {k}") for k in range(60)}
     assert sorted(map(tuple, side.collect())) == sorted(map(tuple, S.read_sidecars(spark, d + "/*/*.txt").collect()))
     spark.sparkContext.setJobGroup("others", "")
+
+
+def odd_sidecars(d):
+    """Folders with sidecars and other files; names that are patterns or escapes elsewhere, hidden ones, links, an empty file."""
+    texts = {f"{k % 3}/{k}.txt": f" text {k}\n" for k in range(40)}
+    texts |= {"x[1].txt": "a", "y{1,2}.txt": "b", "z*.txt": "c", "a b%20.txt": "d", "deep/er/k=1/q.txt": "e", "_k=v/r.txt": "f",
+              "_m/no.txt": "hidden", ".m/no.txt": "hidden", "_no.txt": "hidden", ".no.txt": "hidden", "_metadata.d/s.txt": "g",
+              "t.txt._COPYING_": "hidden", "u.md": "other", "empty.txt": "", "back\\slash.txt": "i", "0/é.txt": "j"}
+    for name, text in texts.items():
+        os.makedirs(os.path.dirname(os.path.join(d, name)), exist_ok=True)
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    os.symlink(os.path.join(d, "1"), os.path.join(d, "linked"))
+    os.symlink(os.path.join(d, "gone.txt"), os.path.join(d, "nothing.txt"))
+
+
+def test_files_below_are_those_that_spark_lists(spark):
+    d = tempfile.mkdtemp(prefix="dhvani-side-")
+    odd_sidecars(d)
+    for paths, names in [([d], "*.txt"), (["file:" + d], "[!q]*.t?t"), ([d, d + "/0", d + "/.m"], "*.txt"),
+                         ([d + "/[01]"], "*.txt"), ([d + "/0/0.txt", d], "*.{txt,md}")]:
+        listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=names).load(paths)
+        listed = [r.path for r in listed.select("path").collect()]
+        empty = {"file:" + os.path.join(d, "empty.txt")} if d + "/[01]" not in paths else set()  # scans leave it out
+        assert sorted(files_below(spark, paths, names)) == sorted({*listed, *empty})
+        assert len(listed) > 14
+    assert files_below(spark, [d, d + "/none"], "*.txt") is None
+
+
+def test_sidecars_are_read_some_at_a_time(spark, monkeypatch):
+    """The driver never has all files of the folders in a scan; the rows are those of one scan of them all."""
+    d = tempfile.mkdtemp(prefix="dhvani-side-")
+    odd_sidecars(d)
+    rows = sorted(S.read_sidecars(spark, d, "*.txt").collect())
+    assert len(rows) > 60 and ("file:" + d + "/0/3", "text 3") in rows
+    monkeypatch.setattr(S, "SIDECAR_BATCH", 30, raising=False)
+    listed = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    side = S.read_sidecars(spark, d, "*.txt")
+    assert not [f for f in side.inputFiles() if not f.endswith(".parquet")]
+    assert sorted(side.collect()) == rows
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == listed
+
+
+def test_sidecars_in_a_store_are_listed_alike(spark, monkeypatch):
+    """Folders that only Spark can read, here by another name of a local one."""
+    d = tempfile.mkdtemp(prefix="dhvani-side-")
+    odd_sidecars(d)
+    monkeypatch.setattr(S, "SIDECAR_BATCH", 30, raising=False)
+    local = {(r.clip_base.split(d)[1], r.text) for r in S.read_sidecars(spark, d, "*.txt").collect()}
+    spark.conf.set("fs.viewfs.mounttable.sidecars.link./in", "file://" + d)
+    try:
+        side = S.read_sidecars(spark, "viewfs://sidecars/in", "*.txt")
+        assert {(r.clip_base.split("sidecars/in")[1], r.text) for r in side.collect()} == local
+        assert not [f for f in side.inputFiles() if not f.endswith(".parquet")]
+    finally:
+        spark.conf.unset("fs.viewfs.mounttable.sidecars.link./in")
